@@ -15,7 +15,7 @@ from folioscope.operators import (
     analytics, chunks as chunk_ops, evaluation, fusion, keyword, library, locations, maintenance, passages,
     progress as progress_ops, summaries, vectors as vector_ops,
 )
-from folioscope.plans import ingest, retrieval
+from folioscope.plans import evaluation as run_plan, ingest, retrieval
 from folioscope.session import ship_package
 from folioscope.sources import tables
 from folioscope.sources.storage import materialise, spread
@@ -349,8 +349,9 @@ def progress_throttled(spark, sf):
 
 @query
 def location_changes(spark, sf):
-    capped = _positions(spark, sf).withColumn("location", F.least("location", F.lit(20)))
-    return ntz(progress_ops.changed_positions(capped), "ts")
+    """Moves between stretches of twenty locations."""
+    coarse = _positions(spark, sf).withColumn("location", F.floor(F.col("location") / 20).cast("int"))
+    return ntz(progress_ops.changed_positions(coarse), "ts")
 
 
 # --- answer evaluation ------------------------------------------------------
@@ -464,16 +465,36 @@ def judge_spoilers(spark, sf):
 @query
 def judge_verdicts(spark, sf):
     """Verdicts joined back onto results by stable id."""
-    replies = _judge_replies(spark, sf)
-    verdicts = replies.select(F.col("event_id").alias("result_id"), F.lit("qualitative").alias("kind"), "reply").unionByName(
-        replies.filter(F.col("event_id") % 2 == 1).select(F.col("event_id").alias("result_id"), F.lit("spoiler").alias("kind"), F.col("spoiler_reply").alias("reply"))
-    )
-    results = tables.results(spark, sf).select("result_id", "model", "spoiler_prevention_flag").join(
-        replies.select(F.col("event_id").alias("result_id"), F.col("event_type").alias("answer")), "result_id"
+    replies = _judge_replies(spark, sf).withColumnRenamed("event_id", "result_id")
+    results = tables.results(spark, sf).select("result_id", "model", "evaluation_type", "spoiler_prevention_flag").join(
+        replies.select("result_id", F.col("event_type").alias("answer")), "result_id"
     ).withColumn("forbidden_keywords", F.array(F.lit("ERR"), F.lit("sign")))
+    judged = maintenance.present_in(replies, results.filter(F.col("evaluation_type") == "spoiler"), ["result_id"])
+    verdicts = replies.select("result_id", F.lit("qualitative").alias("kind"), "reply").unionByName(
+        judged.select("result_id", F.lit("spoiler").alias("kind"), F.col("spoiler_reply").alias("reply"))
+    )
     return evaluation.apply_verdicts(results, verdicts).select("result_id", "contextual_fidelity", "spoiler_prevention_flag", "paas_score")
 
 
+@query
+def evaluation_run(spark, sf):
+    """A scored run over all answers, with timing from the text lengths."""
+    rows = _edge_answers(_answers(spark, sf)).withColumns(
+        {
+            "result_id": F.col("conv_id") * 1000 + F.col("turn"), "context": F.col("ground_truth"),
+            "evaluation_type": F.when(F.col("turn") % 4 == 0, "regular").otherwise("spoiler"),
+            "progress_stage": (F.lit(25) + (F.col("conv_id") % 14) * 5).cast("int"),
+            "response_time": F.length("question") / 100.0,
+        }
+    )
+    scored = materialise(run_plan.evaluate(rows, tables.spoiler_rules(spark, sf)), "scored")
+    timed = run_plan.with_timing(scored, 1800.0, 1200.0)
+    return timed.select(
+        "result_id", "model", r6("bleu").alias("bleu"), "error_type", "spoiler_prevention_flag", "paas_score", "model_avg_time",
+        "model_speed_rank", r6("response_speed_percentile").alias("response_speed_percentile"), r6("queries_per_minute").alias("queries_per_minute"),
+    )
+
+
 @query
 def evaluation_grid(spark, sf):
     queries = tables.questions(spark, sf).select(F.col("question_id").alias("query_id"), "book_id")
@@ -667,10 +688,6 @@ def publication_years(spark, sf):
 # --- table maintenance ------------------------------------------------------
 
 
-def _even_odd(df, column):
-    return df.filter(F.col(column) % 2 == 0), df.filter(F.col(column) % 2 == 1)
-
-
 @query
 def incremental_ingest(spark, sf):
     """Chapters of books not among the labelled ones."""

@@ -361,8 +361,8 @@ BODIES: dict[str, str] = {
       FROM pe WHERE location IS NOT NULL) WHERE nxt IS NULL OR nxt - ts > INTERVAL 2 HOUR""",
     "progress_throttled": """SELECT reader_id, book_id, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2000-01-01') AS window_start, count(*) AS n_positions, max(ts) AS ts,
       arg_max(event_id, (ts, event_id)) AS event_id, arg_max(location, (ts, event_id)) AS location FROM pe WHERE location IS NOT NULL GROUP BY reader_id, book_id, window_start""",
-    "location_changes": """SELECT reader_id, book_id, ts, event_id, location FROM (SELECT reader_id, book_id, ts, event_id, least(location, 20) AS location,
-      lag(least(location, 20)) OVER (PARTITION BY reader_id, book_id ORDER BY ts, event_id) AS prev FROM pe WHERE location IS NOT NULL) WHERE prev IS DISTINCT FROM location""",
+    "location_changes": """SELECT reader_id, book_id, ts, event_id, location FROM (SELECT reader_id, book_id, ts, event_id, location // 20 AS location,
+      lag(location // 20) OVER (PARTITION BY reader_id, book_id ORDER BY ts, event_id) AS prev FROM pe WHERE location IS NOT NULL) WHERE prev IS DISTINCT FROM location""",
     "answer_pairs": "SELECT conv_id, turn, model, item_id, question, answer, ground_truth FROM ans",
     "bleu": "SELECT a.conv_id, a.turn, round(coalesce(bl.bleu, 0.0), 6) AS bleu FROM ans a LEFT JOIN bl USING (conv_id, turn)",
     "answer_grounding": f"SELECT conv_id, turn, {grounding('answer', 'ground_truth')} AS factual_grounding FROM ans",
@@ -380,6 +380,16 @@ BODIES: dict[str, str] = {
     "judge_spoilers": "SELECT event_id, sf::INT AS spoiler_prevention_flag FROM judge",
     "judge_verdicts": """SELECT result_id, cf::INT AS contextual_fidelity, f::INT AS spoiler_prevention_flag, (cf * f)::INT AS paas_score FROM (
       SELECT result_id, cf, CASE WHEN event_id % 2 = 1 THEN sf ELSE spoiler_prevention_flag END AS f FROM res JOIN judge ON judge.event_id = res.result_id)""",
+    "evaluation_run": f"""SELECT result_id, model, bleu, error_type, spoiler_prevention_flag, spoiler_prevention_flag AS paas_score, model_avg_time,
+      rank() OVER (PARTITION BY evaluation_type ORDER BY model_avg_time) AS model_speed_rank,
+      round((rank() OVER (PARTITION BY model ORDER BY response_time) + (count(*) OVER (PARTITION BY model, response_time) - 1) / 2.0::DOUBLE) / count(*) OVER (PARTITION BY model) * 100, 6) AS response_speed_percentile,
+      round(60.0 / (3000.0::DOUBLE / count(*) OVER ()), 6) AS queries_per_minute FROM (
+      SELECT e.conv_id * 1000 + e.turn AS result_id, model, CASE WHEN e.turn % 4 = 0 THEN 'regular' ELSE 'spoiler' END AS evaluation_type,
+        CASE WHEN e.turn % 4 = 0 THEN round(coalesce(bl.bleu, 0.0), 6) ELSE 0.0 END AS bleu, {_ERRORS} AS error_type, length(question) / 100.0::DOUBLE AS response_time,
+        CASE WHEN e.turn % 4 <> 0 AND (conv_id % 14) <= (item_id % 14) AND NOT {blank('answer')} AND len(list_filter(kw, lambda k: contains(lower(answer), k))) > 0 THEN 0 ELSE 1 END AS spoiler_prevention_flag,
+        round_even(avg(length(question) / 100.0::DOUBLE) OVER (PARTITION BY model), 2)::DOUBLE AS model_avg_time
+      FROM (SELECT edge.*, (SELECT list(w ORDER BY p)[1:5] FROM (SELECT w, min(p) AS p FROM (SELECT unnest({words('ground_truth')}) AS w, generate_subscripts({words('ground_truth')}, 1) AS p) WHERE length(w) > 3 GROUP BY w)) AS kw FROM edge) e
+      LEFT JOIN bl USING (conv_id, turn))""",
     "evaluation_grid": "SELECT question_id AS query_id, book_id, 'm' || i AS model FROM questions, range(5) t(i)",
     "query_sets": """SELECT question_id AS query_id, book_id, 'regular' AS evaluation_type, 100 AS progress_stage FROM questions
       UNION ALL SELECT question_id, book_id, 'spoiler', (25 + (question_id % 14) * 5)::INT FROM questions""",
@@ -439,7 +449,7 @@ BODIES: dict[str, str] = {
       WHERE turn % 3 <> 2 GROUP BY conv_id, turn // 4096""",
 }
 
-_BLEU_OF = {"bleu": "ans", "answer_scores": "edge"}
+_BLEU_OF = {"bleu": "ans", "answer_scores": "edge", "evaluation_run": "edge"}
 
 
 def _mentions(text: str) -> list[str]:
