@@ -116,7 +116,8 @@ def chapter_by_location(spark, sf):
 @query
 def text_at_location(spark, sf):
     chapters = tables.chapters(spark, sf)
-    points = _progress(spark, sf, chapters).select("reader_id", "book_id", F.col("current_location").alias("location"))
+    state = progress_ops.progress_state(tables.progress_events(spark, sf), locations.book_totals(chapters))
+    points = state.select("reader_id", "book_id", F.col("current_location").alias("location"))
     return locations.text_at(points, chapters, tables.chapter_texts(spark, sf), ["reader_id"]).select("reader_id", "book_id", "location", "chapter_id", "window")
 
 
@@ -447,7 +448,7 @@ def _judge_replies(spark, sf):
     )
     verdict = F.concat(F.lit('{"contains_spoilers": '), F.when(e % 3 == 0, "true").otherwise("false"), F.lit(', "reasoning": "r"}'))
     spoiler = F.when(shape == 3, F.lit("unclear")).when(shape == 1, F.concat(F.lit("Verdict: "), verdict)).otherwise(verdict)
-    return tables.read(spark, sf, "events").select("event_id", "event_type", reply.alias("reply"), spoiler.alias("spoiler_reply"))
+    return spread(tables.read(spark, sf, "events"), "event_id").select("event_id", "event_type", reply.alias("reply"), spoiler.alias("spoiler_reply"))
 
 
 @query

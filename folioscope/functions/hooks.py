@@ -11,6 +11,7 @@ import hashlib
 import re
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -48,17 +49,14 @@ def hashed_embedding(token_column: Column, dim: int = 64) -> Column:
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for series in batches:
-            buckets: dict[str, int] = {}
-            rows = []
-            for found in series:
-                counts = [0.0] * dim
-                for token in found if found is not None else ():
-                    at = buckets.get(token)
-                    if at is None:
-                        at = buckets[token] = int(hashlib.md5(token.encode()).hexdigest()[:6], 16) % dim
-                    counts[at] += 1.0
-                rows.append(counts)
-            yield pd.Series(rows)
+            lists = [x if x is not None else () for x in series]
+            sizes = np.fromiter((len(x) for x in lists), dtype=np.int64, count=len(lists))
+            # each distinct token of the batch is hashed once
+            codes, distinct = pd.factorize(np.concatenate([np.asarray(x, dtype=object) for x in lists]) if len(lists) else [])
+            bucket = np.array([int(hashlib.md5(t.encode()).hexdigest()[:6], 16) % dim for t in distinct], dtype=np.int64)
+            cells = np.repeat(np.arange(len(lists)), sizes) * dim + (bucket[codes] if len(codes) else codes)
+            counts = np.bincount(cells, minlength=len(lists) * dim).reshape(len(lists), dim)
+            yield pd.Series(list(counts.astype(np.float32)))
 
     return run(token_column)
 

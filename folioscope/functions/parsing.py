@@ -6,7 +6,7 @@ from pyspark.sql import Column, functions as F
 
 from folioscope import config
 from folioscope.functions.scoring import spoiler_flag
-from folioscope.functions.text import strip
+from folioscope.functions.text import bind, strip
 
 # Fixed patterns for ratings and JSON objects inside prose.
 RATING = r"\[(\d+)\]:\s*(\d+)"
@@ -64,32 +64,38 @@ def tolerant_json(reply: Column, keys: list[str], keys_in_tail: bool = False) ->
         usable = F.filter(found, lambda x: _parses(x) & _has_keys(x, keys))
         return F.try_element_at(usable, F.lit(1))
 
-    whole = strip(reply)
     opened = F.length(reply) - F.length(F.substring_index(reply, "{", -1))
     closed = F.length(reply) - F.length(F.substring_index(reply, "}", -1))
-    tail = F.substring(reply, opened, closed - opened + 1)
-    tail_ok = (opened > 0) & (closed > opened) & _parses(tail)
-    if keys_in_tail:
-        tail_ok = tail_ok & _has_keys(tail, keys)
+
+    def usable_tail(tail: Column) -> Column:
+        ok = _parses(tail) & _has_keys(tail, keys) if keys_in_tail else _parses(tail)
+        return F.when((opened > 0) & (closed > opened) & ok, tail)
+
     return F.coalesce(
-        F.when(_parses(whole), whole), first_match(JSON_OBJECT, 0), first_match(FENCED_JSON, 1), F.when(tail_ok, tail)
+        bind(strip(reply), lambda whole: F.when(_parses(whole), whole)),
+        first_match(JSON_OBJECT, 0),
+        first_match(FENCED_JSON, 1),
+        bind(F.substring(reply, opened, closed - opened + 1), usable_tail),
     )
 
 
 def judge_scores(reply: Column) -> Column:
     """Struct of the five judge scores, defaults where the reply is unusable."""
     schema = ", ".join(f"{k} int" for k in config.JUDGE_KEYS)
-    json = tolerant_json(reply, config.JUDGE_KEYS)
-    usable = F.coalesce(F.size(F.json_object_keys(json)) > 0, F.lit(False))
-    parsed = F.from_json(json, schema)
     defaults = F.struct(*[F.lit(config.JUDGE_DEFAULTS[k]).alias(k) for k in config.JUDGE_KEYS])
-    return F.when(usable, parsed).otherwise(defaults)
+    return bind(
+        tolerant_json(reply, config.JUDGE_KEYS),
+        lambda json: F.when(F.coalesce(F.size(F.json_object_keys(json)) > 0, F.lit(False)), F.from_json(json, schema)).otherwise(defaults),
+    )
 
 
 def judge_spoiler_flag(reply: Column, answer: Column, keywords: Column) -> Column:
     """1 when the judge finds no spoiler; keyword test if the reply is unusable."""
-    json = tolerant_json(reply, ["contains_spoilers"], keys_in_tail=True)
-    usable = F.coalesce(F.size(F.json_object_keys(json)) > 0, F.lit(False))
-    verdict = F.lower(F.get_json_object(json, "$.contains_spoilers"))
-    clean = verdict.isNull() | verdict.isin("false", "0", "", "null")
-    return F.when(usable, F.when(clean, 1).otherwise(0)).otherwise(spoiler_flag(answer, keywords))
+
+    def flag(json: Column) -> Column:
+        usable = F.coalesce(F.size(F.json_object_keys(json)) > 0, F.lit(False))
+        verdict = F.lower(F.get_json_object(json, "$.contains_spoilers"))
+        clean = verdict.isNull() | verdict.isin("false", "0", "", "null")
+        return F.when(usable, F.when(clean, 1).otherwise(0)).otherwise(spoiler_flag(answer, keywords))
+
+    return bind(tolerant_json(reply, ["contains_spoilers"], keys_in_tail=True), flag)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from folioscope import config
-from folioscope.functions.text import is_blank, split_words, strip, words
+from folioscope.functions.text import bind, is_blank, split_words, strip, words
 
 
 
@@ -36,8 +36,10 @@ def word_set(text: Column) -> Column:
 def overlap_share(wanted: Column, present: Column, stopwords: list[str]) -> Column:
     """Share of the wanted non-stop words that are present; null if none wanted."""
     stop = F.array(*[F.lit(w) for w in stopwords])
-    need = F.array_except(wanted, stop)
-    return F.size(F.array_intersect(need, present)) / F.nullif(F.size(need), F.lit(0))
+    return bind(
+        F.array_except(wanted, stop),
+        lambda need: F.size(F.array_intersect(need, present)) / F.nullif(F.size(need), F.lit(0)),
+    )
 
 
 def is_refusal(answer: Column) -> Column:
@@ -46,14 +48,17 @@ def is_refusal(answer: Column) -> Column:
 
 def factual_grounding(answer: Column, truth: Column) -> Column:
     """0 for no answer, else 1..5 by share of ground-truth words in the answer."""
-    share = overlap_share(words(truth), words(answer), config.GROUNDING_STOPWORDS)
-    score = F.when(share.isNull(), 3)
-    for limit, value in ((0.7, 5), (0.5, 4), (0.3, 3), (0.1, 2)):
-        score = score.when(share >= limit, value)
+
+    def grade(share: Column) -> Column:
+        score = F.when(share.isNull(), 3)
+        for limit, value in ((0.7, 5), (0.5, 4), (0.3, 3), (0.1, 2)):
+            score = score.when(share >= limit, value)
+        return score.otherwise(1)
+
     return (
         F.when(is_blank(answer), 0)
         .when(answer.contains(config.ERROR_MARKER) | is_refusal(answer), 5)
-        .otherwise(score.otherwise(1))
+        .otherwise(bind(overlap_share(words(truth), words(answer), config.GROUNDING_STOPWORDS), grade))
     )
 
 
@@ -84,8 +89,7 @@ def avg_sentence_length(answer: Column) -> Column:
 
 
 def unique_word_ratio(answer: Column) -> Column:
-    found = words(answer)
-    ratio = F.size(F.array_distinct(found)) / F.nullif(F.size(found), F.lit(0))
+    ratio = bind(words(answer), lambda found: F.size(F.array_distinct(found)) / F.nullif(F.size(found), F.lit(0)))
     return F.when(is_blank(answer), F.lit(0.0)).otherwise(F.coalesce(ratio, F.lit(0.0)))
 
 
@@ -120,15 +124,10 @@ def _ngrams(tokens: Column, n: int) -> Column:
     return F.when(F.size(tokens) >= n, grams).otherwise(F.array().cast("array<string>"))
 
 
-def _numbered(grams: Column) -> Column:
-    """Repeated grams become distinct by their occurrence number."""
-    sorted_grams = F.sort_array(grams)
-    return F.transform(
-        F.array(sorted_grams),
-        lambda g: F.transform(
-            g, lambda x, i: F.concat(x, F.lit("\x02"), (i + 1 - F.array_position(g, x)).cast("string"))
-        ),
-    )[0]
+def _common(h: Column, r: Column) -> Column:
+    """Size of the multiset intersection; only shared grams are counted out."""
+    times = lambda grams, g: F.size(grams) - F.size(F.array_remove(grams, g))
+    return F.aggregate(F.array_intersect(h, r), F.lit(0), lambda acc, g: acc + F.least(times(h, g), times(r, g)))
 
 
 def bleu4(answer: Column, truth: Column) -> Column:
@@ -138,15 +137,18 @@ def bleu4(answer: Column, truth: Column) -> Column:
     """
     hyp, ref = split_words(F.lower(answer)), split_words(F.lower(truth))
 
-    def score(h: Column, r: Column) -> Column:
-        logs, unigram_hits = F.lit(0.0), None
+    def precisions(h: Column, r: Column) -> Column:
+        return F.array(
+            *[bind(_ngrams(h, n), lambda hn: bind(_ngrams(r, n), lambda rn: _common(hn, rn))) for n in (1, 2, 3, 4)]
+        )
+
+    def score(h: Column, r: Column, hits: Column) -> Column:
+        logs = F.lit(0.0)
         for n in (1, 2, 3, 4):
-            hits = F.size(F.array_intersect(_numbered(_ngrams(h, n)), _numbered(_ngrams(r, n))))
             total = F.greatest(F.lit(1), F.size(h) - F.lit(n - 1))
-            unigram_hits = hits if n == 1 else unigram_hits
-            logs = logs + F.lit(0.25) * F.ln(F.when(hits == 0, F.lit(0.1)).otherwise(hits) / total)
+            logs = logs + F.lit(0.25) * F.ln(F.when(hits[n - 1] == 0, F.lit(0.1)).otherwise(hits[n - 1]) / total)
         brevity = F.when(F.size(h) > F.size(r), F.lit(1.0)).otherwise(F.exp(1 - F.size(r) / F.size(h)))
-        return F.when(unigram_hits == 0, F.lit(0.0)).otherwise(brevity * F.exp(logs))
+        return F.when(hits[0] == 0, F.lit(0.0)).otherwise(brevity * F.exp(logs))
 
-    bound = F.transform(F.array(hyp), lambda h: F.transform(F.array(ref), lambda r: score(h, r))[0])[0]
+    bound = bind(hyp, lambda h: bind(ref, lambda r: bind(precisions(h, r), lambda hits: score(h, r, hits))))
     return F.when(is_blank(answer) | answer.contains(config.ERROR_MARKER), F.lit(0.0)).otherwise(bound)

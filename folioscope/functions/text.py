@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from folioscope import config
@@ -13,6 +15,11 @@ EDGE_SPACE = r"(?U)^\s+|\s+$"
 SPACES = r"(?U)\s+"
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def strip(text: Column) -> Column:
     """Remove whitespace of any kind at both ends."""
     return F.regexp_replace(text, EDGE_SPACE, "")
@@ -200,8 +207,7 @@ def chunk_spans(
     ).cast(state)
 
     def step(acc: Column, _: Column) -> Column:
-        # one-element transforms bind the window and the cut once per step; a
-        # window shorter than its reach marks the end of the text, so the text's
+        # a window shorter than its reach marks the end of the text, so the text's
         # own length is never needed inside the fold
         def add(window: Column, cut: Column) -> Column:
             advance = cut - F.lit(overlap // 2)
@@ -220,10 +226,10 @@ def chunk_spans(
                 return F.when(F.length(window) == reach, _cut(window, size)).otherwise(F.length(window))
             return _cut(window, size)
 
-        moved = F.transform(
-            F.array(F.substring(text, acc["pos"] + 1, F.lit(reach))),
-            lambda window: F.transform(F.array(cut_of(window)), lambda cut: add(window, cut))[0],
-        )[0]
+        moved = bind(
+            F.substring(text, acc["pos"] + 1, F.lit(reach)),
+            lambda window: bind(cut_of(window), lambda cut: add(window, cut)),
+        )
         return F.when(acc["pos"] >= 0, moved).otherwise(acc)
 
     # the shortest advance bounds the number of steps

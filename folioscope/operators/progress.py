@@ -37,7 +37,8 @@ def _prepared(events: DataFrame, totals: DataFrame, chapters: DataFrame | None)
         *KEY, "event_id", "total_locations", F.struct("ts", "event_id").alias("pos"),
         F.coalesce("reset", F.lit(False)).alias("reset"), explicit.alias("explicit"),
         F.when(asked.isNotNull(), clamp_location(asked, total)).alias("loc"),
-        F.when(asked.isNull(), pct).alias("pct"),
+        # least and greatest skip nulls, so an absent percentage needs its own test
+        F.when(asked.isNull() & F.col("completion_percentage").isNotNull(), pct).alias("pct"),
     )
 
 

@@ -184,7 +184,7 @@ STEPS["pe"] = """SELECT user_id AS reader_id, 'src' || (user_id % 20) AS book_id
   CASE WHEN event_type IN ('click', 'view') THEN floor(value)::INT END AS location,
   CASE WHEN event_type = 'purchase' THEN value END AS pct, event_type = 'error' AS reset FROM events"""
 STEPS["ps"] = """SELECT pe.*, b.total_locations AS total, CASE WHEN location IS NOT NULL THEN least(greatest(1, location), b.total_locations) END AS loc,
-  greatest(0.0, least(100.0, pct)) AS p, row_number() OVER (PARTITION BY reader_id, pe.book_id ORDER BY ts, event_id) AS rn FROM pe JOIN books b USING (book_id)"""
+  CASE WHEN pct IS NOT NULL THEN greatest(0.0, least(100.0, pct)) END AS p, row_number() OVER (PARTITION BY reader_id, pe.book_id ORDER BY ts, event_id) AS rn FROM pe JOIN books b USING (book_id)"""
 STEPS["pr"] = """SELECT reader_id, book_id, 0::BIGINT AS rn, 1 AS cur, 0.0::DOUBLE AS cp, NULL::INT AS held, NULL::TIMESTAMP AS last_read_at FROM (SELECT DISTINCT reader_id, book_id FROM ps)
   UNION ALL
   SELECT r.reader_id, r.book_id, e.rn,

@@ -74,7 +74,7 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User turns followed by an assistant turn, with a ground truth to compare."""
     turns = read(spark, sf_dir, "conversations")
-    asked = turns.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("question"))
+    asked = spread(turns, "conv_id", "turn").filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("question"))
     replied = turns.filter(F.col("role") == "assistant").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer")
     )

@@ -70,7 +70,7 @@ def progress_stream(events: DataFrame, totals: DataFrame, chapters: DataFrame |
     total = F.col("total_locations")
     asked = F.coalesce(F.col("location").cast("double").cast("int"), F.col("_start"))
     loc = F.least(F.greatest(F.lit(1), asked), total)
-    pct = F.when(asked.isNull(), F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("completion_percentage").cast("double"))))
+    pct = F.when(asked.isNull() & F.col("completion_percentage").isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("completion_percentage").cast("double"))))
     known_chapter = F.when(F.col("_start").isNotNull(), F.col("chapter_id")) if chapters is not None else F.lit(None).cast("long")
     prepared = rows.select(
         *KEY, "ts", "event_id", F.unix_micros("ts").alias("us"), F.coalesce("reset", F.lit(False)).alias("reset"),
