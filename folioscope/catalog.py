@@ -199,7 +199,8 @@ def bm25_stats(spark, sf):
 @query
 def bm25_topk(spark, sf):
     index = _index(spark, sf)
-    hits = keyword.keyword_search(tables.questions(spark, sf), index, payload=("location",), frequency=materialise(keyword.document_frequency(index), "frequency"))
+    questions = materialise(tables.questions(spark, sf), "questions")
+    hits = keyword.keyword_search(questions, index, payload=("location",), frequency=materialise(keyword.document_frequency(index), "frequency"))
     return hits.select("question_id", "rank_in_method", "chapter_order", "chunk_no", "location", r6("score").alias("score"))
 
 
@@ -302,7 +303,7 @@ def rerank_apply(spark, sf):
 def context_block(spark, sf):
     corpus, questions, final = _final(spark, sf)
     rows = retrieval.answer_contexts(final, questions, corpus.totals)
-    return rows.select("question_id", "book_id", "location_boundary", "prompt", F.size("context_used").alias("n_context"))
+    return rows.select("question_id", "book_id", "location_boundary", "prompt", F.coalesce(F.size("context_used"), F.lit(0)).alias("n_context"), "response")
 
 
 @query
@@ -451,6 +452,18 @@ def _judge_replies(spark, sf):
     return spread(tables.read(spark, sf, "events"), "event_id").select("event_id", "event_type", reply.alias("reply"), spoiler.alias("spoiler_reply"))
 
 
+@query
+def judge_requests(spark, sf):
+    rows = _edge_answers(_answers(spark, sf)).withColumns(
+        {
+            "result_id": F.col("conv_id") * 1000 + F.col("turn"), "book_id": F.col("model"),
+            "evaluation_type": F.when(F.col("turn") % 4 == 0, "regular").otherwise("spoiler"), "progress_stage": (F.lit(25) + (F.col("conv_id") % 14) * 5).cast("int"),
+        }
+    )
+    ruled = rows.join(tables.spoiler_rules(spark, sf), "item_id")
+    return evaluation.judge_requests(ruled).select("result_id", "kind", F.md5("prompt").alias("prompt_md5"))
+
+
 @query
 def judge_parse(spark, sf):
     rows = _judge_replies(spark, sf).withColumn("j", parsing.judge_scores(F.col("reply")))

@@ -51,6 +51,9 @@ RETRIEVAL_STOPWORDS = GROUNDING_STOPWORDS + ["with", "by"]
 
 REFUSAL_PHRASE = "information needed to answer is not available"
 ERROR_MARKER = "ERROR:"
+NO_CONTEXT_REPLY = (
+    "I don't have enough information from the book to answer that question based on what you've read so far."
+)
 MISSING_CHAPTER_HTML = "<p>Chapter content not found</p>"
 
 JUDGE_KEYS = [

@@ -163,8 +163,7 @@ def publication_year(date: Column) -> Column:
 
 def _last_break(window: Column, mark: str) -> Column:
     """0-based start of the last ``mark`` in ``window``; at most 0 if unusable."""
-    after = F.substring_index(window, mark, -1)
-    return F.length(window) - F.length(after) - F.lit(len(mark))
+    return F.length(window) - F.length(F.substring_index(window, mark, -1)) - F.lit(len(mark))
 
 
 def _cut(window: Column, size: int) -> Column:
@@ -174,13 +173,13 @@ def _cut(window: Column, size: int) -> Column:
     end, then the plain size.
     """
     half = size // 2
-    paragraph = _last_break(F.substring(window, half + 1, size + 50 - half), "\n\n")
-    sentence = _last_break(F.substring(window, half + 1, size + 30 - half), ". ")
-    return (
-        F.when(paragraph > 0, paragraph + F.lit(half + 2))
-        .when(sentence > 0, sentence + F.lit(half + 2))
-        .otherwise(F.least(F.lit(size), F.length(window)))
-    )
+
+    def after_last(mark: str, slack: int, otherwise: Column) -> Column:
+        found = bind(F.substring(window, half + 1, size + slack - half), lambda w: _last_break(w, mark))
+        return bind(found, lambda at: F.when(at > 0, at + F.lit(half + 2)).otherwise(otherwise))
+
+    plain = F.least(F.lit(size), F.length(window))
+    return after_last("\n\n", 50, after_last(". ", 30, plain))
 
 
 def chunk_spans(
@@ -268,11 +267,3 @@ def answer_prompt(context: Column, percentage: Column, question: Column) -> Colu
         F.lit("\n\nThe user has read approximately "), F.format_string("%.1f", percentage),
         F.lit("% of the book.\nUSER QUESTION: "), question, F.lit("\n\nANSWER:"),
     )
-
-
-def expansion_prompt(title: Column, question: Column) -> Column:
-    return F.concat(
-        F.lit("Rewrite the question about the book '"), title,
-        F.lit("' as 2 alternative search queries naming its people, actions and ideas.\n\nOriginal query: "),
-        question, F.lit("\n\nAnswer with a numbered list only:"),
-    )

@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from folioscope import config
-from folioscope.functions import scoring
+from folioscope.functions import prompts, scoring
 from folioscope.functions.parsing import judge_scores, judge_spoiler_flag
+from folioscope.functions.text import is_blank
 from folioscope.operators.skew import lookup_join
 
 
@@ -73,6 +74,27 @@ def score_answers(answers: DataFrame) -> DataFrame:
     )
 
 
+def judge_requests(results: DataFrame, strict: bool = False) -> DataFrame:
+    """Prompts for the judge: quality of real answers, spoilers of guarded ones.
+
+    Blank and failed answers are not judged for quality. ``results`` holds one row
+    per result_id with book_id, question, answer, ground_truth, evaluation_type,
+    progress_stage, percentage_of_book_read and forbidden_keywords.
+    """
+    answer = F.col("answer")
+    regular = F.col("evaluation_type") == "regular"
+    truth = F.when(regular, F.col("ground_truth")).otherwise(F.lit("none"))
+    real = ~is_blank(answer)
+    quality = F.when(real & ~answer.contains(config.ERROR_MARKER), prompts.quality_judgement(F.col("question"), truth, answer))
+    progress, guard = F.col("progress_stage"), F.col("percentage_of_book_read")
+    guarded = F.coalesce(progress < guard if strict else progress <= guard, F.lit(False))
+    spoiler = F.when(
+        ~regular & real & guarded, prompts.spoiler_judgement(F.col("book_id"), progress, F.col("forbidden_keywords"), answer)
+    )
+    asks = F.array(F.struct(F.lit("qualitative").alias("kind"), quality.alias("prompt")), F.struct(F.lit("spoiler").alias("kind"), spoiler.alias("prompt")))
+    return results.select("result_id", F.explode(asks).alias("_a")).select("result_id", "_a.*").filter(F.col("prompt").isNotNull())
+
+
 def apply_verdicts(results: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Judge replies onto results by their stable id, then the combined score.
 

@@ -137,17 +137,3 @@ def segmented_lag(
         .withColumn(out, F.coalesce("_near", "_beyond"))
         .drop(_SEG, "_near", "_beyond")
     )
-
-
-def blocks_of(
-    df: DataFrame, keys: Sequence[str], id_cols: Sequence[str], rows_per_block: int, out: str, count_out: str
-) -> DataFrame:
-    """Split every group evenly by a hash of its ids into bounded blocks.
-
-    Adds the block number and the number of blocks of the group.
-    """
-    counts = df.groupBy(*keys).agg(
-        F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / rows_per_block)).cast("int").alias(count_out)
-    )
-    joined = lookup_join(df, counts, keys, id_cols)
-    return joined.withColumn(out, F.pmod(F.xxhash64(*[F.col(c) for c in id_cols]), F.col(count_out)).cast("int"))

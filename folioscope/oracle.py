@@ -345,10 +345,11 @@ BODIES: dict[str, str] = {
     "hybrid_retrieval": """SELECT question_id, rank::INT AS rank, search_method, kind_no, chapter_order, chunk_no, location, chapter_title,
       round(score, 6) AS score, round(original_score, 6) AS original_score, md5(text) AS text_md5 FROM ranked""",
     "rerank_apply": "SELECT question_id, final_rank::INT AS final_rank, rank::INT AS rank, rerank_score::INT AS rerank_score, round_even(score, 2)::DOUBLE AS relevance_score, search_method, location FROM final",
-    "context_block": """SELECT question_id, book_id, boundary AS location_boundary, 'BOOK CONTEXT INFORMATION:' || chr(10) ||
+    "context_block": """SELECT q.question_id, q.book_id, q.boundary AS location_boundary, 'BOOK CONTEXT INFORMATION:' || chr(10) ||
       concat_ws(chr(10), CASE WHEN s IS NOT NULL THEN '--- SECTION SUMMARIES ---' || chr(10) || s || chr(10) || '--- DETAILED PASSAGES ---' END, p) || chr(10) || chr(10) ||
-      'The user has read approximately ' || printf('%.1f', boundary::DOUBLE / total_locations * 100.0) || '% of the book.' || chr(10) || 'USER QUESTION: ' || question || chr(10) || chr(10) || 'ANSWER:' AS prompt,
-      n_context FROM blocks""",
+      'The user has read approximately ' || printf('%.1f', b.boundary::DOUBLE / b.total_locations * 100.0) || '% of the book.' || chr(10) || 'USER QUESTION: ' || b.question || chr(10) || chr(10) || 'ANSWER:' AS prompt,
+      coalesce(n_context, 0) AS n_context, CASE WHEN b.question_id IS NULL THEN 'I don''t have enough information from the book to answer that question based on what you''ve read so far.' END AS response
+      FROM questions q LEFT JOIN blocks b ON b.question_id = q.question_id""",
     "context_dedupe": f"""SELECT question_id, i::INT AS passage_no, kept[i].r::INT AS final_rank, md5(f.text) AS text_md5 FROM (
       SELECT question_id, kept, unnest(range(1, least(6, len(kept)) + 1)) AS i FROM kept QUALIFY n = max(n) OVER (PARTITION BY question_id)) k
       JOIN final f ON f.question_id = k.question_id AND f.final_rank = kept[i].r""".replace("k.question_id, i", "question_id, i").replace("SELECT question_id, i::INT", "SELECT k.question_id, i::INT"),
@@ -376,6 +377,14 @@ BODIES: dict[str, str] = {
       CASE WHEN e.turn % 4 = 0 THEN {grounding('answer', 'ground_truth')} ELSE 3 END AS factual_grounding,
       round(coalesce({share('question', 'ground_truth', _STOP2)}, 0.5), 6) AS retrieval_effectiveness, {complexity('answer')}, {_ERRORS} AS error_type
       FROM edge e LEFT JOIN bl USING (conv_id, turn)""",
+    "judge_requests": f"""SELECT result_id, kind, md5(prompt) AS prompt_md5 FROM (
+      SELECT conv_id * 1000 + turn AS result_id, 'qualitative' AS kind, CASE WHEN NOT {blank('answer')} AND NOT contains(answer, 'ERROR:') THEN
+        'Compare the answer with the ground truth and give scores as JSON only.' || chr(10) || 'Query: ' || question || chr(10) || 'Ground truth: ' || CASE WHEN turn % 4 = 0 THEN ground_truth ELSE 'none' END ||
+        chr(10) || 'Answer: ' || answer || chr(10) || 'Output: {{"contextual_fidelity": <1-5>, "relevance": <1-5>, "helpfulness": <1-5>, "coherence": <1-5>, "instruction_following": <0-1>}}' END AS prompt FROM edge
+      UNION ALL
+      SELECT conv_id * 1000 + turn, 'spoiler', CASE WHEN turn % 4 <> 0 AND NOT {blank('answer')} AND conv_id % 14 <= item_id % 14 THEN
+        'Does the answer mention or hint at forbidden content? JSON only.' || chr(10) || 'Book: ' || model || chr(10) || 'Progress: ' || (25 + (conv_id % 14) * 5) || '%' || chr(10) || 'Forbidden: ' ||
+        array_to_string((SELECT list(w ORDER BY p)[1:5] FROM (SELECT w, min(p) AS p FROM (SELECT unnest({words('ground_truth')}) AS w, generate_subscripts({words('ground_truth')}, 1) AS p) WHERE length(w) > 3 GROUP BY w)), ', ') || chr(10) || 'Answer: ' || answer || chr(10) || 'Output: {{"contains_spoilers": true/false, "reasoning": "..."}}' END FROM edge) WHERE prompt IS NOT NULL""",
     "judge_parse": "SELECT event_id, cf::INT AS contextual_fidelity, re::INT AS relevance, he::INT AS helpfulness, co::INT AS coherence, i::INT AS instruction_following FROM judge",
     "judge_spoilers": "SELECT event_id, sf::INT AS spoiler_prevention_flag FROM judge",
     "judge_verdicts": """SELECT result_id, cf::INT AS contextual_fidelity, f::INT AS spoiler_prevention_flag, (cf * f)::INT AS paas_score FROM (

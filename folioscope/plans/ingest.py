@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folioscope import config
 from folioscope.functions.hooks import EmbedFn, GenerateFn, hashed_embedding, with_embedding, with_reply
+from folioscope.functions.prompts import segment_summary
+from folioscope.functions.text import is_blank
 from folioscope.operators import keyword
 from folioscope.operators.chunks import chunk_table
 from folioscope.operators.locations import book_totals
@@ -54,7 +56,8 @@ def embedded_summaries(
     segments = summary_segments(chunks.select("book_id", "chapter_order", "chapter_title", "chunk_no", "location", "chunk"), interval)
     rows = with_embedding(segments, "text", "vector", embed, dim)
     if summarise is not None:
-        rows = with_reply(rows.withColumnRenamed("text", "_raw"), "_raw", "text", summarise).drop("_raw")
+        asked = rows.withColumn("_ask", segment_summary(F.col("text"), F.col("location"))).drop("text")
+        rows = with_reply(asked, "_ask", "text", summarise).drop("_ask").filter(~is_blank(F.col("text")))
     return rows.withColumns({"text_key": text_key("text"), "content_type": F.lit("summary")})
 
 

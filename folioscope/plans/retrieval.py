@@ -9,12 +9,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from folioscope import config
 from folioscope.config import RetrievalParams
 from folioscope.functions.hooks import EmbedFn, with_embedding
 from folioscope.functions.parsing import numbered_items
 from folioscope.functions.text import answer_prompt
 from folioscope.operators import fusion
 from folioscope.operators.keyword import keyword_search
+from folioscope.operators.skew import lookup_join
 from folioscope.operators.vectors import similar_vectors
 from folioscope.plans.ingest import ITEM, Corpus, item_texts, search_items
 from folioscope.sources.storage import materialise
@@ -98,10 +100,18 @@ def retrieve(
 
 
 def answer_contexts(final: DataFrame, questions: DataFrame, totals: DataFrame) -> DataFrame:
-    """Context, snippets and answer prompt per question that has any hit."""
-    blocks = fusion.context_blocks(final)
-    asked = questions.select("question_id", "book_id", "boundary", "question").join(totals.select("book_id", "total_locations"), "book_id")
+    """Context, snippets and answer prompt per question.
+
+    A question without hits has no prompt but already its ``response``.
+    """
+    asked = lookup_join(
+        questions.select("question_id", "book_id", "boundary", "question"), totals.select("book_id", "total_locations"), ["book_id"], ["question_id"]
+    )
+    joined = asked.join(fusion.context_blocks(final), "question_id", "left")
     percentage = F.col("boundary") / F.col("total_locations") * 100.0
-    return blocks.join(asked, "question_id").withColumn("prompt", answer_prompt(F.col("context"), percentage, F.col("question"))).select(
-        "question_id", "book_id", F.col("boundary").alias("location_boundary"), "context", "context_used", "prompt"
+    nothing = F.col("context_used").isNull()
+    return joined.select(
+        "question_id", "book_id", F.col("boundary").alias("location_boundary"), percentage.alias("progress_boundary"), "context", "context_used",
+        F.when(~nothing, answer_prompt(F.col("context"), percentage, F.col("question"))).alias("prompt"),
+        F.when(nothing, F.lit(config.NO_CONTEXT_REPLY)).alias("response"),
     )

@@ -169,6 +169,22 @@ def test_files(spark, tmp_path):
     assert documents.count() == 20 and documents.select(F.sum(F.size("chapters"))).first()[0] == chapters.count()
 
 
+def test_question_without_hits_gets_the_fixed_reply(spark, corpus, questions):
+    none = hits(spark, [(-1, "bm25", 1, 1.0, "a")]).withColumn("final_rank", F.lit(1))
+    rows = retrieval.answer_contexts(none, questions, corpus.totals)
+    assert rows.count() == questions.count()
+    assert rows.filter("prompt IS NOT NULL OR response IS NULL").count() == 0
+
+
+def test_summaries_by_a_model(spark, corpus):
+    short = lambda asks: [a.splitlines()[0][:9] for a in asks]
+    made = ingest.embedded_summaries(corpus.chunks, summarise=short)
+    assert made.count() == corpus.summaries.count()
+    assert made.select("text").distinct().collect() == [Row(text="Summarise")]
+    same = made.select("book_id", "location", "vector").exceptAll(corpus.summaries.select("book_id", "location", "vector"))
+    assert same.count() == 0  # vectors are those of the raw text
+
+
 def test_params_are_arguments(spark, corpus, questions):
     params = RetrievalParams(bm25_limit=2, vector_limit=3, summary_limit=1)
     got = retrieval.hits_of_all_searches(questions, corpus, params=params).groupBy("question_id", "search_method").count()
