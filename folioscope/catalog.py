@@ -59,8 +59,13 @@ def book_totals(spark, sf):
     return tables.books(spark, sf)
 
 
+def _chapters(spark, sf):
+    """The chapter index as a stored table, for queries that use it repeatedly."""
+    return materialise(tables.chapters(spark, sf), "chapters")
+
+
 def _progress(spark, sf, chapters=None, totals=None):
-    chapters = tables.chapters(spark, sf) if chapters is None else chapters
+    chapters = _chapters(spark, sf) if chapters is None else chapters
     totals = locations.book_totals(chapters) if totals is None else totals
     return progress_ops.progress_state(tables.progress_events(spark, sf), totals, chapters)
 
@@ -108,14 +113,14 @@ def chapter_neighbours(spark, sf):
 @query
 def chapter_by_location(spark, sf):
     points = tables.progress_events(spark, sf).filter(F.col("location").isNotNull()).select("event_id", "book_id", "location")
-    return locations.chapter_at(points, tables.chapters(spark, sf), ["event_id"]).select(
+    return locations.chapter_at(points, _chapters(spark, sf), ["event_id"]).select(
         "event_id", "book_id", "location", "chapter_id", "order", "start_location", "end_location", "location_in_chapter", "chapter_locations", "match"
     )
 
 
 @query
 def text_at_location(spark, sf):
-    chapters = tables.chapters(spark, sf)
+    chapters = _chapters(spark, sf)
     state = progress_ops.progress_state(tables.progress_events(spark, sf), locations.book_totals(chapters))
     points = state.select("reader_id", "book_id", F.col("current_location").alias("location"))
     return locations.text_at(points, chapters, tables.chapter_texts(spark, sf), ["reader_id"]).select("reader_id", "book_id", "location", "chapter_id", "window")
@@ -329,7 +334,7 @@ def progress_state(spark, sf):
 
 @query
 def progress_view(spark, sf):
-    chapters = tables.chapters(spark, sf)
+    chapters = _chapters(spark, sf)
     rows = progress_ops.progress_view(_progress(spark, sf, chapters), chapters)
     return rows.select("reader_id", "book_id", "current_location", "chapter_id", "chapter_order", "chapter_title", "resolved_chapter_id")
 
@@ -345,7 +350,8 @@ def progress_sessions(spark, sf):
 
 @query
 def progress_throttled(spark, sf):
-    rows = progress_ops.throttled_positions(_positions(spark, sf), "6 hours")
+    # clock alignment without a zone
+    rows = progress_ops.throttled_positions(ntz(_positions(spark, sf), "ts"), "6 hours")
     return ntz(rows, "ts", "window_start")
 
 

@@ -74,6 +74,7 @@ def build_corpus(
 
     ``keep`` stores each table and returns the stored one; texts are read once.
     """
+    chapters = keep(chapters, "chapters")
     chunks = keep(embedded_chunks(chunk_table(chapters, texts, location_mode), embed, dim), "chunks")
     frequency = keep(keyword.document_frequency(chunks), "frequency")
     statistics = keep(keyword.idf_floor(frequency, keyword.book_statistics(chunks)), "statistics")
@@ -118,6 +119,7 @@ def new_chapters(arriving: DataFrame, corpus_chunks: DataFrame) -> DataFrame:
     return arriving.join(corpus_chunks.select("book_id").distinct(), "book_id", "left_anti")
 
 
-def load_corpus(spark: SparkSession, folder: str, chapters: DataFrame) -> Corpus:
+def load_corpus(spark: SparkSession, folder: str) -> Corpus:
     table = lambda name: load_table(spark, f"{folder}/{name}").drop("book_bucket")
+    chapters = table("chapters")
     return Corpus(chapters, book_totals(chapters), table("chunks"), table("summaries"), table("frequency"), table("statistics"))

@@ -40,7 +40,7 @@ def test_stored_corpus_gives_the_same_hits(spark, corpus, questions, tmp_path):
     folder = str(tmp_path / "library")
     chapters = tables.chapters(spark, SMALL)
     ingest.build_corpus(chapters, tables.chapter_texts(spark, SMALL), keep=ingest.stored_under(folder))
-    again = ingest.load_corpus(spark, folder, chapters)
+    again = ingest.load_corpus(spark, folder)
     columns = ["question_id", "rank", "search_method", "chapter_order", "chunk_no"]
     assert as_set(retrieval.retrieve(questions, again).select(columns)) == as_set(retrieval.retrieve(questions, corpus).select(columns))
 
