@@ -123,6 +123,6 @@ def keyword_search(
     books = idf_floor(frequency, book_statistics(index)) if books is None else books
     probes = question_terms(questions, books, frequency).withColumn("k", F.lit(limit))
     items = index.select(*dict.fromkeys([*CHUNK_KEY, *payload, "book_id", "location", "n_tokens", "tokens"]))
-    best = tiled_topk(probes, items, _bm25_kernel(k1, b), ["question_id"], CHUNK_KEY, list(payload), layout_of=questions, **blocks)
+    best = tiled_topk(probes, items, _bm25_kernel(k1, b), ["question_id"], CHUNK_KEY, limit, list(payload), layout_of=questions, **blocks)
     top = F.max("score").over(W.partitionBy("question_id"))
     return best.withColumn("score", F.col("score") / top * F.lit(scale))

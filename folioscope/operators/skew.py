@@ -43,8 +43,17 @@ def fits_broadcast(df: DataFrame) -> bool:
     return size is not None and size <= limit
 
 
+MAX_SALTS = 128
+
+
 def _salts(df: DataFrame) -> int:
-    return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    """Over how many places a key is spread.
+
+    Bounded, since the lookup side is repeated as often: a key with a third of all
+    rows then costs one task less than 1/300 of them.
+    """
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return max(2, min(MAX_SALTS, partitions))
 
 
 def lookup_join(
@@ -57,7 +66,7 @@ def lookup_join(
     """Join ``big`` with ``small`` (few rows per key) without a hot partition.
 
     A ``small`` whose estimated size is within the session's broadcast limit is left
-    to Spark, which broadcasts it by that same check. Otherwise every key of ``big`` is spread over all shuffle partitions
+    to Spark, which broadcasts it by that same check. Otherwise every key of ``big`` is spread over many partitions
     by a hash of ``salt_by``, and ``small`` is repeated once per spread value.
     ``how`` may be inner, left, left_semi or left_anti: each row of ``big`` meets
     exactly one copy of ``small``, so the result is the same as without spreading.

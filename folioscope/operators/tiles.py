@@ -29,6 +29,7 @@ def tiled_topk(
     kernel: Kernel,
     probe_ids: Sequence[str],
     item_ids: Sequence[str],
+    max_k: int,
     item_payload: Sequence[str] = (),
     probes_per_block: int = PROBES_PER_BLOCK,
     items_per_block: int = ITEMS_PER_BLOCK,
@@ -36,7 +37,7 @@ def tiled_topk(
 ) -> DataFrame:
     """Best ``k`` items per probe, numbered by ``rank_in_method``.
 
-    ``probes`` has book_id, boundary, k and the ``probe_ids``; ``items`` has
+    ``probes`` has book_id, boundary, k (at most ``max_k``) and the ``probe_ids``; ``items`` has
     book_id, location and the ``item_ids``. Items past every boundary of their
     book are dropped before anything is shuffled to a tile. Ties are broken by the
     item ids in ascending order. ``layout_of`` may name a cheaper table with the
@@ -91,8 +92,8 @@ def tiled_topk(
     scored = probe_side.groupBy(*tile).cogroup(item_side.groupBy(*tile)).applyInPandas(score_tile, schema)
     best_first = W.partitionBy(*probe_ids).orderBy(F.round("score", 9).desc(), *item_ids)
     ranked = scored.withColumn("rank_in_method", F.row_number().over(best_first))
-    # k differs by probe, each tile has already cut to it
-    return ranked.filter(F.col("rank_in_method") <= F.col("k")).drop("k")
+    # the fixed bound lets Spark cut before the shuffle, k then cuts each probe
+    return ranked.filter((F.col("rank_in_method") <= max_k) & (F.col("rank_in_method") <= F.col("k"))).drop("k")
 
 
 def top_of(scores: np.ndarray, allowed: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

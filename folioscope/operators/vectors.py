@@ -56,14 +56,20 @@ def similar_vectors(
     content_type: str | Column | None = None,
     exclude_key: Column | None = None,
     conditions: dict[str, object] | None = None,
+    max_limit: int | None = None,
     **blocks,
 ) -> DataFrame:
     """Exact top-``limit`` vectors per probe with cosine at least ``threshold``.
 
     Same book, location not past the probe's boundary, optionally one content type
     and further equality conditions on the vectors. Limits, thresholds and content
-    types may differ by probe, so several searches share one pass over the vectors.
+    types may differ by probe, so several searches share one pass over the vectors;
+    ``max_limit`` then names the largest limit.
     """
+    if max_limit is None:
+        if isinstance(limit, Column):
+            raise ValueError("limits that differ by probe need max_limit")
+        max_limit = limit
     as_col = lambda v: v if isinstance(v, Column) else F.lit(v)
     asked = probes.select(
         *probe_ids, "book_id", F.col("boundary").cast("int").alias("boundary"), "vector",
@@ -77,7 +83,7 @@ def similar_vectors(
         *dict.fromkeys([*item_ids, *payload, "book_id", "location", "content_type", "vector"]),
         F.concat_ws("|", *[F.col(c).cast("string") for c in item_ids]).alias("item_key"),
     )
-    return tiled_topk(asked, offered, _cosine_kernel, probe_ids, item_ids, payload, **blocks)
+    return tiled_topk(asked, offered, _cosine_kernel, probe_ids, item_ids, max_limit, payload, **blocks)
 
 
 def normalised(vectors: DataFrame, column: str = "vector") -> DataFrame:

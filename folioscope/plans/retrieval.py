@@ -77,6 +77,7 @@ def hits_of_all_searches(
     vector_hits = similar_vectors(
         probes, search_items(corpus), ["question_id", "search_method", "probe_no"], ITEM,
         ["book_id", "location", "content_type", "text_key"], F.col("k"), F.col("threshold"), F.col("kind"),
+        max_limit=max(params.vector_limit, params.summary_limit, params.expanded_limit),
     )
     return keyword_hits.unionByName(vector_hits)
 

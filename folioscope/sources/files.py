@@ -11,6 +11,14 @@ RULE_SCHEMA = (
     "book string, query string, percentage_of_book_read int, evaluation_rules struct<forbidden_keywords: array<string>>"
 )
 
+RESULT_SCHEMA = (
+    "evaluation_type string, model string, book string, query string, progress_stage int, generated_answer string, "
+    "response_time double, error_type string, context_count int, bert_precision double, bert_recall double, bert_f1 double, "
+    "bleu double, factual_grounding int, retrieval_effectiveness double, sentence_count int, avg_sentence_length double, "
+    "unique_word_ratio double, contextual_fidelity int, relevance int, helpfulness int, coherence int, "
+    "instruction_following int, paas_score int, spoiler_prevention_flag int"
+)
+
 
 def comprehension_queries(spark: SparkSession, path: str) -> DataFrame:
     """JSON array of {book, query, ground_truth}."""
@@ -24,7 +32,11 @@ def spoiler_rules(spark: SparkSession, path: str) -> DataFrame:
 
 
 def results_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """Evaluation results with header; column names are trimmed."""
+    """Evaluation results with header; column names are trimmed.
+
+    Give ``RESULT_SCHEMA`` (or another) for large files; without one the types are
+    inferred by an extra pass.
+    """
     reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
     rows = (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
     return rows.toDF(*[c.strip() for c in rows.columns])
