@@ -761,6 +761,6 @@ def stream_replies(spark, sf):
     from folioscope.streaming.replies import joined_replies
 
     turns = tables.read(spark, sf, "conversations").select(
-        "conv_id", "turn", F.when(F.col("turn") % 3 == 2, F.lit("{broken")).otherwise(F.to_json(F.struct(F.substring("text", 1, 20).alias("response")))).alias("line")
+        "conv_id", "turn", F.when(F.col("turn") % 3 == 2, F.lit("{broken")).otherwise(F.to_json(F.struct(F.col("text").alias("response")))).alias("line")
     )
     return joined_replies(turns, ["conv_id"], "turn")

@@ -108,10 +108,10 @@ def with_speed_percentile(results: DataFrame) -> DataFrame:
     counts = results.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
     placed = segmented_running_sums(counts, ["model"], ["response_time"], time_segment("response_time"), {"_before": F.col("_n")})
     totals = counts.groupBy("model").agg(F.sum("_n").alias("_all"))
-    everything = counts.agg(F.sum("_n").alias("_rows"))
+    everything = counts.agg(F.sum("_n")).scalar()
     share = (F.col("_before") + (F.col("_n") + 1) / 2) / F.col("_all") * 100
-    values = lookup_join(placed, totals, ["model"], ["response_time"]).crossJoin(F.broadcast(everything)).select(
-        *key, share.alias("response_speed_percentile"), (F.col("_n") * HOT_SHARE > F.col("_rows")).alias("_hot")
+    values = lookup_join(placed, totals, ["model"], ["response_time"]).select(
+        *key, share.alias("response_speed_percentile"), (F.col("_n") * HOT_SHARE > everything).alias("_hot")
     )
     hot = F.broadcast(values.filter("_hot").drop("_hot"))
     cold = values.filter("not _hot").drop("_hot")

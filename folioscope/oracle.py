@@ -454,7 +454,7 @@ BODIES: dict[str, str] = {
     "patch_merge": """SELECT user_id, coalesce(arg_max(value, event_id) FILTER (event_type = 'purchase'), arg_max(value, event_id) FILTER (event_type = 'click'), 16.0) AS font_size,
       CASE WHEN count(*) FILTER (event_type = 'view') > 0 THEN 'view' ELSE 'light' END AS theme FROM events GROUP BY user_id""",
     "title_match": "SELECT 'book ' || book_id || '.txt ' AS title, book_id FROM books",
-    "stream_replies": """SELECT conv_id, (turn // 4096)::INT AS block, string_agg(substr(text, 1, 20), '' ORDER BY turn) AS reply, count(*)::INT AS n_pieces FROM conversations
+    "stream_replies": """SELECT conv_id, (turn // 4096)::INT AS block, string_agg(text, '' ORDER BY turn) AS reply, count(*)::INT AS n_pieces FROM conversations
       WHERE turn % 3 <> 2 GROUP BY conv_id, turn // 4096""",
 }
 

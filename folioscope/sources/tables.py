@@ -83,8 +83,8 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     pairs = asked.join(replied, ["conv_id", "turn"])
     bench = read(spark, sf_dir, "benchmark")
-    n_items = bench.agg(F.count(F.lit(1)).alias("_n"))
-    keyed = pairs.crossJoin(F.broadcast(n_items)).withColumn("item_id", F.col("conv_id") % F.col("_n")).drop("_n")
+    n_items = bench.agg(F.count(F.lit(1))).scalar()
+    keyed = pairs.withColumn("item_id", F.col("conv_id") % n_items)
     truth = bench.select("item_id", F.col("text").alias("ground_truth"))
     return lookup_join(keyed, truth, ["item_id"], ["conv_id", "turn"]).withColumn(
         "model", F.concat(F.lit("m"), (F.col("conv_id") % 5).cast("string"))
