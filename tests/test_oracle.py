@@ -3,10 +3,11 @@
 import pytest
 
 import __spark_entry__ as entry
+from folioscope import catalog, oracle
 from tests.compare import compare, duck
 from tests.conftest import SMALL
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = catalog.QUERIES, oracle.all_sql()
 
 
 @pytest.fixture(scope="module")
