@@ -57,7 +57,7 @@ def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             found, lags = feature_numbers(text)
             count = np.concatenate([np.bincount(found, minlength=1 << BITS), lags])
             used = np.flatnonzero(count)
-            rows.append((label, used.astype(np.int32), count[used].astype(np.float32)))
+            rows.append((label, used.astype(np.int32).tobytes(), count[used].astype(np.float32).tobytes()))
         yield pd.DataFrame(rows, columns=["label", "features", "counts"])
 
 
@@ -131,8 +131,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Quali
     sample = [known.where(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
     # bounded by 2 * per_class ids
     chosen = docs.select("doc_id", "text").join(F.broadcast(sample[0].union(sample[1])), "doc_id").select("text", "label")
-    rows = [(r["label"], np.array(r["features"], np.int32), np.array(r["counts"], np.float64))
-            for r in chosen.mapInPandas(features, "label int, features array<int>, counts array<float>").collect()]
+    rows = [(r["label"], np.frombuffer(r["features"], np.int32), np.frombuffer(r["counts"], np.float32))
+            for r in chosen.mapInPandas(features, "label int, features binary, counts binary").collect()]
     if len({y for y, b, _ in rows if len(b)}) < 2:
         return QualityModel(np.zeros(FEATURES), 0.0, sum(r["count"] for r in share if r["label"]) / total)
     prior = sum(r["count"] for r in share if r["label"]) / total
