@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folioscope.llm import quality
+from folioscope.llm import lines, quality
 from folioscope.llm.common import read
 from folioscope.session import ship_package
 
@@ -33,3 +33,16 @@ def op10_quality(spark, sf_dir):
         "doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), F.col("quality_score").alias("score"),
         (F.col("quality_score") >= quality.ACCEPT).cast("int").alias("predicted"),
     )
+
+
+@query
+def op1_line_dedup(spark, sf_dir):
+    """What line dedup leaves of every document."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", F.col("text").alias("whole"))
+    return lines.dedup_lines(docs).select(
+        "doc_id", F.size(F.split("whole", "\n", -1)).cast("long").alias("n_lines"), F.col("removed_chunks").cast("long").alias("removed_chunks"),
+        F.col("removed_lines").cast("long").alias("removed_lines"), F.md5(F.col("text").cast("binary")).alias("text_md5"),
+    )
+
+
+ORACLE_SQL["op1_line_dedup"] = lines.ORACLE_SQL
