@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folioscope.llm import lines, quality
+from folioscope.llm import lines, quality, simhash
 from folioscope.llm.common import read
 from folioscope.session import ship_package
 
@@ -46,3 +46,10 @@ def op1_line_dedup(spark, sf_dir):
 
 
 ORACLE_SQL["op1_line_dedup"] = lines.ORACLE_SQL
+
+
+@query
+def op7_simhash(spark, sf_dir):
+    """Fingerprint and near-duplicate component of every document."""
+    found = simhash.components(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
