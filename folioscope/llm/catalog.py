@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folioscope.llm import lines, quality, simhash
+from folioscope.llm import decontaminate, lines, mixing, quality, simhash
 from folioscope.llm.common import read
 from folioscope.session import ship_package
 
@@ -53,3 +53,19 @@ def op7_simhash(spark, sf_dir):
     """Fingerprint and near-duplicate component of every document."""
     found = simhash.components(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query
+def op2_decontaminate(spark, sf_dir):
+    """Every benchmark item found in a document."""
+    return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query
+def op9_mixing(spark, sf_dir):
+    """The documents sampled to tempered source, language and topic weights."""
+    sample = mixing.mix(read(spark, sf_dir, "documents"))
+    return sample.select("doc_id", "source", "lang", "topic", "tokens", F.round("probability", 6).alias("probability"))
+
+
+ORACLE_SQL["op9_mixing"] = mixing.oracle_sql()
