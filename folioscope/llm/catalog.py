@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folioscope.llm import decontaminate, lines, mixing, quality, simhash
+from folioscope.llm import decontaminate, lines, mixing, quality, simhash, topk, warc
 from folioscope.llm.common import read
 from folioscope.session import ship_package
 
@@ -69,3 +69,23 @@ def op9_mixing(spark, sf_dir):
 
 
 ORACLE_SQL["op9_mixing"] = mixing.oracle_sql()
+
+
+@query
+def op6_topk(spark, sf_dir):
+    """The five best other vectors of every fiftieth id, by integer inner product."""
+    vectors = topk.quantised(read(spark, sf_dir, "embeddings"))
+    return topk.top_k(vectors.where("vec_id % 50 = 0"), vectors, 5)
+
+
+ORACLE_SQL["op6_topk"] = topk.ORACLE_SQL
+
+
+@query
+def op3_warc(spark, sf_dir):
+    """Every page as its archive record says."""
+    found = warc.round_trip(read(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLE_SQL["op3_warc"] = warc.ORACLE_SQL

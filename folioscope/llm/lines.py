@@ -97,9 +97,9 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     return copies.join(texts, "key").select("doc_id", "text_key", "code", "chunk")
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with repeated chunks taken out of ``text``, and ``removed_chunks``, ``removed_lines`` (replaced if present)."""
-    columns = [c for c in docs.columns if c not in ("removed_chunks", "removed_lines")]
+def dedup_lines(docs: DataFrame, counts: tuple[str, str] = ("removed_chunks", "removed_lines")) -> DataFrame:
+    """``docs`` with repeated chunks taken out of ``text``, and how many chunks and lines went (replaced if present)."""
+    columns = [c for c in docs.columns if c not in counts]
     gone = repeated_chunks(docs).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("code", "chunk")).alias("copies")).alias("g")
     rows = docs.select(F.struct(*columns).alias("row")).withColumn("key", _text_key(F.col("row.text"))).alias("d")
     joined = rows.join(gone, F.col("d.row.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d.key") == F.col("g.text_key")), "left")
@@ -120,7 +120,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     done = joined.select("row", changed.alias("new"))
     return done.select(
         *[(F.when(F.col("new").isNull(), F.col("row.text")).otherwise(F.col("new.text")) if c == "text" else F.col("row").getField(c)).alias(c) for c in columns],
-        F.coalesce("new.chunks", F.lit(0)).alias("removed_chunks"), F.coalesce("new.lines", F.lit(0)).alias("removed_lines"),
+        F.coalesce("new.chunks", F.lit(0)).alias(counts[0]), F.coalesce("new.lines", F.lit(0)).alias(counts[1]),
     )
 
 
