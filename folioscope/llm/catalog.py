@@ -38,9 +38,9 @@ def op10_quality(spark, sf_dir):
 @query
 def op1_line_dedup(spark, sf_dir):
     """What line dedup leaves of every document."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text", F.col("text").alias("whole"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", F.size(F.split("text", "\n", -1)).cast("long").alias("n_lines"))
     return lines.dedup_lines(docs).select(
-        "doc_id", F.size(F.split("whole", "\n", -1)).cast("long").alias("n_lines"), F.col("removed_chunks").cast("long").alias("removed_chunks"),
+        "doc_id", "n_lines", F.col("removed_chunks").cast("long").alias("removed_chunks"),
         F.col("removed_lines").cast("long").alias("removed_lines"), F.md5(F.col("text").cast("binary")).alias("text_md5"),
     )
 

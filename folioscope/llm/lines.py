@@ -93,14 +93,14 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
         .select(F.explode(let(_lines(F.col("text")), lambda x: F.transform("wanted", lambda w: F.struct(w["key"].alias("key"), _chunk(x, w["code"]).alias("chunk"))))).alias("c"))
         .select("c.key", "c.chunk").dropDuplicates(["key"])
     )
-    copies = parts.join(repeated, "key").where(place != F.col("first")).select("doc_id", "text_key", "code", "key").distinct()
+    copies = parts.join(repeated, "key").where(place != F.col("first")).select("doc_id", "text_key", "code", "key")
     return copies.join(texts, "key").select("doc_id", "text_key", "code", "chunk")
 
 
 def dedup_lines(docs: DataFrame, counts: tuple[str, str] = ("removed_chunks", "removed_lines")) -> DataFrame:
     """``docs`` with repeated chunks taken out of ``text``, and how many chunks and lines went (replaced if present)."""
     columns = [c for c in docs.columns if c not in counts]
-    gone = repeated_chunks(docs).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("code", "chunk")).alias("copies")).alias("g")
+    gone = repeated_chunks(docs).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("code", "chunk")).alias("copies")).alias("g")
     rows = docs.select(F.struct(*columns).alias("row")).withColumn("key", _text_key(F.col("row.text"))).alias("d")
     joined = rows.join(gone, F.col("d.row.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d.key") == F.col("g.text_key")), "left")
 
