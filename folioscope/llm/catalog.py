@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folioscope.llm import decontaminate, lines, mixing, quality, simhash, topk, warc
+from folioscope.llm import decontaminate, lines, mixing, passages, pii, quality, simhash, topk, urls, warc
 from folioscope.llm.common import read
 from folioscope.session import ship_package
 
@@ -89,3 +89,26 @@ def op3_warc(spark, sf_dir):
 
 
 ORACLE_SQL["op3_warc"] = warc.ORACLE_SQL
+
+
+@query
+def op8_pii(spark, sf_dir):
+    """The personal data of every document: base entities, and the terms that give them away."""
+    found = pii.sanitise(read(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", *[f"n_{k}" for k in pii.KINDS], F.sha2(pii.listed(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        pii.listed(F.col("spans")).alias("spans"),
+    )
+
+
+@query
+def op4_urls(spark, sf_dir):
+    """The verdict on every page's url: the longest rule that fits, else trees fitted on the urls that rules decide."""
+    pages = read(spark, sf_dir, "pages")
+    return urls.judge(pages, urls.fit(urls.rule_labels(pages)))
+
+
+@query
+def op5_substring_dedup(spark, sf_dir):
+    """Every document that shares a passage with another one."""
+    return passages.repeats(read(spark, sf_dir, "documents"))
