@@ -75,35 +75,33 @@ class QualityModel:
         return float(1 / (1 + np.exp(-(self.bias + (total / n if n else 0.0)))))
 
 
-def train(rows: list, prior: float, epochs: int = 5, rate: float = 2.0, batch: int = 32, seed: int = 7) -> QualityModel:
+def train(rows: list, prior: float, epochs: int = 5, least_steps: int = 600, rate: float = 2.0, batch: int = 32, seed: int = 7) -> QualityModel:
     """Stochastic gradient descent on vectors and softmax; ``rows`` are (label, feature numbers, counts).
 
-    The classes are sampled evenly for the fit; the bias is then moved to the ``prior`` share of label 1.
+    Both classes are drawn equally often, for at least ``least_steps`` batches; the bias is then moved to the ``prior``
+    share of label 1.
     """
     rng = np.random.default_rng(seed)
     vectors = rng.normal(0, 0.1, (FEATURES, DIM)).astype(np.float32)
     softmax, bias = rng.normal(0, 0.1, (2, DIM)), np.zeros(2)
     data = [(int(y), b, (c / c.sum()).astype(np.float32)) for y, b, c in rows if len(b)]
-    steps, step = epochs * (len(data) // batch + 1), 0
-    for _ in range(epochs):
-        order = rng.permutation(len(data))
-        for at in range(0, len(order), batch):
-            part = [data[i] for i in order[at : at + batch]]
-            means = np.stack([share @ vectors[used] for _, used, share in part])
-            logits = means @ softmax.T + bias
-            logits -= logits.max(axis=1, keepdims=True)
-            chance = np.exp(logits)
-            chance /= chance.sum(axis=1, keepdims=True)
-            chance[np.arange(len(part)), [y for y, _, _ in part]] -= 1
-            now = rate * (1 - step / steps)
-            back = chance @ softmax
-            softmax -= now / len(part) * chance.T @ means
-            bias -= now / len(part) * chance.sum(axis=0)
-            for (_, used, share), slope in zip(part, back):
-                vectors[used] -= np.outer(share, now * slope)
-            step += 1
-    even = sum(y for y, _, _ in data) / max(1, len(data))
-    shift = np.log(prior / (1 - prior)) - np.log(even / (1 - even))
+    classes = [np.array([i for i, d in enumerate(data) if d[0] == y]) for y in (0, 1)]
+    steps = max(least_steps, epochs * len(data) // batch)
+    for step in range(steps):
+        part = [data[i] for own in classes for i in rng.choice(own, batch // 2)]
+        means = np.stack([share @ vectors[used] for _, used, share in part])
+        logits = means @ softmax.T + bias
+        logits -= logits.max(axis=1, keepdims=True)
+        chance = np.exp(logits)
+        chance /= chance.sum(axis=1, keepdims=True)
+        chance[np.arange(len(part)), [y for y, _, _ in part]] -= 1
+        now = rate * (1 - step / steps)
+        back = chance @ softmax
+        softmax -= now / len(part) * chance.T @ means
+        bias -= now / len(part) * chance.sum(axis=0)
+        for (_, used, share), slope in zip(part, back):
+            vectors[used] -= np.outer(share, now * slope)
+    shift = np.log(prior / (1 - prior))
     fold = vectors @ (softmax[1] - softmax[0])
     return QualityModel(fold.astype(np.float64), float(bias[1] - bias[0] + shift))
 
