@@ -88,7 +88,7 @@ def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, keep: floa
     ).withColumn("topic", _key(F.col("topic_name")))
     cells = materialise(named.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("base")), "cells")
     goals = {d: materialise(tempered(cells, d), "targets") if d not in (targets or {}) else targets[d] for d in DIMENSIONS}
-    raked = rake(cells, goals, rounds).where("base > 0").select(*DIMENSIONS, F.least(F.lit(1.0), keep * F.col("x") / F.col("base")).alias("raked"))
+    raked = rake(cells, goals, rounds).where("base > 0").select(*DIMENSIONS, F.round(F.least(F.lit(1.0), keep * F.col("x") / F.col("base")), 9).alias("raked"))
     judged = named.join(raked, list(DIMENSIONS), "left").withColumn("probability", F.when(F.col("tokens") > 0, F.col("raked")).otherwise(keep))
     sample = judged.where(draw(F.col("row.doc_id")) < F.col("probability"))
     return sample.select(*[F.col("row").getField(c).alias(c) for c in columns], F.col("topic_name").alias("topic"), "tokens", "probability")
@@ -115,5 +115,5 @@ def oracle_sql(rounds: int = ROUNDS) -> str:
     return "WITH " + ",\n".join(steps) + f"""
 SELECT doc_id, source, lang, topic, tokens, round(least(1.0, {KEEP} * x / base), 6) AS probability
 FROM docs JOIN x{n} USING (source, lang, topic)
-WHERE CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 13) AS BIGINT) / {float(1 << 52)} < least(1.0, {KEEP} * x / base)
+WHERE CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 13) AS BIGINT) / {float(1 << 52)} < round(least(1.0, {KEEP} * x / base), 9)
 """
