@@ -138,9 +138,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Quali
     return train(rows, prior)
 
 
-def scores(docs: DataFrame, model: QualityModel, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (default: all) with ``quality_score``; any column of that name is replaced."""
-    keep = [c for c in (docs.columns if keep is None else keep) if c != "quality_score"]
+def scores(docs: DataFrame, model: QualityModel, keep: list[str] | None = None, name: str = "quality_score") -> DataFrame:
+    """The columns ``keep`` (default: all) of ``docs`` and the score as ``name``; any column of that name is replaced."""
+    keep = [c for c in (docs.columns if keep is None else keep) if c != name]
     folded = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES numbers
 
     def run(batches):
@@ -149,21 +149,20 @@ def scores(docs: DataFrame, model: QualityModel, text_col: str = "text", keep: l
         told = folded.value
         for batch in batches:
             result = []
-            for text in batch.column(text_col).to_pylist():
+            for text in batch.column("text").to_pylist():
                 found, lags = feature_numbers(text)
                 total = told.weight[found].sum() + told.weight[-LAGS:] @ lags
                 result.append(told.score(total, len(found) + lags.sum()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in keep] + [pa.array(result, pa.float64())], names=[*keep, "quality_score"]
+                [batch.column(c) for c in keep] + [pa.array(result, pa.float64())], names=[*keep, name]
             )
 
-    needed = docs.select(*keep, *([] if text_col in keep else [text_col]))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return needed.mapInArrow(run, f"{kinds}{', ' if kinds else ''}quality_score double")
+    needed = docs.select(*keep, *([] if "text" in keep else ["text"]))
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*keep).schema)
+    return needed.mapInArrow(run, f"{kinds}`{name}` double")
 
 
 def filter_quality(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT) -> DataFrame:
     """The documents whose score reaches ``accept``, with their own columns."""
-    model = fit(docs, labels)
-    scored = scores(docs.withColumn("__text", F.col("text")), model, "__text")
-    return scored.where(F.col("quality_score") >= accept).select(*docs.columns)
+    scored = scores(docs, fit(docs, labels), name="__quality_score")
+    return scored.where(F.col("__quality_score") >= accept).select(*docs.columns)

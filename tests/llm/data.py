@@ -25,7 +25,7 @@ def documents(spark: SparkSession, rows: list[tuple]) -> DataFrame:
 
 def awkward(spark: SparkSession) -> DataFrame:
     long_text = "\n".join(prose(k, 12) for k in range(3000))
-    shared = "\n".join(prose(900 + k, 9) for k in range(6))
+    shared = "\n".join(prose(90_000 + k, 9) for k in range(24))
     rows = [
         (1, prose(1, 80)), (2, prose(1, 80)), (2, prose(1, 80)), (3, None), (4, ""), (5, ""), (6, "  \n\t\n "), (None, prose(2, 30)), (None, None),
         (7, long_text), (8, shared + "\n" + prose(3, 20)), (9, prose(4, 20) + "\n" + shared), (10, "one"), (11, "é" * 5000), (12, "same word " * 400),

@@ -132,6 +132,8 @@ def test_search_finds_all_above_threshold():
             found = {index.ids[i]: s for i, s in index.search(terms, threshold)}
             every = {i: sum(impact.get((i, f"t{t}".encode()), 0) for t in asked) for i in range(60)}
             assert found.keys() == {i for i, s in every.items() if s >= threshold - 1e-9}
+            parts = [x for a, b in zip(index.edges, index.edges[1:]) for x in index.search(terms, threshold, int(a), int(b))]
+            assert sorted(parts) == sorted(index.search(terms, threshold))
             assert all(abs(found[i] - every[i]) < 1e-9 for i in found)
 
 
@@ -152,11 +154,11 @@ def test_leaks_equal_brute_force(spark):
 def test_leaks_awkward_rows(spark):
     question, answer = prose(50, 20) + ".", "Answer " + prose(51, 6) + "."
     items = spark.createDataFrame(
-        [(1, f"{question} {answer}", 0), (1, f"{question} {answer}", 0), (2, None, 0), (3, "", 0), (4, "...", 0), (None, prose(52, 12), 0), (5, "two words", 0)],
+        [(1, f"{question} {answer}", 0), (1, f"{question} {answer}", 0), (2, None, 0), (3, "", 0), (4, "...", 0), (None, prose(5200, 12), 0), (5, "two words", 0)],
         "item_id long, text string, doc_id int",
     )
     docs = awkward(spark).select("doc_id", "text", "lang").union(documents(spark, [
-        (20, f"{prose(60, 500)} {question.upper()}\n{answer} {prose(61, 400)}"), (21, f"{question} {prose(62, 9)}"), (22, prose(52, 12)), (None, prose(52, 12)), (22, prose(52, 12)), (23, "Two, words!"),
+        (20, f"{prose(60, 500)} {question.upper()}\n{answer} {prose(61, 400)}"), (21, f"{question} {prose(62, 9)}"), (22, prose(5200, 12)), (None, prose(5200, 12)), (22, prose(5200, 12)), (23, "Two, words!"),
     ]).select("doc_id", "text", "lang"))
     found = rows_of(dc.leaks(docs, items), "item_id", "doc_id")
     assert found == sorted([(1, 20), (None, 22), (None, None), (5, 23)], key=repr)  # 21 holds the question only
