@@ -17,6 +17,7 @@ and equal rows, count once; null ids are kept; whole texts are searched; empty t
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,7 +30,9 @@ K1, B = 1.2, 0.75
 THRESHOLD = 0.5
 SHINGLE, OVERLAP = 5, 0.8
 BLOCK = 16
-PART = 1_000_000
+PART = 200_000
+#: Ranges of items whose bounds are summed for all windows of a document at once.
+RANGES = 64
 _SPLIT = bytes(32 if chr(c) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else c for c in range(256))
 
 
@@ -80,13 +83,17 @@ class Index:
     longest: int
     vocabulary: dict
     lists: list  # per term: item numbers, impacts, last item and highest impact of each block, highest impact
-    bound: np.ndarray  # per term: its highest impact
+    edges: np.ndarray  # item numbers at which the ranges begin, and the end
+    bounds: np.ndarray  # per term and range: the highest impact
     question: list
     answer: list
 
     @classmethod
     def build(cls, part: pd.DataFrame) -> Index:
-        items = part.drop_duplicates("item_key").sort_values(["n_words", "item_key"])
+        # items that share their most common terms stand together, which keeps the bounds of ranges and blocks tight
+        part = part.assign(df=part.groupby("term")["item_key"].transform("count"))
+        common = part.sort_values(["df", "term"], ascending=False).groupby("item_key")["term"].agg(lambda x: b" ".join(map(bytes, x[:3])))
+        items = part.drop_duplicates("item_key").assign(common=lambda x: x["item_key"].map(common)).sort_values(["common", "n_words", "item_key"])
         number = {k: i for i, k in enumerate(items["item_key"])}
         vocabulary, lists = {}, []
         part = part.assign(item=part["item_key"].map(number)).sort_values(["term", "item"])
@@ -102,11 +109,21 @@ class Index:
             inside = max(1, cut - SHINGLE + 1) if cut else 0  # an item shorter than a shingle is all question
             question.append(set(every[:inside]))
             answer.append(set(every[inside:]) if cut < len(words) else set())
-        return cls(items["item_id"].tolist(), int(items["n_words"].max()), vocabulary, lists, np.array([x[4] for x in lists]), question, answer)
-
-    def search(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
-        """All items whose score over ``terms`` reaches ``threshold``, by block-max WAND."""
-        cursors = [[self.lists[t][0][0], 0, t] for t in terms]
+        edges = np.unique(np.linspace(0, len(items), min(RANGES, len(items)) + 1).astype(np.int64))
+        bounds = np.zeros((len(lists), len(edges) - 1), np.float32)
+        for t, (at, impact, *_) in enumerate(lists):
+            np.maximum.at(bounds[t], np.searchsorted(edges, at, "right") - 1, np.array(impact, np.float32))
+        return cls(items["item_id"].tolist(), int(items["n_words"].max()), vocabulary, lists, edges, bounds, question, answer)
+
+    def search(self, terms: list[int], threshold: float, low: int = 0, high: int | None = None) -> list[tuple[int, float]]:
+        """All items from ``low`` up to ``high`` whose score over ``terms`` reaches ``threshold``, by block-max WAND."""
+        high = len(self.ids) if high is None else high
+        cursors = []
+        for t in terms:
+            items = self.lists[t][0]
+            at = bisect_left(items, low)
+            if at < len(items) and items[at] < high:
+                cursors.append([items[at], at, t])
         found, slack = [], threshold - 1e-9
         while cursors:
             cursors.sort()
@@ -122,7 +139,7 @@ class Index:
             while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == item:
                 pivot += 1
             # the blocks that would hold the pivot item bound its score more tightly than whole lists
-            total, reach = 0.0, cursors[pivot + 1][0] if pivot + 1 < len(cursors) else len(self.ids)
+            total, reach = 0.0, cursors[pivot + 1][0] if pivot + 1 < len(cursors) else high
             for now, at, t in cursors[: pivot + 1]:
                 last, highest = self.lists[t][2], self.lists[t][3]
                 block = at // BLOCK
@@ -146,7 +163,7 @@ class Index:
                 while at < len(items) and items[at] < target:
                     block = at // BLOCK
                     at = (block + 1) * BLOCK if self.lists[t][2][block] < target else at + 1
-                if at < len(items):
+                if at < len(items) and items[at] < high:
                     moved.append([items[at], at, t])
             cursors = moved + cursors[pivot + 1 :]
         return found
@@ -159,18 +176,21 @@ class Index:
         places = np.flatnonzero(ids >= 0)
         if not len(places):
             return {}
-        # distinct terms of each half window; two neighbours bound the score of their window
-        halves = -(-len(words) // self.longest)
-        pairs = np.unique(places // self.longest * len(self.lists) + ids[places])
-        half, term = pairs // len(self.lists), pairs % len(self.lists)
-        sums = np.bincount(half, self.bound[term], minlength=halves + 1)
-        windows = np.flatnonzero(sums[:-1] + sums[1:] >= threshold - 1e-9)
+        # the distinct terms of each window, and what they can add up to in each range of items
+        width, half = len(self.lists), places // self.longest
+        pairs = np.unique(np.concatenate([half * width, np.maximum(half - 1, 0) * width]) + np.tile(ids[places], 2))
+        window, term = pairs // width, pairs % width
+        starts = np.flatnonzero(np.diff(window, prepend=-1))
+        stops = np.append(starts[1:], len(window))
         found: dict[int, tuple] = {}
-        for w in windows:
-            inside = np.unique(term[(half == w) | (half == w + 1)])
-            if self.bound[inside].sum() < threshold - 1e-9:
-                continue
-            hits = self.search(inside.tolist(), threshold)
+        asked: list[tuple[int, int]] = []
+        for at in range(0, len(starts), 512):
+            first = starts[at]
+            sums = np.add.reduceat(self.bounds[term[first : stops[min(at + 512, len(starts)) - 1]]], starts[at : at + 512] - first, axis=0)
+            asked += [(at + int(w), int(r)) for w, r in np.argwhere(sums >= threshold - 1e-4)]
+        for n, r in asked:
+            w = window[starts[n]]
+            hits = self.search(term[starts[n] : stops[n]].tolist(), threshold, int(self.edges[r]), int(self.edges[r + 1]))
             if not hits:
                 continue
             start = int(w) * self.longest
@@ -194,7 +214,7 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overl
     schema = f"item_id {kinds['item_id']}, doc_id {kinds['doc_id']}, score double, question_overlap double, answer_overlap double, first_word int"
     found = None
     for part in range(parts):
-        rows = whole.where(F.pmod(F.xxhash64("item_key"), F.lit(parts)) == part).toPandas()  # about PART postings
+        rows = whole.where(F.pmod(F.xxhash64("item_key"), F.lit(parts)) == part).toArrow().to_pandas(integer_object_nulls=True)  # about PART postings
         if not len(rows):
             continue
         index = spark.sparkContext.broadcast(Index.build(rows))
