@@ -42,7 +42,6 @@ def ntz(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in columns})
 
 
-ERROR_TYPES = ["api_error", "empty_response"]
 BERT = ["bert_precision", "bert_recall", "bert_f1"]
 
 
@@ -223,7 +222,7 @@ def _vector_probes(spark, sf):
 def vector_topk(spark, sf):
     rows, probes = _vector_probes(spark, sf)
     hits = vector_ops.similar_vectors(
-        probes, rows, ["question_id"], ["vec_id"], ["location"], limit=15, threshold=0.0, exclude_key=F.col("question_id").cast("string")
+        probes, rows, ["question_id"], ["vec_id"], ["location"], limit=15, threshold=-1.0, exclude_key=F.col("question_id").cast("string")
     )
     return hits.select("question_id", "rank_in_method", "vec_id", "location", r6("score").alias("score"))
 
@@ -241,7 +240,7 @@ def vector_threshold(spark, sf):
 def summary_search(spark, sf):
     rows, probes = _vector_probes(spark, sf)
     hits = vector_ops.similar_vectors(
-        probes, rows, ["question_id"], ["vec_id"], ["location"], limit=5, threshold=0.0, conditions={"content_type": "summary"},
+        probes, rows, ["question_id"], ["vec_id"], ["location"], limit=5, threshold=-1.0, conditions={"content_type": "summary"},
         exclude_key=F.col("question_id").cast("string"),
     )
     return hits.select("question_id", "rank_in_method", "vec_id", r6("score").alias("score"))
@@ -611,13 +610,12 @@ def scaled_metrics(spark, sf):
 
 @query
 def error_crosstab(spark, sf):
-    return analytics.error_counts(_regular(spark, sf), ERROR_TYPES)
+    return analytics.error_counts(_regular(spark, sf))
 
 
 @query
 def error_share(spark, sf):
-    rows = analytics.error_shares(_regular(spark, sf), ERROR_TYPES)
-    return rows.select("model", *[r6(c).alias(c) for c in ERROR_TYPES])
+    return analytics.error_shares(_regular(spark, sf)).withColumn("share", r6("share"))
 
 
 @query

@@ -12,8 +12,8 @@ from dataclasses import dataclass, field
 LOCATION_CHARS = 1000          # characters per location
 CHUNK_SIZE = 400
 CHUNK_OVERLAP = 100
-MIN_CHUNK_CHARS = 100
-MIN_CHAPTER_BYTES = 50
+MIN_CHUNK_CHARS = 0            # floors are off: every text keeps a chunk
+MIN_CHAPTER_BYTES = 0
 EMBED_BATCH = 120              # chunks per embedding batch
 SUMMARY_INTERVAL = 11          # locations between two summaries
 DEFAULT_TOTAL_LOCATIONS = 100  # used when a book has no total
@@ -31,7 +31,6 @@ SUMMARY_LIMIT, SUMMARY_THRESHOLD, SUMMARY_WEIGHT = 5, 0.65, 0.4
 EXPANDED_LIMIT, EXPANDED_THRESHOLD, EXPANDED_WEIGHT = 5, 0.5, 0.7
 MIN_EXPANSION_CHARS = 5
 
-DEDUPE_KEY_CHARS = 100
 RERANK_MIN_RESULTS = 8
 RERANK_MIN_WORDS = 3
 RERANK_HEAD = 15

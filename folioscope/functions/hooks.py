@@ -8,7 +8,6 @@ pre-computed replies can stand in for a generator.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -16,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from folioscope import config
-from folioscope.functions.text import tokens
+from folioscope.functions.text import chunk_pieces, tokens
 
 EmbedFn = Callable[[list[str]], Sequence[Sequence[float]]]
 GenerateFn = Callable[[list[str]], Sequence[str]]
@@ -88,15 +87,7 @@ def register_chunk_udtf(spark: SparkSession, name: str = "chunk_text") -> None:
     @udtf(returnType="chunk_no: int, char_pos: int, chunk: string")
     class ChunkText:
         def eval(self, text: str, size: int, overlap: int, min_chars: int):
-            half, at, number = size // 2, 0, 0
-            breaks = [(re.compile(r"(?s).+\n\n"), size + 50 - half), (re.compile(r"(?s).+\. "), size + 30 - half)]
-            while text and at < len(text):
-                ends = (p.match(text[at + half : at + half + reach]) for p, reach in breaks)
-                best = next((half + m.end() for m in ends if m), min(size, len(text) - at))
-                piece = text[at : at + best].strip()
-                if len(piece) >= min_chars:
-                    number += 1
-                    yield number, at, piece
-                at += max(best - overlap // 2, half)
+            for number, (at, piece) in enumerate(chunk_pieces(text, size, overlap, min_chars=min_chars), 1):
+                yield number, at, piece
 
     spark.udtf.register(name, ChunkText)

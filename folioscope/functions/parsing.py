@@ -11,15 +11,16 @@ from folioscope.functions.text import bind, strip
 # Fixed patterns for ratings and JSON objects inside prose.
 RATING = r"\[(\d+)\]:\s*(\d+)"
 JSON_OBJECT = r"\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\}"
+NUMBERED = r"^\d+\."
 FENCED_JSON = r"(?is)```(?:json)?\s*(\{.*?\})\s*```"
 
 
 def numbered_items(reply: Column, min_chars: int = config.MIN_EXPANSION_CHARS) -> Column:
-    """Texts of the lines numbered 1. and 2., if longer than ``min_chars``."""
+    """Texts of the lines that begin with a number and a dot, if longer than ``min_chars``."""
     lines = F.transform(F.split(reply, "\n"), strip)
-    numbered = F.filter(lines, lambda x: x.startswith("1.") | x.startswith("2."))
+    numbered = F.filter(lines, lambda x: x.rlike(NUMBERED))
     return F.filter(
-        F.transform(numbered, lambda x: strip(F.substring(x, 3, 1 << 30))), lambda x: F.length(x) > min_chars
+        F.transform(numbered, lambda x: strip(F.regexp_replace(x, NUMBERED, ""))), lambda x: F.length(x) > min_chars
     )
 
 

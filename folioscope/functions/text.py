@@ -161,80 +161,56 @@ def publication_year(date: Column) -> Column:
 # --- chunks -----------------------------------------------------------------
 
 
-def _last_break(window: Column, mark: str) -> Column:
-    """0-based start of the last ``mark`` in ``window``; at most 0 if unusable."""
-    return F.length(window) - F.length(F.substring_index(window, mark, -1)) - F.lit(len(mark))
+#: What ``(?U)\s`` matches.
+SPACE_CHARS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
-def _cut(window: Column, size: int) -> Column:
+def _cut(window: str, size: int) -> int:
     """Length of the next chunk, given up to ``size + 50`` characters of text.
 
     Prefers the last paragraph break in the second half, then the last sentence
     end, then the plain size.
     """
     half = size // 2
+    for mark, slack in (("\n\n", 50), (". ", 30)):
+        at = window.rfind(mark, half, size + slack)
+        if at > half:
+            return at + 2
+    return min(size, len(window))
 
-    def after_last(mark: str, slack: int, otherwise: Column) -> Column:
-        found = bind(F.substring(window, half + 1, size + slack - half), lambda w: _last_break(w, mark))
-        return bind(found, lambda at: F.when(at > 0, at + F.lit(half + 2)).otherwise(otherwise))
 
-    plain = F.least(F.lit(size), F.length(window))
-    return after_last("\n\n", 50, after_last(". ", 30, plain))
-
-
-def chunk_spans(
-    text: Column,
+def chunk_pieces(
+    text: str | None,
     size: int = config.CHUNK_SIZE,
     overlap: int = config.CHUNK_OVERLAP,
     mode: str = "document",
-) -> Column:
-    """``array<struct<pos, len>>`` of overlapping spans ending at natural breaks.
+    min_chars: int = config.MIN_CHUNK_CHARS,
+    min_bytes: int = config.MIN_CHAPTER_BYTES,
+) -> list[tuple[int, str]]:
+    """(position, chunk) of the overlapping chunks of one text, ending at natural breaks.
 
     ``document`` advances by at least half a chunk and cuts to the end of the
     text; ``stream`` cuts only while 1.5 chunks of text remain and then keeps the
-    rest as one last span. Only offsets travel through the fold; the strings are
-    cut out afterwards.
+    rest as one last chunk. Blank chunks and those below ``min_chars`` are left out;
+    a text without any other chunk, or below ``min_bytes``, is one chunk. Time is
+    linear in the length: every step looks at one window.
     """
     if mode not in ("document", "stream"):
         raise ValueError(f"unknown chunk mode {mode!r}")
-    half, streaming = size // 2, mode == "stream"
-    reach = size + half if streaming else size + 50
-    state = "struct<pos:int,spans:array<struct<pos:int,len:int>>>"
-    start = F.struct(
-        F.when(F.length(text) > 0, F.lit(0)).otherwise(F.lit(-1)).alias("pos"),
-        F.array().cast("array<struct<pos:int,len:int>>").alias("spans"),
-    ).cast(state)
-
-    def step(acc: Column, _: Column) -> Column:
-        # a window shorter than its reach marks the end of the text, so the text's
-        # own length is never needed inside the fold
-        def add(window: Column, cut: Column) -> Column:
-            advance = cut - F.lit(overlap // 2)
-            if not streaming:
-                advance = F.greatest(advance, F.lit(half))
-            more = F.length(window) == reach if streaming else F.length(window) > advance
-            return F.struct(
-                F.when(more, acc["pos"] + advance).otherwise(F.lit(-1)).cast("int").alias("pos"),
-                F.concat(
-                    acc["spans"], F.array(F.struct(acc["pos"].alias("pos"), cut.cast("int").alias("len")))
-                ).alias("spans"),
-            ).cast(state)
-
-        def cut_of(window: Column) -> Column:
-            if streaming:
-                return F.when(F.length(window) == reach, _cut(window, size)).otherwise(F.length(window))
-            return _cut(window, size)
-
-        moved = bind(
-            F.substring(text, acc["pos"] + 1, F.lit(reach)),
-            lambda window: bind(cut_of(window), lambda cut: add(window, cut)),
-        )
-        return F.when(acc["pos"] >= 0, moved).otherwise(acc)
-
-    # the shortest advance bounds the number of steps
-    shortest = half + 2 - overlap // 2 if streaming else half
-    steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.length(text) / F.lit(shortest)).cast("int") + 1))
-    return F.aggregate(steps, start, step, lambda acc: acc["spans"])
+    text, half, streaming = text or "", size // 2, mode == "stream"
+    reach, pos, found = size + (half if streaming else 50), 0, []
+    if not text or len(text.encode()) < min_bytes:
+        pos = -1
+    while pos >= 0:
+        window = text[pos : pos + reach]
+        whole = streaming and len(window) < reach
+        cut = len(window) if whole else _cut(window, size)
+        piece = window[:cut].strip(SPACE_CHARS)
+        if len(piece) >= max(1, min_chars):
+            found.append((pos, piece))
+        advance = cut - overlap // 2 if streaming else max(cut - overlap // 2, half)
+        pos = -1 if whole or len(window) <= advance else pos + advance
+    return found or [(0, text.strip(SPACE_CHARS))]
 
 
 # --- windows and prompts ----------------------------------------------------

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from folioscope.functions.scoring import clipped_log10
-from folioscope.operators.skew import lookup_join, segmented_row_number, segmented_running_sums
+from folioscope.operators.skew import lookup_join, null_safe_join, segmented_row_number, segmented_running_sums
 
 HOT_SHARE = 1000  # a key with over 1/1000 of the rows is hot: at most 1000 of them
 
@@ -82,7 +82,7 @@ def with_speed_rank(results: DataFrame) -> DataFrame:
     table of row counts per type and model.
     """
     counts = results.groupBy("evaluation_type", "model").agg(F.count("response_time").alias("_n"))
-    timed = counts.join(model_stats(results).select("model", "model_avg_time"), "model")
+    timed = null_safe_join(counts, model_stats(results).select("model", "model_avg_time"), ["model"])
     faster = W.partitionBy("evaluation_type").orderBy("model_avg_time").rangeBetween(W.unboundedPreceding, W.currentRow)
     same = W.partitionBy("evaluation_type", "model_avg_time")
     ranked = timed.select(
@@ -100,35 +100,35 @@ def time_segment(column: str) -> Column:
 def with_speed_percentile(results: DataFrame) -> DataFrame:
     """Percentile of the response time within its model, ties at their mean rank.
 
+    Rows without a time keep no percentile and do not count; rows without a model are a group of their own.
     Rows are reduced to counts per (model, time), accumulated segment by segment.
     Joining back, the few values repeated in over a thousandth of all rows are
     broadcast (there can be at most a thousand), the rest meet by plain equality.
     """
     key = ["model", "response_time"]
     counts = results.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
-    placed = segmented_running_sums(counts, ["model"], ["response_time"], time_segment("response_time"), {"_before": F.col("_n")})
-    totals = counts.groupBy("model").agg(F.sum("_n").alias("_all"))
+    timed = F.when(F.col("response_time").isNotNull(), F.col("_n")).otherwise(0)
+    placed = segmented_running_sums(counts, ["model"], ["response_time"], time_segment("response_time"), {"_before": timed})
+    totals = counts.where("response_time is not null").groupBy("model").agg(F.sum("_n").alias("_all"))
     everything = counts.agg(F.sum("_n")).scalar()
-    share = (F.col("_before") + (F.col("_n") + 1) / 2) / F.col("_all") * 100
-    values = lookup_join(placed, totals, ["model"], ["response_time"]).select(
+    share = F.when(F.col("response_time").isNotNull(), (F.col("_before") + (F.col("_n") + 1) / 2) / F.col("_all") * 100)
+    values = lookup_join(placed, totals, ["model"], ["response_time"], "left").select(
         *key, share.alias("response_speed_percentile"), (F.col("_n") * HOT_SHARE > everything).alias("_hot")
     )
     hot = F.broadcast(values.filter("_hot").drop("_hot"))
     cold = values.filter("not _hot").drop("_hot")
-    return results.join(hot, key).unionByName(results.join(hot, key, "left_anti").join(cold, key))
+    return null_safe_join(results, hot, key).unionByName(null_safe_join(null_safe_join(results, hot, key, "left_anti"), cold, key))
 
 
-def error_counts(results: DataFrame, error_types: Sequence[str]) -> DataFrame:
-    """Errors per model and type, zero where none; error-free models are left out."""
-    wrong = results.filter(F.col("error_type") != "none")
-    return wrong.groupBy("model").pivot("error_type", list(error_types)).agg(F.count(F.lit(1))).na.fill(0)
+def error_counts(results: DataFrame) -> DataFrame:
+    """(model, error_type, n) of every error type that occurs; error-free models are left out."""
+    return results.filter(F.col("error_type") != "none").groupBy("model", "error_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-def error_shares(results: DataFrame, error_types: Sequence[str]) -> DataFrame:
-    """Share of each error type among a model's errors, in percent."""
-    counts = error_counts(results, error_types)
-    total = sum((F.col(t) for t in error_types), F.lit(0))
-    return counts.select("model", *[(F.col(t) / total * 100).alias(t) for t in error_types])
+def error_shares(results: DataFrame) -> DataFrame:
+    """Share of each error type among all of a model's errors, in percent; one row per model and type."""
+    everything = F.sum("n").over(W.partitionBy("model"))
+    return error_counts(results).select("model", "error_type", (F.col("n") / everything * 100).alias("share"))
 
 
 def metric_means(results: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, functions as F
 
 from folioscope import config
-from folioscope.functions.text import chunk_spans, strip
+from folioscope.functions.text import chunk_pieces
 from folioscope.operators.locations import chunk_location
 
 
@@ -20,30 +22,31 @@ def cut_pieces(
 ) -> DataFrame:
     """Replace each text by the array of its chunks and their positions.
 
-    Works on each text alone, without a shuffle.
+    Works on each text alone, without a shuffle, in Arrow batches.
     """
-    pieces = F.filter(
-        F.transform(
-            chunk_spans(F.col(text), size, overlap, mode),
-            lambda s: F.struct(
-                s["pos"].alias("char_pos"), strip(F.substring(F.col(text), s["pos"] + 1, s["len"])).alias("chunk")
-            ),
-        ),
-        lambda p: F.length(p["chunk"]) >= min_chars,
-    )
+    import pyarrow as pa
+
     keep = [c for c in texts.columns if c != text]
-    return texts.filter(F.octet_length(text) >= min_bytes).select(*keep, pieces.alias("_pieces"))
 
+    def run(batches):
+        for batch in batches:
+            found = [chunk_pieces(t, size, overlap, mode, min_chars, min_bytes) for t in batch.column(text).to_pylist()]
+            ends = pa.array(itertools.accumulate(map(len, found), initial=0), pa.int32())
+            flat = pa.StructArray.from_arrays(
+                [pa.array((p for own in found for p, _ in own), pa.int32()), pa.array((c for own in found for _, c in own), pa.string())],
+                names=["char_pos", "chunk"],
+            )
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.ListArray.from_arrays(ends, flat)], names=[*keep, "_pieces"])
 
-def explode_pieces(rows: DataFrame) -> DataFrame:
-    """One row per chunk: ``chunk_no`` (1-based), ``char_pos``, ``chunk``, ``n_chunks``.
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in texts.select(*keep).schema)
+    return texts.select(*keep, text).mapInArrow(run, f"{kinds}_pieces array<struct<char_pos: int, chunk: string>>")
 
-    The outer form keeps the optimizer from adding a non-empty test, which would
-    cut every text a second time at the scan.
-    """
+
+def explode_pieces(rows: DataFrame) -> DataFrame:
+    """One row per chunk: ``chunk_no`` (1-based), ``char_pos``, ``chunk``, ``n_chunks``."""
     keep = [c for c in rows.columns if c != "_pieces"]
-    listed = rows.select(*keep, F.size("_pieces").alias("n_chunks"), F.posexplode_outer("_pieces").alias("_i", "_p"))
-    return listed.filter(F.col("_i").isNotNull()).select(
+    listed = rows.select(*keep, F.size("_pieces").alias("n_chunks"), F.posexplode("_pieces").alias("_i", "_p"))
+    return listed.select(
         *keep, "n_chunks", (F.col("_i") + 1).alias("chunk_no"), "_p.char_pos", "_p.chunk"
     )
 

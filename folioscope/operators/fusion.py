@@ -58,11 +58,12 @@ def wants_rerank(question: Column, n_unique: Column) -> Column:
     return (n_unique > config.RERANK_MIN_RESULTS) & (F.size(split_words(question)) > config.RERANK_MIN_WORDS)
 
 
-def rerank_prompts(ranked: DataFrame, questions: DataFrame, params: RetrievalParams = RetrievalParams()) -> DataFrame:
-    """Rating prompt per question over its first passages; ``ranked`` has text."""
+def rerank_prompts(ranked: DataFrame, questions: DataFrame, params: RetrievalParams = RetrievalParams(), chars: int | None = None) -> DataFrame:
+    """Rating prompt per question over its first passages (or their first ``chars`` characters); ``ranked`` has text."""
+    shown = F.col("text") if chars is None else F.substring("text", 1, chars)
     lines = F.array_join(
         F.transform(
-            F.sort_array(F.collect_list(F.struct("rank", F.substring("text", 1, 200).alias("t")))),
+            F.sort_array(F.collect_list(F.struct("rank", shown.alias("t")))),
             lambda p: F.concat(F.lit("["), p["rank"].cast("string"), F.lit("] "), p["t"], F.lit("...")),
         ),
         "\n",

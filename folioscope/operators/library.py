@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from folioscope import config
 from folioscope.operators.skew import lookup_join
 
-CHAPTERS_PER_PAGE = 1000
 
 
 def library_listing(books: DataFrame, progress: DataFrame) -> DataFrame:
@@ -31,14 +30,15 @@ def page_of(rows: DataFrame, order: list[str], skip: int = 0, limit: int = 100)
     return rows.orderBy(*order).offset(skip).limit(limit)
 
 
-def book_detail(books: DataFrame, chapters: DataFrame, per_page: int = CHAPTERS_PER_PAGE) -> DataFrame:
+def book_detail(books: DataFrame, chapters: DataFrame, per_page: int | None = None) -> DataFrame:
     """Books with their ordered chapters nested.
 
-    Chapter lists come in pages of ``per_page``: one row for a usual book, several
-    for an unusually long one, never an unbounded list in one row.
+    One row per book, page 0. A caller with books too long for one row asks for
+    pages of ``per_page`` chapters.
     """
+    page = F.lit(0) if per_page is None else F.floor((F.col("order") - 1) / per_page).cast("int")
     entry = F.struct("order", "chapter_id", "title", "start_location", "end_location")
-    nested = chapters.groupBy("book_id", F.floor((F.col("order") - 1) / per_page).cast("int").alias("page")).agg(
+    nested = chapters.groupBy("book_id", page.alias("page")).agg(
         F.sort_array(F.collect_list(entry)).alias("chapters")
     )
     return lookup_join(nested, books, ["book_id"], ["page"])

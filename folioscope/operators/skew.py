@@ -8,12 +8,14 @@ collects a whole group:
   short list of segment summaries;
 * ``lookup_join`` joins a large table with a one-row-per-key table, without a
   shuffle where Spark estimates that table to be small enough to broadcast, and
-  with every key spread over all partitions otherwise.
+  with the hot keys, found by counting, spread over many partitions otherwise.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
@@ -43,17 +45,17 @@ def fits_broadcast(df: DataFrame) -> bool:
     return size is not None and size <= limit
 
 
-MAX_SALTS = 128
+def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys, where null equals null; the key columns, those of ``left``, come first."""
+    names = {k: f"_r_{k}" for k in on}
+    renamed = right.withColumnsRenamed(names)
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(r)) for k, r in names.items()])
+    joined = left.join(renamed, same, how)
+    return joined.select(*on, *[c for c in joined.columns if c not in on and c not in names.values()])
 
 
-def _salts(df: DataFrame) -> int:
-    """Over how many places a key is spread.
-
-    Bounded, since the lookup side is repeated as often: a key with a third of all
-    rows then costs one task less than 1/300 of them.
-    """
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(2, min(MAX_SALTS, partitions))
+#: A key with over this share of the rows is spread; there are at most as many such keys as its inverse.
+HOT_SHARE = 1 / 1000
 
 
 def lookup_join(
@@ -63,21 +65,26 @@ def lookup_join(
     salt_by: Sequence[str],
     how: str = "inner",
 ) -> DataFrame:
-    """Join ``big`` with ``small`` (few rows per key) without a hot partition.
+    """Join ``big`` with ``small`` (few rows per key) without a hot partition; null keys meet null keys.
 
     A ``small`` whose estimated size is within the session's broadcast limit is left
-    to Spark, which broadcasts it by that same check. Otherwise every key of ``big`` is spread over many partitions
-    by a hash of ``salt_by``, and ``small`` is repeated once per spread value.
-    ``how`` may be inner, left, left_semi or left_anti: each row of ``big`` meets
+    to Spark. Otherwise the keys of ``big`` are counted, and only those with over ``HOT_SHARE`` of all rows, at most
+    1000, are spread by a hash of ``salt_by``, each over places in proportion to its rows; only their rows of ``small``
+    are repeated, once per place. ``how`` may be inner, left, left_semi or left_anti: each row of ``big`` meets
     exactly one copy of ``small``, so the result is the same as without spreading.
     """
     on = list(on)
     if fits_broadcast(small):
-        return big.join(small, on, how)
-    n = _salts(big)
-    salted_big = big.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in salt_by]), F.lit(n)).cast("int"))
-    salted_small = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    return salted_big.join(salted_small, on + ["_salt"], how).drop("_salt")
+        return null_safe_join(big, small, on, how)
+    partitions = int(big.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    counts = big.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+    share = F.col("_n") / counts.agg(F.sum("_n")).scalar()
+    hot = F.broadcast(counts.where(share > HOT_SHARE).select(*on, F.ceil(share * partitions).cast("int").alias("_places")))
+    places = F.coalesce("_places", F.lit(1))
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in salt_by]), places).cast("int")
+    salted_big = null_safe_join(big, hot, on, "left").withColumn("_salt", salt).drop("_places")
+    salted_small = null_safe_join(small, hot, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), places - 1))).drop("_places")
+    return null_safe_join(salted_big, salted_small, [*on, "_salt"], how).drop("_salt")
 
 
 def segmented_running_sums(
@@ -102,7 +109,7 @@ def segmented_running_sums(
     )
     inside = W.partitionBy(*keys, _SEG).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     rows = rows.withColumns({f"_w_{o}": F.coalesce(F.sum(f"_v_{o}").over(inside), F.lit(0)) for o in outs})
-    joined = rows.join(offsets, keys + [_SEG])
+    joined = null_safe_join(rows, offsets, keys + [_SEG])
     return joined.withColumns({o: F.col(f"_b_{o}") + F.col(f"_w_{o}") for o in outs}).drop(
         _SEG, *[f"{p}{o}" for o in outs for p in ("_v_", "_b_", "_w_")]
     )
@@ -142,7 +149,7 @@ def segmented_lag(
     inside = W.partitionBy(*keys, _SEG).orderBy(*order)
     rows = rows.withColumn("_near", shift(payload).over(inside))
     return (
-        rows.join(edges, keys + [_SEG])
+        null_safe_join(rows, edges, keys + [_SEG])
         .withColumn(out, F.coalesce("_near", "_beyond"))
         .drop(_SEG, "_near", "_beyond")
     )

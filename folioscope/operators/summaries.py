@@ -101,11 +101,12 @@ def closing_locations(locations: DataFrame, interval: int = config.SUMMARY_INTER
 
 
 def summary_segments(
-    chunks: DataFrame, interval: int = config.SUMMARY_INTERVAL, emit_tail: bool = False
+    chunks: DataFrame, interval: int = config.SUMMARY_INTERVAL, emit_tail: bool = True
 ) -> DataFrame:
     """One row per segment with its closing location and joined chunk text.
 
-    Chunks after the last close belong to no segment unless ``emit_tail``.
+    Chunks after the last close of a book are its last segment, ``segment_no`` 1, at
+    their own last location; all others have 0. Without ``emit_tail`` they are left out.
     """
     closes = closing_locations(chunks, interval)
     spans = segmented_lag(closes, ["book_id"], ["location"], F.floor(F.col("location") / BLOCK), ["location"], "_prev")
@@ -126,7 +127,7 @@ def summary_segments(
     )
     text = F.concat(F.array_join(F.transform("_c", lambda c: c["chunk"]), " "), F.lit(" "))
     return grouped.select(
-        "book_id", F.coalesce("segment_end", "_last").alias("location"), "n_chunks",
+        "book_id", F.coalesce("segment_end", "_last").alias("location"), F.col("segment_end").isNull().cast("int").alias("segment_no"), "n_chunks",
         F.element_at("_c", -1)["chapter_title"].alias("chapter_title"), text.alias("text"),
     ).filter(~is_blank(F.col("text")))
 

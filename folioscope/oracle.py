@@ -60,19 +60,21 @@ STEPS["chapters"] = """SELECT *, 'Chapter ' || "order" AS title,
 STEPS["books"] = """SELECT book_id, count(*)::INT AS total_chapters, sum(n_locations)::INT AS total_locations,
   sum(n_chars)::BIGINT AS content_length FROM chapters GROUP BY book_id"""
 
-STEPS["walk"] = f"""SELECT doc_id, 0 AS pos, {cut('substr(text, 1, 450)')} AS cut FROM documents WHERE octet_length(encode(text)) >= 50
+STEPS["walk"] = f"""SELECT doc_id, 0 AS pos, {cut('substr(text, 1, 450)')} AS cut FROM documents
   UNION ALL
   SELECT n.doc_id, n.pos, {cut('substr(d.text, n.pos + 1, 450)')}
   FROM (SELECT doc_id, pos + greatest(cut - 50, 200) AS pos FROM walk) n JOIN documents d ON d.doc_id = n.doc_id WHERE n.pos < length(d.text)"""
-STEPS["pieces"] = f"""SELECT * FROM (SELECT w.doc_id, w.pos, {strip('substr(d.text, w.pos + 1, w.cut)')} AS chunk
-  FROM walk w JOIN documents d ON d.doc_id = w.doc_id) WHERE length(chunk) >= 100"""
+STEPS["whole_pieces"] = f"""SELECT * FROM (SELECT w.doc_id, w.pos, {strip('substr(d.text, w.pos + 1, w.cut)')} AS chunk
+  FROM walk w JOIN documents d ON d.doc_id = w.doc_id) WHERE length(chunk) > 0"""
+STEPS["pieces"] = "SELECT * FROM whole_pieces UNION ALL SELECT doc_id, 0, '' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM whole_pieces)"
 STEPS["swalk"] = f"""SELECT doc_id, 0 AS pos, CASE WHEN length(text) >= 600 THEN {cut('substr(text, 1, 450)')} ELSE length(text) END AS cut, length(text) >= 600 AS more
-  FROM documents WHERE octet_length(encode(text)) >= 50
+  FROM documents
   UNION ALL
   SELECT n.doc_id, n.pos, CASE WHEN length(d.text) - n.pos >= 600 THEN {cut('substr(d.text, n.pos + 1, 450)')} ELSE length(d.text) - n.pos END, length(d.text) - n.pos >= 600
   FROM (SELECT doc_id, pos + cut - 50 AS pos FROM swalk WHERE more) n JOIN documents d ON d.doc_id = n.doc_id"""
-STEPS["spieces"] = f"""SELECT * FROM (SELECT w.doc_id, w.pos, {strip('substr(d.text, w.pos + 1, w.cut)')} AS chunk
-  FROM swalk w JOIN documents d ON d.doc_id = w.doc_id) WHERE length(chunk) >= 100"""
+STEPS["swhole_pieces"] = f"""SELECT * FROM (SELECT w.doc_id, w.pos, {strip('substr(d.text, w.pos + 1, w.cut)')} AS chunk
+  FROM swalk w JOIN documents d ON d.doc_id = w.doc_id) WHERE length(chunk) > 0"""
+STEPS["spieces"] = "SELECT * FROM swhole_pieces UNION ALL SELECT doc_id, 0, '' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM swhole_pieces)"
 STEPS["chunks"] = """SELECT c.book_id, c.chapter_id, c."order" AS chapter_order, c.title AS chapter_title,
   (row_number() OVER (PARTITION BY p.doc_id ORDER BY p.pos))::INT AS chunk_no, (count(*) OVER (PARTITION BY p.doc_id))::INT AS n_chunks,
   p.pos AS char_pos, greatest(c.start_location, least(c.end_location, c.start_location + p.pos // 1000))::INT AS location, p.chunk,
@@ -116,13 +118,13 @@ STEPS["replay"] = """SELECT book_id, rn, CASE WHEN location >= 11 THEN location
   UNION ALL
   SELECT c.book_id, c.rn, CASE WHEN c.location - r.last >= 11 THEN c.location ELSE r.last END, r.seg + CASE WHEN r.closed THEN 1 ELSE 0 END,
   c.location - r.last >= 11 FROM replay r JOIN cseq c ON c.book_id = r.book_id AND c.rn = r.rn + 1"""
-STEPS["segments"] = """SELECT c.book_id, max(c.location) FILTER (r.closed) AS location, count(*) AS n_chunks,
+STEPS["segments"] = """SELECT c.book_id, max(c.location) AS location, CASE WHEN bool_or(r.closed) THEN 0 ELSE 1 END AS segment_no, count(*) AS n_chunks,
   arg_max(c.chapter_title, c.rn) AS chapter_title, string_agg(c.chunk || ' ', '' ORDER BY c.rn) AS text
-  FROM replay r JOIN cseq c ON c.book_id = r.book_id AND c.rn = r.rn GROUP BY c.book_id, r.seg HAVING bool_or(r.closed)"""
+  FROM replay r JOIN cseq c ON c.book_id = r.book_id AND c.rn = r.rn GROUP BY c.book_id, r.seg"""
 
 # all searchable items, their hashed token counts, and the probes
 STEPS["items"] = """SELECT book_id, 0 AS kind_no, chapter_order, chunk_no, location, 'content' AS content_type, chapter_title, chunk AS text FROM chunks
-  UNION ALL SELECT book_id, 1, location, 0, location, 'summary', chapter_title, text FROM segments"""
+  UNION ALL SELECT book_id, 1, location, segment_no, location, 'summary', chapter_title, text FROM segments"""
 STEPS["iv"] = f"""SELECT book_id, kind_no, chapter_order, chunk_no, b, count(*) AS n FROM (
   SELECT book_id, kind_no, chapter_order, chunk_no, {bucket('term')} AS b FROM (SELECT *, unnest({tokens('text')}) AS term FROM items)) GROUP BY ALL"""
 STEPS["inorm"] = "SELECT book_id, kind_no, chapter_order, chunk_no, sqrt(sum(n * n)::DOUBLE) AS len FROM iv GROUP BY ALL"
@@ -159,7 +161,7 @@ STEPS["ranked"] = """SELECT *, row_number() OVER (PARTITION BY question_id ORDER
   count(*) OVER (PARTITION BY question_id) AS n_unique FROM (
   SELECT w.*, i.text, i.location, i.chapter_title, i.content_type FROM weighed w
   JOIN items i ON i.book_id = w.book_id AND i.kind_no = w.kind_no AND i.chapter_order = w.chapter_order AND i.chunk_no = w.chunk_no
-  QUALIFY row_number() OVER (PARTITION BY w.question_id, substr(i.text, 1, 100) ORDER BY round(w.score, 9) DESC, w.m, w.probe_no, w.rank_in_method) = 1)"""
+  QUALIFY row_number() OVER (PARTITION BY w.question_id, i.text ORDER BY round(w.score, 9) DESC, w.m, w.probe_no, w.rank_in_method) = 1)"""
 STEPS["final"] = f"""SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY rerank_score DESC NULLS LAST, CASE WHEN rerank_score IS NOT NULL THEN round(score, 9) END DESC NULLS LAST, rank) AS final_rank
   FROM (SELECT r.*, q.question, q.boundary, q.total_locations, r.n_unique > 8 AND len({split('q.question')}) > 3 AS wants,
     CASE WHEN r.n_unique > 8 AND len({split('q.question')}) > 3 AND r.rank <= 15 THEN greatest(1, least(10, (r.location + r.rank * 7) % 12)) END AS rerank_score
@@ -304,9 +306,9 @@ BODIES: dict[str, str] = {
     "library_listing": """SELECT b.book_id, s.reader_id, total_chapters, total_locations, coalesce(current_location, 0) AS current_location,
       round(coalesce(completion_percentage, 0.0), 6) AS completion_percentage, last_read_at FROM books b LEFT JOIN state s USING (book_id)""",
     "library_page": "SELECT * FROM books ORDER BY book_id LIMIT 10 OFFSET 10",
-    "book_detail": """SELECT book_id, (("order" - 1) // 1000)::INT AS page, any_value(total_chapters) AS total_chapters, any_value(total_locations) AS total_locations,
+    "book_detail": """SELECT book_id, 0 AS page, any_value(total_chapters) AS total_chapters, any_value(total_locations) AS total_locations,
       to_json(list(struct_pack("order" := "order", chapter_id := chapter_id, title := title, start_location := start_location, end_location := end_location) ORDER BY "order"))::VARCHAR AS chapters
-      FROM chapters JOIN books USING (book_id) GROUP BY book_id, ("order" - 1) // 1000""",
+      FROM chapters JOIN books USING (book_id) GROUP BY book_id""",
     "book_content": 'SELECT c.book_id, c.chapter_id, c."order", c.title, d.text FROM chapters c JOIN documents d ON d.doc_id = c.chapter_id',
     "chapter_lookup": 'SELECT book_id, chapter_id, "order", title, start_location, end_location FROM chapters WHERE chapter_id IN (SELECT doc_id FROM labels)',
     "chapter_neighbours": """SELECT book_id, chapter_id, "order", lag(chapter_id) OVER w AS prev_chapter_id, lead(chapter_id) OVER w AS next_chapter_id
@@ -338,9 +340,9 @@ BODIES: dict[str, str] = {
     "summary_segments": "SELECT book_id, location, n_chunks, chapter_title, text FROM segments",
     "bm25_stats": "SELECT book_id, term, df, n_chunks, round(avg_tokens, 6) AS avg_tokens, round(idf, 6) AS idf FROM idf",
     "bm25_topk": "SELECT question_id, rank_in_method::INT AS rank_in_method, chapter_order, chunk_no, location, round(scaled, 6) AS score FROM bm_top",
-    "vector_topk": vtop("score >= 0", 15),
+    "vector_topk": vtop("score >= -1", 15),
     "vector_threshold": f"SELECT question_id, rank_in_method, vec_id, score FROM ({vtop('round(score, 9) >= 0.15', 15)})",
-    "summary_search": f"""SELECT question_id, rank_in_method, vec_id, score FROM ({vtop("score >= 0 AND content_type = 'summary'", 5)})""",
+    "summary_search": f"""SELECT question_id, rank_in_method, vec_id, score FROM ({vtop("score >= -1 AND content_type = 'summary'", 5)})""",
     "expanded_queries": "SELECT question_id, probe_no, probe AS expanded_query FROM expanded",
     "hybrid_retrieval": """SELECT question_id, rank::INT AS rank, search_method, kind_no, chapter_order, chunk_no, location, chapter_title,
       round(score, 6) AS score, round(original_score, 6) AS original_score, md5(text) AS text_md5 FROM ranked""",
@@ -372,7 +374,7 @@ BODIES: dict[str, str] = {
     "error_class": f"SELECT conv_id, turn, {_ERRORS} AS error_type FROM edge",
     "spoiler_flags": f"""SELECT conv_id, turn, g AS percentage_of_book_read, CASE WHEN 25 + (conv_id % 14) * 5 <= g AND NOT {blank('answer')} AND
       len(list_filter(kw, lambda k: contains(lower(answer), k))) > 0 THEN 0 ELSE 1 END AS spoiler_prevention_flag
-      FROM (SELECT ans.*, (25 + (item_id % 14) * 5)::INT AS g, (SELECT list(w ORDER BY p)[1:5] FROM (SELECT w, min(p) AS p FROM (SELECT unnest({words('ground_truth')}) AS w, generate_subscripts({words('ground_truth')}, 1) AS p) WHERE length(w) > 3 GROUP BY w)) AS kw FROM ans)""",
+      FROM (SELECT ans.*, (25 + (item_id % 14) * 5)::INT AS g, (SELECT list(w ORDER BY p) FROM (SELECT w, min(p) AS p FROM (SELECT unnest({words('ground_truth')}) AS w, generate_subscripts({words('ground_truth')}, 1) AS p) WHERE length(w) > 3 GROUP BY w)) AS kw FROM ans)""",
     "answer_scores": f"""SELECT e.conv_id, e.turn, CASE WHEN e.turn % 4 = 0 THEN round(coalesce(bl.bleu, 0.0), 6) ELSE 0.0 END AS bleu,
       CASE WHEN e.turn % 4 = 0 THEN {grounding('answer', 'ground_truth')} ELSE 3 END AS factual_grounding,
       round(coalesce({share('question', 'ground_truth', _STOP2)}, 0.5), 6) AS retrieval_effectiveness, {complexity('answer')}, {_ERRORS} AS error_type
@@ -384,7 +386,7 @@ BODIES: dict[str, str] = {
       UNION ALL
       SELECT conv_id * 1000 + turn, 'spoiler', CASE WHEN turn % 4 <> 0 AND NOT {blank('answer')} AND conv_id % 14 <= item_id % 14 THEN
         'Does the answer mention or hint at forbidden content? JSON only.' || chr(10) || 'Book: ' || model || chr(10) || 'Progress: ' || (25 + (conv_id % 14) * 5) || '%' || chr(10) || 'Forbidden: ' ||
-        array_to_string((SELECT list(w ORDER BY p)[1:5] FROM (SELECT w, min(p) AS p FROM (SELECT unnest({words('ground_truth')}) AS w, generate_subscripts({words('ground_truth')}, 1) AS p) WHERE length(w) > 3 GROUP BY w)), ', ') || chr(10) || 'Answer: ' || answer || chr(10) || 'Output: {{"contains_spoilers": true/false, "reasoning": "..."}}' END FROM edge) WHERE prompt IS NOT NULL""",
+        array_to_string((SELECT list(w ORDER BY p) FROM (SELECT w, min(p) AS p FROM (SELECT unnest({words('ground_truth')}) AS w, generate_subscripts({words('ground_truth')}, 1) AS p) WHERE length(w) > 3 GROUP BY w)), ', ') || chr(10) || 'Answer: ' || answer || chr(10) || 'Output: {{"contains_spoilers": true/false, "reasoning": "..."}}' END FROM edge) WHERE prompt IS NOT NULL""",
     "judge_parse": "SELECT event_id, cf::INT AS contextual_fidelity, re::INT AS relevance, he::INT AS helpfulness, co::INT AS coherence, i::INT AS instruction_following FROM judge",
     "judge_spoilers": "SELECT event_id, sf::INT AS spoiler_prevention_flag FROM judge",
     "judge_verdicts": """SELECT result_id, cf::INT AS contextual_fidelity, f::INT AS spoiler_prevention_flag, (cf * f)::INT AS paas_score FROM (
@@ -397,7 +399,7 @@ BODIES: dict[str, str] = {
         CASE WHEN e.turn % 4 = 0 THEN round(coalesce(bl.bleu, 0.0), 6) ELSE 0.0 END AS bleu, {_ERRORS} AS error_type, length(question) / 100.0::DOUBLE AS response_time,
         CASE WHEN e.turn % 4 <> 0 AND (conv_id % 14) <= (item_id % 14) AND NOT {blank('answer')} AND len(list_filter(kw, lambda k: contains(lower(answer), k))) > 0 THEN 0 ELSE 1 END AS spoiler_prevention_flag,
         round_even(avg(length(question) / 100.0::DOUBLE) OVER (PARTITION BY model), 2)::DOUBLE AS model_avg_time
-      FROM (SELECT edge.*, (SELECT list(w ORDER BY p)[1:5] FROM (SELECT w, min(p) AS p FROM (SELECT unnest({words('ground_truth')}) AS w, generate_subscripts({words('ground_truth')}, 1) AS p) WHERE length(w) > 3 GROUP BY w)) AS kw FROM edge) e
+      FROM (SELECT edge.*, (SELECT list(w ORDER BY p) FROM (SELECT w, min(p) AS p FROM (SELECT unnest({words('ground_truth')}) AS w, generate_subscripts({words('ground_truth')}, 1) AS p) WHERE length(w) > 3 GROUP BY w)) AS kw FROM edge) e
       LEFT JOIN bl USING (conv_id, turn))""",
     "evaluation_grid": "SELECT question_id AS query_id, book_id, 'm' || i AS model FROM questions, range(5) t(i)",
     "query_sets": """SELECT question_id AS query_id, book_id, 'regular' AS evaluation_type, 100 AS progress_stage FROM questions
@@ -421,9 +423,9 @@ BODIES: dict[str, str] = {
       round_even(avg(spoiler_prevention_flag), 3)::DOUBLE AS spoiler_prevention_flag, round_even(avg(response_time), 3)::DOUBLE AS response_time FROM res GROUP BY model""",
     "scaled_metrics": """SELECT result_id, round(log10(greatest(response_time, 1e-6)), 6) AS response_time_log, round(log10(greatest(retrieval_effectiveness, 1e-6)), 6) AS retrieval_effectiveness_log,
       round(bleu * 1000, 6) AS bleu_scaled FROM res""",
-    "error_crosstab": "SELECT model, count(*) FILTER (error_type = 'api_error') AS api_error, count(*) FILTER (error_type = 'empty_response') AS empty_response FROM reg WHERE error_type <> 'none' GROUP BY model",
-    "error_share": """SELECT model, round(count(*) FILTER (error_type = 'api_error')::DOUBLE / count(*) * 100, 6) AS api_error,
-      round(count(*) FILTER (error_type = 'empty_response')::DOUBLE / count(*) * 100, 6) AS empty_response FROM reg WHERE error_type <> 'none' GROUP BY model""",
+    "error_crosstab": "SELECT model, error_type, count(*) AS n FROM reg WHERE error_type <> 'none' GROUP BY ALL",
+    "error_share": """SELECT model, error_type, round(count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY model) * 100, 6) AS share
+      FROM reg WHERE error_type <> 'none' GROUP BY model, error_type""",
     "figure_precision_recall": f"SELECT model, {_MEANS} FROM reg GROUP BY model",
     "robustness_stages": f"SELECT model, progress_stage::VARCHAR AS stage, {_MEANS} FROM reg GROUP BY ALL",
     "robustness_bins": f"""SELECT model, CASE WHEN context_count <= (SELECT quantile_cont(context_count, 1.0 / 3) FROM reg) THEN 'low'
@@ -454,8 +456,8 @@ BODIES: dict[str, str] = {
     "patch_merge": """SELECT user_id, coalesce(arg_max(value, event_id) FILTER (event_type = 'purchase'), arg_max(value, event_id) FILTER (event_type = 'click'), 16.0) AS font_size,
       CASE WHEN count(*) FILTER (event_type = 'view') > 0 THEN 'view' ELSE 'light' END AS theme FROM events GROUP BY user_id""",
     "title_match": "SELECT 'book ' || book_id || '.txt ' AS title, book_id FROM books",
-    "stream_replies": """SELECT conv_id, (turn // 4096)::INT AS block, string_agg(text, '' ORDER BY turn) AS reply, count(*)::INT AS n_pieces FROM conversations
-      WHERE turn % 3 <> 2 GROUP BY conv_id, turn // 4096""",
+    "stream_replies": """SELECT conv_id, 0 AS block, string_agg(text, '' ORDER BY turn) AS reply, count(*)::INT AS n_pieces FROM conversations
+      WHERE turn % 3 <> 2 GROUP BY conv_id""",
 }
 
 _BLEU_OF = {"bleu": "ans", "answer_scores": "edge", "evaluation_run": "edge"}

@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, functions as F
 
 from folioscope.operators import analytics
 
 BERT = ("bert_precision", "bert_recall", "bert_f1")
 RADAR = ("contextual_fidelity", "factual_grounding", "instruction_following", "paas_score")
-ERROR_TYPES = ("api_error", "empty_response", "generation_error", "insufficient_context")
 
 
-def figure_tables(results: DataFrame, error_types: Sequence[str] = ERROR_TYPES) -> dict[str, DataFrame]:
+def figure_tables(results: DataFrame) -> dict[str, DataFrame]:
     """Precision/recall plane, speed and quality, guides, robustness, errors, radar."""
     regular = results.filter(F.col("evaluation_type") == "regular")
     return {
@@ -21,7 +18,7 @@ def figure_tables(results: DataFrame, error_types: Sequence[str] = ERROR_TYPES)
         "speed_quality": analytics.speed_quality(regular),
         "guides": analytics.median_guides(regular),
         "robustness": analytics.robustness(regular, BERT),
-        "error_counts": analytics.error_counts(regular, error_types),
-        "error_shares": analytics.error_shares(regular, error_types),
+        "error_counts": analytics.error_counts(regular),
+        "error_shares": analytics.error_shares(regular),
         "radar": analytics.min_max_normalised(analytics.metric_means(regular, ["model"], RADAR), RADAR),
     }

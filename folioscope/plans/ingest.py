@@ -32,8 +32,9 @@ class Corpus:
     statistics: DataFrame  # keyword statistics per book
 
 
-def text_key(column: str):
-    return F.substring(column, 1, config.DEDUPE_KEY_CHARS)
+def text_key(column: str, prefix: int | None = None):
+    """Passages with equal keys are duplicates: equal texts, or equal openings of ``prefix`` characters."""
+    return F.md5(F.col(column) if prefix is None else F.substring(column, 1, prefix))
 
 
 def embedded_chunks(chunks: DataFrame, embed: EmbedFn | None = None, dim: int = 64) -> DataFrame:
@@ -98,7 +99,7 @@ def search_items(corpus: Corpus) -> DataFrame:
         F.lit(0).alias("kind_no"), "chapter_order", "chunk_no", "book_id", "location", "content_type", "text_key", "vector"
     )
     summary = corpus.summaries.select(
-        F.lit(1).alias("kind_no"), F.col("location").alias("chapter_order"), F.lit(0).alias("chunk_no"),
+        F.lit(1).alias("kind_no"), F.col("location").alias("chapter_order"), F.col("segment_no").alias("chunk_no"),
         "book_id", "location", "content_type", "text_key", "vector",
     )
     return content.unionByName(summary)
@@ -109,7 +110,7 @@ def item_texts(corpus: Corpus) -> DataFrame:
         "book_id", F.lit(0).alias("kind_no"), "chapter_order", "chunk_no", "chapter_title", F.col("chunk").alias("text")
     )
     summary = corpus.summaries.select(
-        "book_id", F.lit(1).alias("kind_no"), F.col("location").alias("chapter_order"), F.lit(0).alias("chunk_no"), "chapter_title", "text"
+        "book_id", F.lit(1).alias("kind_no"), F.col("location").alias("chapter_order"), F.col("segment_no").alias("chunk_no"), "chapter_title", "text"
     )
     return content.unionByName(summary)
 

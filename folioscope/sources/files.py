@@ -71,10 +71,10 @@ def uploaded_books(spark: SparkSession, path: str) -> DataFrame:
     return listed.filter(is_book_file(F.col("name"), F.lit(None).cast("string")))
 
 
-def book_metadata(books: DataFrame, chapters: DataFrame, per_page: int = 1000) -> DataFrame:
+def book_metadata(books: DataFrame, chapters: DataFrame, per_page: int | None = None) -> DataFrame:
     """``{book: {...}, chapters: [...]}`` documents, chapters in order.
 
-    A book with more chapters than a page gives one document per page.
+    One document per book, or with ``per_page`` one per page of so many chapters.
     """
     from folioscope.operators.library import book_detail
 

@@ -17,7 +17,7 @@ from folioscope.plans.ingest import embedded_chunks
 
 
 def ingest_stream(
-    arriving: DataFrame, folder: str, checkpoint: str, key: tuple[str, ...] = ("book_id",), embed: EmbedFn | None = None
+    arriving: DataFrame, folder: str, checkpoint: str, key: tuple[str, ...] = ("book_id", "chapter_id"), embed: EmbedFn | None = None
 ) -> StreamingQuery:
     """Append chunks of located chapters (with text) to ``folder/chunks``.
 

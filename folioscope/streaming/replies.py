@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
-
-PIECES_PER_BLOCK = 4096
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 
 def reply_pieces(lines: DataFrame) -> DataFrame:
@@ -13,14 +11,17 @@ def reply_pieces(lines: DataFrame) -> DataFrame:
     return lines.withColumn("piece", piece).filter(F.col("piece").isNotNull()).drop("line")
 
 
-def joined_replies(lines: DataFrame, key: list[str], order: str, per_block: int = PIECES_PER_BLOCK) -> DataFrame:
+def joined_replies(lines: DataFrame, key: list[str], order: str, per_block: int | None = None) -> DataFrame:
     """Reply per key: its pieces in arrival order.
 
-    One row (block 0) for any usual reply; an endless one is given out in blocks of
-    ``per_block`` lines, so no row or task holds an unbounded text.
+    One row (block 0) per key, whatever its order values. With ``per_block`` (batch only) the
+    pieces are numbered within the key and given out in blocks of so many.
     """
-    block = F.floor(F.col(order) / per_block).cast("int").alias("block")
-    pieces = reply_pieces(lines).groupBy(*key, block).agg(F.sort_array(F.collect_list(F.struct(order, "piece"))).alias("_p"))
+    rows = reply_pieces(lines).withColumn("block", F.lit(0))
+    if per_block is not None:
+        number = F.row_number().over(W.partitionBy(*key).orderBy(order)) - 1
+        rows = rows.withColumn("block", F.floor(number / per_block).cast("int"))
+    pieces = rows.groupBy(*key, "block").agg(F.sort_array(F.collect_list(F.struct(order, "piece"))).alias("_p"))
     return pieces.select(
         *key, "block", F.array_join(F.transform("_p", lambda p: p["piece"]), "").alias("reply"), F.size("_p").alias("n_pieces")
     )

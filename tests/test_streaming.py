@@ -92,7 +92,7 @@ def test_summaries(spark, tmp_path):
     path = str(tmp_path / "chunks")
     as_files(chunks.withColumn("_o", F.struct("chapter_order", "chunk_no")), path, "_o", 4)
     got = run(stream_ingest.summary_stream(source(spark, path, chunks.schema)), tmp_path, "append", "summaries_now")
-    assert as_set(got) == as_set(summaries.summary_segments(chunks).select(got.columns))
+    assert as_set(got) == as_set(summaries.summary_segments(chunks, emit_tail=False).select(got.columns))  # tails are not closed yet
 
 
 def test_ingest_is_incremental_and_repeatable(spark, tmp_path):
@@ -100,9 +100,8 @@ def test_ingest_is_incremental_and_repeatable(spark, tmp_path):
     path, folder = str(tmp_path / "chapters"), str(tmp_path / "library")
     as_files(chapters.withColumn("_o", F.struct("book_id", "chapter_id")), path, "_o", 3)
     arriving = source(spark, path, chapters.schema)
-    key = ("book_id", "chapter_id")
     for attempt in ("first", "again"):  # a second checkpoint replays everything
-        stream_ingest.ingest_stream(arriving, folder, str(tmp_path / attempt), key).awaitTermination(240)
+        stream_ingest.ingest_stream(arriving, folder, str(tmp_path / attempt)).awaitTermination(240)
     stored = spark.read.parquet(f"{folder}/chunks")
     columns = ["book_id", "chapter_id", "chunk_no", "location", "chunk"]
     assert as_set(stored.select(columns)) == as_set(tables.chunks(spark, SMALL).select(columns))
@@ -115,7 +114,7 @@ def test_replies(spark, tmp_path):
     )
     path = str(tmp_path / "lines")
     as_files(rows, path, "n", 2)
-    want = [("a", 0, "Call me Ishmael", 3), ("b", 0, "x", 1), ("b", 1, "y", 1)]
+    want = [("a", 0, "Call me Ishmael", 3), ("b", 0, "xy", 2)]
     assert as_set(replies.joined_replies(rows, ["k"], "n")) == want
     got = run(replies.joined_replies(source(spark, path, rows.schema), ["k"], "n"), tmp_path, "complete", "replies_now")
     assert as_set(got) == want
