@@ -131,7 +131,7 @@ def location_conversions(spark, sf):
     events = tables.read(spark, sf, "events").select(
         "event_id", "value", F.concat(F.lit("src"), (F.col("user_id") % 20).cast("string")).alias("book_id")
     )
-    rows = locations.lookup_join(events, tables.books(spark, sf).select("book_id", "total_locations"), ["book_id"], ["event_id"])
+    rows = locations.lookup_join(events, tables.books(spark, sf).select("book_id", "total_locations"), ["book_id"])
     total, at, pct = F.col("total_locations"), F.floor("value").cast("int"), F.least(F.lit(100.0), F.col("value"))
     return rows.select(
         "event_id", r6(loc.percentage_of(at, total)).alias("percentage"), loc.location_of_percentage(pct, total).alias("rounded_location"),
@@ -215,7 +215,7 @@ def _vector_probes(spark, sf):
     """Every vector asks for its neighbours up to half of its book."""
     rows = tables.vectors(spark, sf)
     ends = rows.groupBy("book_id").agg(F.greatest(F.lit(1), F.floor(F.max("location") / 2)).cast("int").alias("boundary"))
-    return rows, locations.lookup_join(rows.select(F.col("vec_id").alias("question_id"), "book_id", "vector"), ends, ["book_id"], ["question_id"])
+    return rows, locations.lookup_join(rows.select(F.col("vec_id").alias("question_id"), "book_id", "vector"), ends, ["book_id"])
 
 
 @query

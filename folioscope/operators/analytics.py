@@ -64,9 +64,8 @@ def throughput(results: DataFrame) -> DataFrame:
 
 def with_speed(results: DataFrame) -> DataFrame:
     """Rows with group statistics, efficiency and relative speed."""
-    ids = ["result_id"]
-    rows = lookup_join(results, model_stats(results), ["model"], ids)
-    rows = lookup_join(rows, type_stats(results), ["evaluation_type"], ids)
+    rows = lookup_join(results, model_stats(results), ["model"])
+    rows = lookup_join(rows, type_stats(results), ["evaluation_type"])
     return rows.withColumns(
         {
             "model_efficiency_score": F.col("model_query_count") / F.nullif(F.col("model_total_time"), F.lit(0.0)),
@@ -89,7 +88,7 @@ def with_speed_rank(results: DataFrame) -> DataFrame:
         "evaluation_type", "model", "model_avg_time",
         (F.sum("_n").over(faster) - F.sum("_n").over(same) + 1).alias("model_speed_rank"),
     )
-    return lookup_join(results, ranked, ["evaluation_type", "model"], ["result_id"])
+    return lookup_join(results, ranked, ["evaluation_type", "model"])
 
 
 def time_segment(column: str) -> Column:
@@ -112,7 +111,7 @@ def with_speed_percentile(results: DataFrame) -> DataFrame:
     totals = counts.where("response_time is not null").groupBy("model").agg(F.sum("_n").alias("_all"))
     everything = counts.agg(F.sum("_n")).scalar()
     share = F.when(F.col("response_time").isNotNull(), (F.col("_before") + (F.col("_n") + 1) / 2) / F.col("_all") * 100)
-    values = lookup_join(placed, totals, ["model"], ["response_time"], "left").select(
+    values = lookup_join(placed, totals, ["model"], "left").select(
         *key, share.alias("response_speed_percentile"), (F.col("_n") * HOT_SHARE > everything).alias("_hot")
     )
     hot = F.broadcast(values.filter("_hot").drop("_hot"))
@@ -206,7 +205,7 @@ def context_bins(results: DataFrame) -> DataFrame:
         return results.withColumn("context_bin", F.lit("all"))
     smaller = counts.withColumn("_below", F.coalesce(F.sum("_n").over(W.orderBy("context_count").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     numbered = segmented_row_number(results, ["context_count"], ["result_id"], F.floor(F.col("result_id") / 4096), "_within")
-    ranked = lookup_join(numbered, smaller.select("context_count", "_below"), ["context_count"], ["result_id"])
+    ranked = lookup_join(numbered, smaller.select("context_count", "_below"), ["context_count"])
     rank = F.col("_below") + F.col("_within")
     bin_of = F.when(rank <= 1 + (n - 1) / 3, _LABELS[0]).when(rank <= 1 + 2 * (n - 1) / 3, _LABELS[1]).otherwise(_LABELS[2])
     return ranked.withColumn("context_bin", bin_of).drop("_within", "_below")

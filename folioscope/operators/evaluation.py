@@ -46,7 +46,7 @@ def spoiler_flags(
     rule, or a blank answer, is safe.
     """
     rule = first_rules(rules, key, order)
-    joined = lookup_join(answers, rule, key, ids, "left")
+    joined = lookup_join(answers, rule, key, "left")
     progress, guard = F.col("progress_stage"), F.col("percentage_of_book_read")
     guarded = F.coalesce(progress < guard if strict else progress <= guard, F.lit(False))
     flag = F.when(guarded, scoring.spoiler_flag(F.col("answer"), F.col("forbidden_keywords"))).otherwise(1)

@@ -49,7 +49,7 @@ def idf_floor(frequency: DataFrame, books: DataFrame, epsilon: float = config.BM
 
 def with_idf(frequency: DataFrame, books: DataFrame) -> DataFrame:
     """``idf`` of (book, term) rows; negative values are raised to the floor."""
-    joined = lookup_join(frequency, books, ["book_id"], ["term"])
+    joined = lookup_join(frequency, books, ["book_id"])
     idf = _idf(F.col("n_chunks"), F.col("df"))
     return joined.withColumn("idf", F.when(idf < 0, F.col("idf_floor")).otherwise(idf))
 
@@ -95,7 +95,7 @@ def question_terms(questions: DataFrame, books: DataFrame, frequency: DataFrame,
     repeats = asked.groupBy("question_id", "book_id", "boundary", "term").agg(F.count(F.lit(1)).alias("qtf"))
     needed = repeats.select("book_id", "term").distinct().join(frequency, ["book_id", "term"])
     weighed = with_idf(needed, books).select("book_id", "term", "idf", "avg_tokens")
-    hits = lookup_join(repeats, weighed, ["book_id", "term"], ["question_id"])
+    hits = lookup_join(repeats, weighed, ["book_id", "term"])
     return hits.groupBy("question_id", "book_id", "boundary").agg(
         F.sort_array(F.collect_list(F.struct("term", (F.col("qtf") * F.col("idf")).alias("weight")))).alias("_t"),
         F.first("avg_tokens").alias("avg_tokens"),

@@ -15,7 +15,7 @@ def library_listing(books: DataFrame, progress: DataFrame) -> DataFrame:
     Written as matched readers plus unread books, so that a book with very many
     readers is spread like any other.
     """
-    matched = lookup_join(progress, books, ["book_id"], ["reader_id"])
+    matched = lookup_join(progress, books, ["book_id"])
     unread = books.join(progress.select("book_id").distinct(), "book_id", "left_anti")
     rows = matched.unionByName(unread, allowMissingColumns=True)
     return rows.select(
@@ -41,7 +41,7 @@ def book_detail(books: DataFrame, chapters: DataFrame, per_page: int | None = No
     nested = chapters.groupBy("book_id", page.alias("page")).agg(
         F.sort_array(F.collect_list(entry)).alias("chapters")
     )
-    return lookup_join(nested, books, ["book_id"], ["page"])
+    return lookup_join(nested, books, ["book_id"])
 
 
 def book_content(chapters: DataFrame, texts: DataFrame) -> DataFrame:

@@ -68,7 +68,7 @@ def chapter_at(points: DataFrame, chapters: DataFrame, point_ids: list[str], loc
         F.min("start_location").alias("_low"), F.max("_until").alias("_high"),
         F.min_by(F.struct(*_CHAPTER), F.col("order")).alias("_first"),
     )
-    placed = lookup_join(points, edges, ["book_id"], point_ids, "left")
+    placed = lookup_join(points, edges, ["book_id"], "left")
     placed = placed.withColumn("_at", F.greatest(F.col("_low"), F.least(F.col("_high"), F.col(location)))).withColumn(
         "_bucket", F.floor(F.col("_at") / BUCKET)
     )
@@ -79,7 +79,7 @@ def chapter_at(points: DataFrame, chapters: DataFrame, point_ids: list[str], loc
     buckets = pieces.groupBy("book_id", "_bucket").agg(
         F.sort_array(F.collect_list(F.struct("order", "start_location", "_until", "end_location", "chapter_id", "title"))).alias("_in")
     )
-    found = lookup_join(placed, buckets, ["book_id", "_bucket"], point_ids, "left")
+    found = lookup_join(placed, buckets, ["book_id", "_bucket"], "left")
     at = F.col("_at")
     inside = F.filter("_in", lambda c: (c["start_location"] <= at) & (at <= c["_until"]))
     exact = F.filter(inside, lambda c: c["end_location"] >= at)
@@ -149,10 +149,10 @@ def text_at(points: DataFrame, chapters: DataFrame, texts: DataFrame, point_ids:
     windows = spots.join(texts.select("chapter_id", "text"), "chapter_id").select(
         "chapter_id", "location", window_at_location(F.col("text"), inside, context).alias("window")
     )
-    return lookup_join(located, windows, ["chapter_id", "location"], point_ids, "left")
+    return lookup_join(located, windows, ["chapter_id", "location"], "left")
 
 
 def with_percentage(df: DataFrame, totals: DataFrame, ids: list[str], location: str = "location") -> DataFrame:
-    joined = lookup_join(df, totals.select("book_id", "total_locations"), ["book_id"], ids, "left")
+    joined = lookup_join(df, totals.select("book_id", "total_locations"), ["book_id"], "left")
     total = F.coalesce(F.col("total_locations"), F.lit(config.DEFAULT_TOTAL_LOCATIONS))
     return joined.withColumn("completion_percentage", percentage_of(F.col(location), total)).drop("total_locations")

@@ -24,12 +24,12 @@ def _prepared(events: DataFrame, totals: DataFrame, chapters: DataFrame | None)
     """Events with their effective location, percentage and chapter."""
     if chapters is not None and "chapter_id" in events.columns:
         known = chapters.select("book_id", "chapter_id", F.col("start_location").alias("_start"))
-        events = lookup_join(events, known, ["book_id", "chapter_id"], ["event_id"], "left")
+        events = lookup_join(events, known, ["book_id", "chapter_id"], "left")
         explicit = F.when(F.col("_start").isNotNull(), F.col("chapter_id"))
     else:
         events = events.withColumn("_start", F.lit(None).cast("int"))
         explicit = F.lit(None).cast("long")
-    sized = lookup_join(events, totals.select("book_id", "total_locations"), ["book_id"], ["event_id"])
+    sized = lookup_join(events, totals.select("book_id", "total_locations"), ["book_id"])
     total = F.col("total_locations")
     asked = F.coalesce(F.col("location").cast("double").cast("long"), F.col("_start"))
     pct = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("completion_percentage").cast("double")))
@@ -64,7 +64,7 @@ def progress_state(events: DataFrame, totals: DataFrame, chapters: DataFrame | N
         F.max(F.when(new_pct.isNotNull(), F.struct("pos", new_pct.alias("pct")))).alias("last_pct"),
     )
     later = rows.filter(loc.isNotNull() | pct.isNotNull() | F.col("explicit").isNotNull())
-    later = lookup_join(later, state.select(*KEY, F.col("base.pos").alias("base_pos"), "reset_pos"), KEY, ["event_id"])
+    later = lookup_join(later, state.select(*KEY, F.col("base.pos").alias("base_pos"), "reset_pos"), KEY)
     after_base = F.col("base_pos").isNull() | (pos > F.col("base_pos"))
     after_reset = F.col("reset_pos").isNull() | (pos > F.col("reset_pos"))
     from_pct = truncated_location_of_percentage(pct, total)
@@ -94,7 +94,7 @@ def progress_view(progress: DataFrame, chapters: DataFrame) -> DataFrame:
     stored = chapters.select(
         F.col("chapter_id").alias("current_chapter_id"), F.col("title").alias("_title"), F.col("order").alias("_order")
     )
-    named = lookup_join(progress, stored, ["current_chapter_id"], KEY, "left")
+    named = lookup_join(progress, stored, ["current_chapter_id"], "left")
     at = chapter_at(progress.select(*KEY, "current_location"), chapters, KEY, "current_location").select(
         *KEY, F.col("chapter_id").alias("resolved_chapter_id"), F.col("order").alias("_r_order"), F.col("title").alias("_r_title")
     )

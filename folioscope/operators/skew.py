@@ -6,9 +6,8 @@ collects a whole group:
 * ``segmented_*`` window helpers cut every group into order-preserving segments,
   summarise the segments, and only run windows inside one segment or over the
   short list of segment summaries;
-* ``lookup_join`` joins a large table with a one-row-per-key table, without a
-  shuffle where Spark estimates that table to be small enough to broadcast, and
-  with the hot keys, found by counting, spread over many partitions otherwise.
+* ``lookup_join`` joins a large table with a one-row-per-key table, null keys
+  included, and leaves hot keys to Spark's adaptive skew handling.
 """
 
 from __future__ import annotations
@@ -22,29 +21,6 @@ from pyspark.sql import Column, DataFrame, functions as F, Window as W
 _SEG = "_seg"
 
 
-def estimated_bytes(df: DataFrame) -> int | None:
-    """Spark's size estimate for the optimized plan; None where unavailable."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # e.g. a remote session without JVM access
-        return None
-
-
-def fits_broadcast(df: DataFrame) -> bool:
-    """True when the estimate is within the session's own broadcast limit."""
-    spark = df.sparkSession
-    raw = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760").lower()
-    units = {"kb": 1 << 10, "mb": 1 << 20, "gb": 1 << 30, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "b": 1}
-    for suffix, factor in units.items():
-        if raw.endswith(suffix):
-            limit = int(float(raw[: -len(suffix)]) * factor)
-            break
-    else:
-        limit = int(raw)
-    size = estimated_bytes(df)
-    return size is not None and size <= limit
-
-
 def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
     """Join on equal keys, where null equals null; the key columns, those of ``left``, come first."""
     names = {k: f"_r_{k}" for k in on}
@@ -54,37 +30,13 @@ def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: st
     return joined.select(*on, *[c for c in joined.columns if c not in on and c not in names.values()])
 
 
-#: A key with over this share of the rows is spread; there are at most as many such keys as its inverse.
-HOT_SHARE = 1 / 1000
-
-
-def lookup_join(
-    big: DataFrame,
-    small: DataFrame,
-    on: Sequence[str],
-    salt_by: Sequence[str],
-    how: str = "inner",
-) -> DataFrame:
-    """Join ``big`` with ``small`` (few rows per key) without a hot partition; null keys meet null keys.
+def lookup_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join ``big`` with ``small`` (few rows per key); null keys meet null keys.
 
-    A ``small`` whose estimated size is within the session's broadcast limit is left
-    to Spark. Otherwise the keys of ``big`` are counted, and only those with over ``HOT_SHARE`` of all rows, at most
-    1000, are spread by a hash of ``salt_by``, each over places in proportion to its rows; only their rows of ``small``
-    are repeated, once per place. ``how`` may be inner, left, left_semi or left_anti: each row of ``big`` meets
-    exactly one copy of ``small``, so the result is the same as without spreading.
+    Spark broadcasts a ``small`` within the session's limit. Otherwise both sides are shuffled once, and adaptive
+    execution splits the partitions of hot keys by their real size, repeating only the rows of ``small`` they meet.
     """
-    on = list(on)
-    if fits_broadcast(small):
-        return null_safe_join(big, small, on, how)
-    partitions = int(big.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    counts = big.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
-    share = F.col("_n") / counts.agg(F.sum("_n")).scalar()
-    hot = F.broadcast(counts.where(share > HOT_SHARE).select(*on, F.ceil(share * partitions).cast("int").alias("_places")))
-    places = F.coalesce("_places", F.lit(1))
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in salt_by]), places).cast("int")
-    salted_big = null_safe_join(big, hot, on, "left").withColumn("_salt", salt).drop("_places")
-    salted_small = null_safe_join(small, hot, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), places - 1))).drop("_places")
-    return null_safe_join(salted_big, salted_small, [*on, "_salt"], how).drop("_salt")
+    return null_safe_join(big, small, list(on), how)
 
 
 def segmented_running_sums(

@@ -48,15 +48,15 @@ def tiled_topk(
         F.max("boundary").alias("_max_boundary"),
         F.ceil(F.count(F.lit(1)) / probes_per_block).cast("int").alias("_n_pb"),
     )
-    open_items = lookup_join(items, reach, ["book_id"], item_ids).filter(F.col("location") <= F.col("_max_boundary"))
+    open_items = lookup_join(items, reach, ["book_id"]).filter(F.col("location") <= F.col("_max_boundary"))
     sizes = open_items.groupBy("book_id").agg(F.ceil(F.count(F.lit(1)) / items_per_block).cast("int").alias("_n_ib"))
     block_of = lambda ids, n: F.pmod(F.xxhash64(*[F.col(c) for c in ids]), F.col(n)).cast("int")
     all_blocks = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    item_side = lookup_join(open_items, sizes, ["book_id"], item_ids).select(
+    item_side = lookup_join(open_items, sizes, ["book_id"]).select(
         *items.columns, block_of(item_ids, "_n_ib").alias("_ib"), all_blocks("_n_pb").alias("_pb")
     )
     layout = reach.join(sizes, "book_id")
-    probe_side = lookup_join(probes, layout, ["book_id"], probe_ids).select(
+    probe_side = lookup_join(probes, layout, ["book_id"]).select(
         *probes.columns, block_of(probe_ids, "_n_pb").alias("_pb"), all_blocks("_n_ib").alias("_ib")
     )
     out_cols = probe_ids + item_ids + payload

@@ -106,7 +106,7 @@ def answer_contexts(final: DataFrame, questions: DataFrame, totals: DataFrame) -
     A question without hits has no prompt but already its ``response``.
     """
     asked = lookup_join(
-        questions.select("question_id", "book_id", "boundary", "question"), totals.select("book_id", "total_locations"), ["book_id"], ["question_id"]
+        questions.select("question_id", "book_id", "boundary", "question"), totals.select("book_id", "total_locations"), ["book_id"]
     )
     joined = asked.join(fusion.context_blocks(final), "question_id", "left")
     percentage = F.col("boundary") / F.col("total_locations") * 100.0

@@ -61,7 +61,7 @@ def questions(spark: SparkSession, sf_dir: str, totals: DataFrame | None = None)
         F.col("text").alias("question"),
     )
     half = F.floor(F.col("total_locations") / 2).cast("int")
-    return lookup_join(asked, totals.select("book_id", "total_locations"), ["book_id"], ["question_id"]).withColumn(
+    return lookup_join(asked, totals.select("book_id", "total_locations"), ["book_id"]).withColumn(
         "boundary", boundary_of(half, F.col("total_locations"))
     )
 
@@ -86,7 +86,7 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     n_items = bench.agg(F.count(F.lit(1))).scalar()
     keyed = pairs.withColumn("item_id", F.col("conv_id") % n_items)
     truth = bench.select("item_id", F.col("text").alias("ground_truth"))
-    return lookup_join(keyed, truth, ["item_id"], ["conv_id", "turn"]).withColumn(
+    return lookup_join(keyed, truth, ["item_id"]).withColumn(
         "model", F.concat(F.lit("m"), (F.col("conv_id") % 5).cast("string"))
     )
 

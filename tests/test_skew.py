@@ -40,8 +40,7 @@ def test_segmented_windows(spark):
 def test_lookup_join_spread(spark, no_broadcast, how):
     big = hot_rows(spark)
     small = spark.createDataFrame([("hot", 1), ("k1", 2), ("k2", 3), ("none", 4)], "k string, x int")
-    assert not skew.fits_broadcast(small)
-    assert as_set(skew.lookup_join(big, small, ["k"], ["id"], how)) == as_set(big.join(small, "k", how))
+    assert as_set(skew.lookup_join(big, small, ["k"], how)) == as_set(big.join(small, "k", how))
 
 
 def test_speed_percentile_and_rank(spark):
@@ -216,3 +215,11 @@ def test_progress_equals_replay(spark, no_broadcast, seed):
     for e in events:
         by_reader[e["reader_id"]].append(e)
     assert got == {k: replay(v, 80, starts) for k, v in by_reader.items()}
+
+
+def test_rows_without_time_or_model_stay(spark):
+    rows = [(1, "a", "regular", 2.0), (2, "a", "regular", None), (3, None, "regular", 5.0), (4, "a", None, 4.0)]
+    df = spark.createDataFrame(rows, "result_id long, model string, evaluation_type string, response_time double")
+    share = {r["result_id"]: r["response_speed_percentile"] for r in analytics.with_speed_percentile(df).collect()}
+    assert share == {1: 50.0, 2: None, 3: 100.0, 4: 100.0}
+    assert {r["result_id"] for r in analytics.with_speed_rank(df).collect()} == {1, 2, 3, 4} == {r["result_id"] for r in analytics.with_speed(df).collect()}
