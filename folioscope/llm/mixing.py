@@ -2,7 +2,10 @@
 
 Documents fall into cells by source, language and topic. The token weight of the cells is raked in turn to the target
 shares of the sources, the languages and the topics; a document is then kept with the probability ``KEEP`` * raked weight
-/ own weight of its cell, at most 1, against a number drawn from its id. Default targets are tempered: the share of a
+/ own weight of its cell against a number drawn from its id. With ``capped`` (the query op9_mixing and its SQL) probabilities
+above 1 are cut to 1, and the sample misses the targets by what is cut. Without it ``probability`` is the expected number
+of copies, and the column copies tells how often a document counts in the mixture: the whole part, and the rest is drawn.
+Default targets are tempered: the share of a
 source, language or topic is its token count to the power ``TEMPER``, normalised.
 
 The cells are aggregated before anything is shuffled, every rake is a partial aggregation and an equality join, and each
@@ -11,7 +14,7 @@ round is a table in the shared folder.
 Defined cases: tokens are the pieces between single spaces and line breaks, none in null or empty texts (such documents
 are kept with probability ``KEEP``); null sources, languages and topics are cells of their own; values without a target
 keep their weight; equal rows share their fate, for the number depends on the id alone (a null id counts as ``null``);
-columns named topic, tokens or probability are replaced, others stay; an empty table gives no rows.
+columns named topic, tokens or probability (copies, where it is made) are replaced, others stay; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -76,11 +79,8 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS)
     return now
 
 
-def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, keep: float = KEEP, rounds: int = ROUNDS) -> DataFrame:
-    """A sample of ``docs`` (doc_id, text, source, lang, ...) with topic, tokens and the probability of being kept.
-
-    ``targets`` maps a dimension to (key, share) with keys ``=value`` or ``null``; missing dimensions are tempered.
-    """
+def probabilities(docs: DataFrame, targets: dict[str, DataFrame] | None, keep: float, rounds: int, capped: bool) -> DataFrame:
+    """row (the columns of ``docs``), source, lang, topic (as keys), topic_name, tokens and probability of every document."""
     columns = [c for c in docs.columns if c not in ("topic", "tokens", "probability")]
     named = docs.select(
         F.struct(*columns).alias("row"), _key(F.col("source")).alias("source"), _key(F.col("lang")).alias("lang"),
@@ -88,10 +88,29 @@ def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, keep: floa
     ).withColumn("topic", _key(F.col("topic_name")))
     cells = materialise(named.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("base")), "cells")
     goals = {d: materialise(tempered(cells, d), "targets") if d not in (targets or {}) else targets[d] for d in DIMENSIONS}
-    raked = rake(cells, goals, rounds).where("base > 0").select(*DIMENSIONS, F.round(F.least(F.lit(1.0), keep * F.col("x") / F.col("base")), 9).alias("raked"))
-    judged = named.join(raked, list(DIMENSIONS), "left").withColumn("probability", F.when(F.col("tokens") > 0, F.col("raked")).otherwise(keep))
-    sample = judged.where(draw(F.col("row.doc_id")) < F.col("probability"))
-    return sample.select(*[F.col("row").getField(c).alias(c) for c in columns], F.col("topic_name").alias("topic"), "tokens", "probability")
+    ratios = rake(cells, goals, rounds).where("base > 0").select(*DIMENSIONS, (F.col("x") / F.col("base")).alias("ratio"))
+    wanted = F.lit(keep) * F.col("ratio")
+    raked = ratios.select(*DIMENSIONS, F.round(F.least(F.lit(1.0), wanted) if capped else wanted, 9).alias("raked"))
+    return named.join(raked, list(DIMENSIONS), "left").withColumn("probability", F.when(F.col("tokens") > 0, F.col("raked")).otherwise(keep))
+
+
+def mix(
+    docs: DataFrame, targets: dict[str, DataFrame] | None = None, keep: float = KEEP, rounds: int = ROUNDS, capped: bool = True
+) -> DataFrame:
+    """A sample of ``docs`` (doc_id, text, source, lang, ...) with topic, tokens and the probability of being kept, and copies if not ``capped``.
+
+    ``targets`` maps a dimension to (key, share) with keys ``=value`` or ``null``; missing dimensions are tempered.
+    """
+    added = ["topic", "tokens", "probability", *([] if capped else ["copies"])]
+    columns = [c for c in docs.columns if c not in added]
+    judged = probabilities(docs, targets, keep, rounds, capped)
+    lot, whole = draw(F.col("row.doc_id")), F.floor("probability")
+    if capped:
+        sample = judged.where(lot < F.col("probability"))
+    else:
+        copies = (whole + (lot < F.col("probability") - whole).cast("int")).cast("int")
+        sample = judged.withColumn("copies", copies).where("copies > 0")
+    return sample.select(*[F.col("row").getField(c).alias(c) for c in columns], F.col("topic_name").alias("topic"), *added[1:])
 
 
 def oracle_sql(rounds: int = ROUNDS) -> str:

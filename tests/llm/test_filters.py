@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from folioscope.llm import catalog, decontaminate as dc, lines, mixing, quality
 from folioscope.llm.common import read
 from tests.compare import compare, duck
@@ -191,3 +192,18 @@ def test_mixing_awkward_rows(spark):
     goal = spark.createDataFrame([("=src0", 1.0), ("=src1", 0.0), ("=src2", 0.0), ("null", 0.0)], "key string, share double")
     only = mixing.mix(docs.where("length(text) > 0"), {"source": goal}, keep=50.0, rounds=1)
     assert mixing.mix(docs.where("false"), rounds=1).count() == 0 and only.count() > 0
+
+
+def test_expected_sample_has_the_target_weights(spark):
+    docs = documents(spark, [(k, " ".join(["word"] * (900 if k % 5 == 0 else 7 + k % 4)) + ("!!" if k % 11 == 0 else "")) for k in range(150)])
+    judged = mixing.probabilities(docs, None, mixing.KEEP, mixing.ROUNDS, capped=False).cache()
+    sums = judged.groupBy(*mixing.DIMENSIONS).agg(F.sum("tokens").alias("base"), F.sum(F.col("tokens") * F.col("probability")).alias("expected")).cache()
+    rows, total = sums.collect(), sums.agg(F.sum("expected")).first()[0]
+    for d in mixing.DIMENSIONS:
+        for r in mixing.tempered(sums, d).collect():
+            assert abs(sum(x["expected"] for x in rows if x[d] == r["key"]) / total - r["share"]) < 1e-3
+    assert abs(total - mixing.KEEP * sum(r["base"] for r in rows)) < 1e-3 * total
+    copies = {r["doc_id"]: r["copies"] for r in corpus_pipeline.source_mixing(spark, docs, SMALL).collect()}
+    want = judged.select("row.doc_id", "probability").collect()
+    assert max(r["probability"] for r in want) > 1
+    assert all(int(r["probability"]) <= copies.get(r["doc_id"], 0) <= int(r["probability"]) + 1 for r in want)
