@@ -6,10 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folioscope.llm import decontaminate, lines, mixing, passages, pii, quality, simhash, topk, urls, warc
+from folioscope.llm import alignment, counts, decontaminate, lines, mixing, passages, pii, quality, simhash, topk, urls, warc, whitening
 from folioscope.llm.common import read
 from folioscope.session import ship_package
 
+def tokenizer_file(name: str) -> str:
+    """The place of a public tokenizer's file on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -112,3 +119,25 @@ def op4_urls(spark, sf_dir):
 def op5_substring_dedup(spark, sf_dir):
     """Every document that shares a passage with another one."""
     return passages.repeats(read(spark, sf_dir, "documents"))
+
+
+@query
+def op11_whitening(spark, sf_dir):
+    """Every usable vector on the leading components, whitened."""
+    found = whitening.whiten(read(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+@query
+def op12_token_counts(spark, sf_dir):
+    """The length of every document in bytes and tokens."""
+    return counts.token_counts(read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), keep=["doc_id"])
+
+
+@query
+def op13_alignment(spark, sf_dir):
+    """How the tokens of two tokenizers meet in every document."""
+    found = alignment.align(
+        read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"), digests=True
+    )
+    return alignment.scored(found).withColumnRenamed("groups", "groups_sha256")
