@@ -183,12 +183,15 @@ class SpaceMarked:
 
 
 def slices(batch, size: int, column: str = "text"):
-    """A record batch in slices of whole rows whose texts have about ``size`` bytes at most (one longer text is one slice)."""
+    """A record batch in slices of whole rows whose texts or lists have about ``size`` bytes or entries (a longer one is a slice)."""
+    import pyarrow as pa
     import pyarrow.compute as pc
 
-    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-    part = np.cumsum(lengths) // size
+    values = batch.column(column)
+    lengths = pc.list_value_length(values) if pa.types.is_list(values.type) else pc.binary_length(values)
+    part = np.cumsum(pc.fill_null(lengths, 0).to_numpy(zero_copy_only=False), dtype=np.int64) // size
     edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
     for a, b in zip(edges, edges[1:]):
         if b > a:
             yield batch.slice(a, b - a)
+    pa.default_memory_pool().release_unused()
