@@ -27,8 +27,8 @@ from folioscope.llm.counts import tokenizer_source
 from folioscope.llm.pretokens import ByteLevel, SpaceMarked, merges_are_ranks, slices
 from folioscope.sources.storage import materialise
 
-#: About as many bytes of text, or links, are worked on at once.
-SLICE = 1 << 20
+#: About as many bytes of text are worked on at once, and as many links.
+SLICE, LINKS = 1 << 19, 1 << 18
 HOT = 1 << 19
 PARTIAL = 1 << 20
 ADDED = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups", "link_a", "link_b")
@@ -162,7 +162,7 @@ def pair_counts(links: DataFrame) -> DataFrame:
             return summed.select(["a", "b", "n_sum"]).rename_columns(["a", "b", "n"])
 
         held, size = [], 0
-        for batch in (part for batch in batches for part in slices(batch, SLICE, "link_a")):
+        for batch in (part for batch in batches for part in slices(batch, LINKS, "link_a")):
             pairs = pa.table({"a": batch.column("link_a").flatten(), "b": batch.column("link_b").flatten()})
             counted = pairs.group_by(["a", "b"], use_threads=False).aggregate([([], "count_all")])
             held.append(counted.select(["a", "b", "count_all"]).rename_columns(["a", "b", "n"]).cast(schema))
@@ -217,7 +217,7 @@ def scored(aligned: DataFrame, hot: int = HOT) -> DataFrame:
         import pyarrow.compute as pc
 
         pairs, counts, best = told.value
-        for batch in (part for batch in batches for part in slices(batch, SLICE, "link_a")):
+        for batch in (part for batch in batches for part in slices(batch, LINKS, "link_a")):
             a, b = batch.column("link_a"), batch.column("link_b")
             key = (a.flatten().to_numpy().astype(np.int64) << 32) | b.flatten().to_numpy()
             at = np.minimum(np.searchsorted(pairs, key), max(0, len(pairs) - 1))

@@ -70,9 +70,9 @@ def op2_decontaminate(spark, sf_dir):
 
 @query
 def op9_mixing(spark, sf_dir):
-    """The documents sampled to tempered source, language and topic weights."""
+    """The documents of a mixture with tempered source, language and topic weights, and their copies in it."""
     sample = mixing.mix(read(spark, sf_dir, "documents"))
-    return sample.select("doc_id", "source", "lang", "topic", "tokens", F.round("probability", 6).alias("probability"))
+    return sample.select("doc_id", "source", "lang", "topic", "tokens", F.round("probability", 6).alias("probability"), "copies")
 
 
 ORACLE_SQL["op9_mixing"] = mixing.oracle_sql()

@@ -1,32 +1,33 @@
 """Mixing sources to target weights by iterative proportional fitting. DataFrame functions only.
 
 Documents fall into cells by source, language and topic. The token weight of the cells is raked in turn to the target
-shares of the sources, the languages and the topics; a document is then kept with the probability ``KEEP`` * raked weight
-/ own weight of its cell against a number drawn from its id. With ``capped`` (the query op9_mixing and its SQL) probabilities
-above 1 are cut to 1, and the sample misses the targets by what is cut. Without it ``probability`` is the expected number
-of copies, and the column copies tells how often a document counts in the mixture: the whole part, and the rest is drawn.
-Default targets are tempered: the share of a
-source, language or topic is its token count to the power ``TEMPER``, normalised.
+shares of the sources, the languages and the topics. ``probability`` is then ``KEEP`` * raked weight / own weight of a
+document's cell: the expected number of its copies in the mixture, above 1 where a cell has to weigh more than it holds.
+The column copies tells how often it counts: the whole part, and the rest is drawn by a number from its id. No weight is cut
+off, so the expected mixture has the target shares. Default targets are tempered: the share of a source, language or topic
+is its token count to the power ``TEMPER``, normalised.
 
-The cells are aggregated before anything is shuffled, every rake is a partial aggregation and an equality join, and each
-round is a table in the shared folder.
+Only the cells are ever grouped: documents are summed up to cells on the map side, a round is three window sums over the
+stored table of cells and their targets; every ``STORED`` rounds the table is stored anew in the shared folder.
 
 Defined cases: tokens are the pieces between single spaces and line breaks, none in null or empty texts (such documents
 are kept with probability ``KEEP``); null sources, languages and topics are cells of their own; values without a target
 keep their weight; equal rows share their fate, for the number depends on the id alone (a null id counts as ``null``);
-columns named topic, tokens or probability (copies, where it is made) are replaced, others stay; an empty table gives no rows.
+columns named topic, tokens, probability or copies are replaced, others stay; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from folioscope.sources.storage import materialise
 
 TEMPER = 0.5
 KEEP = 0.5
-ROUNDS = 10
+ROUNDS = 20
+STORED = 2  # rounds between two stored tables
 DIMENSIONS = ("source", "lang", "topic")
+ADDED = ("topic", "tokens", "probability", "copies")
 #: The first topic one of whose marks occurs in the text; the rest is prose.
 TOPIC_MARKS = [
     ("licence", ["icensed under", "ights reserved"]), ("table", [" | "]), ("contact", ["@", "+1 ("]), ("shout", ["!!"]),
@@ -68,49 +69,44 @@ def tempered(cells: DataFrame, dimension: str, temper: float = TEMPER) -> DataFr
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
     """``cells`` (keys of ``DIMENSIONS``, base) with the raked weight ``x``; the weights sum to those of ``base``."""
-    total = cells.agg(F.sum("base")).scalar()
-    now = cells.withColumn("x", F.col("base").cast("double"))
-    for _ in range(rounds):
-        for dimension, target in targets.items():
-            goal = now.groupBy(dimension).agg(F.sum("x").alias("own")).join(target.withColumnRenamed("key", dimension), dimension)
-            scale = goal.where("own > 0").select(dimension, (F.col("share") * total / F.col("own")).alias("scale"))
-            now = now.join(scale, dimension, "left").withColumn("x", F.col("x") * F.coalesce("scale", F.lit(1.0))).drop("scale")
-        now = materialise(now, "raked")
-    return now
-
-
-def probabilities(docs: DataFrame, targets: dict[str, DataFrame] | None, keep: float, rounds: int, capped: bool) -> DataFrame:
+    total = cells.agg(F.sum("base").cast("double")).first()[0] or 0.0
+    now = cells.withColumns({"x": F.col("base").cast("double"), "total": F.lit(total)})
+    for d, target in targets.items():
+        now = now.join(target.select(F.col("key").alias(d), F.col("share").alias(f"goal_{d}")), d, "left")
+    now = materialise(now, "cells")
+    for k in range(1, rounds + 1):
+        for d in targets:
+            own = F.sum("x").over(Window.partitionBy(d))
+            reached = F.col("x") * F.col(f"goal_{d}") * F.col("total") / own
+            now = now.withColumn("x", F.when(F.col(f"goal_{d}").isNotNull() & (own > 0), reached).otherwise(F.col("x")))
+        if k % STORED == 0 or k == rounds:
+            now = materialise(now, "raked")
+    return now.drop("total", *(f"goal_{d}" for d in targets))
+
+
+def probabilities(docs: DataFrame, targets: dict[str, DataFrame] | None, keep: float, rounds: int) -> DataFrame:
     """row (the columns of ``docs``), source, lang, topic (as keys), topic_name, tokens and probability of every document."""
-    columns = [c for c in docs.columns if c not in ("topic", "tokens", "probability")]
+    columns = [c for c in docs.columns if c not in ADDED]
     named = docs.select(
         F.struct(*columns).alias("row"), _key(F.col("source")).alias("source"), _key(F.col("lang")).alias("lang"),
         topic_of(F.col("text")).alias("topic_name"), token_count(F.col("text")).alias("tokens"),
     ).withColumn("topic", _key(F.col("topic_name")))
     cells = materialise(named.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("base")), "cells")
-    goals = {d: materialise(tempered(cells, d), "targets") if d not in (targets or {}) else targets[d] for d in DIMENSIONS}
-    ratios = rake(cells, goals, rounds).where("base > 0").select(*DIMENSIONS, (F.col("x") / F.col("base")).alias("ratio"))
-    wanted = F.lit(keep) * F.col("ratio")
-    raked = ratios.select(*DIMENSIONS, F.round(F.least(F.lit(1.0), wanted) if capped else wanted, 9).alias("raked"))
+    goals = {d: (targets or {}).get(d) or tempered(cells, d) for d in DIMENSIONS}
+    raked = rake(cells, goals, rounds).where("base > 0").select(*DIMENSIONS, F.round(keep * F.col("x") / F.col("base"), 9).alias("raked"))
     return named.join(raked, list(DIMENSIONS), "left").withColumn("probability", F.when(F.col("tokens") > 0, F.col("raked")).otherwise(keep))
 
 
-def mix(
-    docs: DataFrame, targets: dict[str, DataFrame] | None = None, keep: float = KEEP, rounds: int = ROUNDS, capped: bool = True
-) -> DataFrame:
-    """A sample of ``docs`` (doc_id, text, source, lang, ...) with topic, tokens and the probability of being kept, and copies if not ``capped``.
+def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, keep: float = KEEP, rounds: int = ROUNDS) -> DataFrame:
+    """The documents (doc_id, text, source, lang, ...) that the mixture holds, with topic, tokens, probability and copies.
 
     ``targets`` maps a dimension to (key, share) with keys ``=value`` or ``null``; missing dimensions are tempered.
     """
-    added = ["topic", "tokens", "probability", *([] if capped else ["copies"])]
-    columns = [c for c in docs.columns if c not in added]
-    judged = probabilities(docs, targets, keep, rounds, capped)
-    lot, whole = draw(F.col("row.doc_id")), F.floor("probability")
-    if capped:
-        sample = judged.where(lot < F.col("probability"))
-    else:
-        copies = (whole + (lot < F.col("probability") - whole).cast("int")).cast("int")
-        sample = judged.withColumn("copies", copies).where("copies > 0")
-    return sample.select(*[F.col("row").getField(c).alias(c) for c in columns], F.col("topic_name").alias("topic"), *added[1:])
+    columns = [c for c in docs.columns if c not in ADDED]
+    whole = F.floor("probability")
+    copies = (whole + (draw(F.col("row.doc_id")) < F.col("probability") - whole).cast("int")).cast("int")
+    drawn = probabilities(docs, targets, keep, rounds).withColumn("copies", copies).where("copies > 0")
+    return drawn.select(*[F.col("row").getField(c).alias(c) for c in columns], F.col("topic_name").alias("topic"), *ADDED[1:])
 
 
 def oracle_sql(rounds: int = ROUNDS) -> str:
@@ -131,8 +127,11 @@ def oracle_sql(rounds: int = ROUNDS) -> str:
         for d in DIMENSIONS:
             steps.append(f"x{n + 1} AS (SELECT c.source, c.lang, c.topic, c.base, c.x * g.share * c.total / sum(c.x) OVER (PARTITION BY c.{d}) AS x, c.total FROM x{n} c JOIN goal_{d} g USING ({d}))")
             n += 1
-    return "WITH " + ",\n".join(steps) + f"""
-SELECT doc_id, source, lang, topic, tokens, round(least(1.0, {KEEP} * x / base), 6) AS probability
-FROM docs JOIN x{n} USING (source, lang, topic)
-WHERE CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 13) AS BIGINT) / {float(1 << 52)} < round(least(1.0, {KEEP} * x / base), 9)
+    steps.append(f"""judged AS (
+  SELECT doc_id, source, lang, topic, tokens, CASE WHEN tokens > 0 THEN round({KEEP} * x / base, 9) ELSE {KEEP} END AS probability,
+    CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 13) AS BIGINT) / {float(1 << 52)} AS lot
+  FROM docs JOIN x{n} USING (source, lang, topic)
+), drawn AS (SELECT *, CAST(floor(probability) AS INTEGER) + CAST(lot < probability - floor(probability) AS INTEGER) AS copies FROM judged)""")
+    return "WITH " + ",\n".join(steps) + """
+SELECT doc_id, source, lang, topic, tokens, round(probability, 6) AS probability, copies FROM drawn WHERE copies > 0
 """

@@ -185,8 +185,8 @@ def test_marginals_are_reached(spark):
 def test_mixing_awkward_rows(spark):
     docs = awkward(spark)
     sample = mixing.mix(docs, keep=50.0, rounds=2)
-    assert sample.columns == [c for c in docs.columns if c != "probability"] + ["topic", "tokens", "probability"]
-    assert rows_of(sample, "doc_id", "text") == rows_of(docs, "doc_id", "text")  # every probability is one
+    assert sample.columns == [c for c in docs.columns if c != "probability"] + ["topic", "tokens", "probability", "copies"]
+    assert rows_of(sample, "doc_id", "text") == rows_of(docs, "doc_id", "text")  # every probability is above one
     few = mixing.mix(docs, rounds=2)
     assert len({r["doc_id"] for r in few.where("doc_id = 2").collect()}) * 2 == few.where("doc_id = 2").count()  # equal rows share their fate
     goal = spark.createDataFrame([("=src0", 1.0), ("=src1", 0.0), ("=src2", 0.0), ("null", 0.0)], "key string, share double")
@@ -196,14 +196,25 @@ def test_mixing_awkward_rows(spark):
 
 def test_expected_sample_has_the_target_weights(spark):
     docs = documents(spark, [(k, " ".join(["word"] * (900 if k % 5 == 0 else 7 + k % 4)) + ("!!" if k % 11 == 0 else "")) for k in range(150)])
-    judged = mixing.probabilities(docs, None, mixing.KEEP, mixing.ROUNDS, capped=False).cache()
+    judged = mixing.probabilities(docs, None, mixing.KEEP, mixing.ROUNDS).cache()
     sums = judged.groupBy(*mixing.DIMENSIONS).agg(F.sum("tokens").alias("base"), F.sum(F.col("tokens") * F.col("probability")).alias("expected")).cache()
     rows, total = sums.collect(), sums.agg(F.sum("expected")).first()[0]
     for d in mixing.DIMENSIONS:
         for r in mixing.tempered(sums, d).collect():
-            assert abs(sum(x["expected"] for x in rows if x[d] == r["key"]) / total - r["share"]) < 1e-3
-    assert abs(total - mixing.KEEP * sum(r["base"] for r in rows)) < 1e-3 * total
+            assert abs(sum(x["expected"] for x in rows if x[d] == r["key"]) / total - r["share"]) < 1e-6
+    assert abs(total - mixing.KEEP * sum(r["base"] for r in rows)) < 1e-6 * total
     copies = {r["doc_id"]: r["copies"] for r in corpus_pipeline.source_mixing(spark, docs, SMALL).collect()}
     want = judged.select("row.doc_id", "probability").collect()
     assert max(r["probability"] for r in want) > 1
     assert all(int(r["probability"]) <= copies.get(r["doc_id"], 0) <= int(r["probability"]) + 1 for r in want)
+
+
+def test_query_has_the_target_weights(spark):
+    """Every document's expected copies, over the given table: the shares of op9_mixing before anything is drawn."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    sums = mixing.probabilities(docs, None, mixing.KEEP, mixing.ROUNDS).groupBy(*mixing.DIMENSIONS).agg(
+        F.sum("tokens").alias("base"), F.sum(F.col("tokens") * F.col("probability")).alias("expected")).cache()
+    rows, total = sums.collect(), sums.agg(F.sum("expected")).first()[0]
+    for d in mixing.DIMENSIONS:
+        for r in mixing.tempered(sums, d).collect():
+            assert abs(sum(x["expected"] for x in rows if x[d] == r["key"]) / total - r["share"]) < 1e-6
