@@ -39,8 +39,8 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample by calibrated probabilities, with topic, tokens, probability and copies, the times each document counts."""
-    return mixing.mix(docs, capped=False)
+    """The mixture by calibrated probabilities, with topic, tokens, probability and copies, the times each document counts."""
+    return mixing.mix(docs)
 
 
 STAGES = [
