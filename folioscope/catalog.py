@@ -19,6 +19,7 @@ from folioscope.plans import evaluation as run_plan, ingest, retrieval
 from folioscope.session import ship_package
 from folioscope.sources import tables
 from folioscope.sources.storage import materialise, spread
+from folioscope.sources.store import Store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -190,21 +191,27 @@ def summary_segments(spark, sf):
 # --- keyword search ---------------------------------------------------------
 
 
-def _index(spark, sf):
-    return materialise(keyword.chunk_terms(tables.chunks(spark, sf)), "index")
+def _store(spark, sf):
+    """Tables built from the documents, once for every state of their files."""
+    return Store(spark, [f"{sf}/documents.parquet"], tables="chapters by source")
+
+
+def _keyword_index(spark, sf):
+    return ingest.keyword_index(lambda: tables.chapters(spark, sf), tables.chapter_texts(spark, sf), keep=_store(spark, sf).keep)
 
 
 @query
 def bm25_stats(spark, sf):
-    books, terms = keyword.keyword_statistics(_index(spark, sf))
+    index = _keyword_index(spark, sf)
+    terms = keyword.with_idf(index.frequency, index.statistics)
     return terms.select("book_id", "term", "df", "n_chunks", r6("avg_tokens").alias("avg_tokens"), r6("idf").alias("idf"))
 
 
 @query
 def bm25_topk(spark, sf):
-    index = _index(spark, sf)
-    questions = materialise(tables.questions(spark, sf), "questions")
-    hits = keyword.keyword_search(questions, index, payload=("location",), frequency=materialise(keyword.document_frequency(index), "frequency"))
+    index = _keyword_index(spark, sf)
+    questions = materialise(tables.questions(spark, sf, locations.book_totals(index.chapters)), "questions")
+    hits = keyword.keyword_search(questions, index.chunks, lists=index.postings, frequency=index.frequency, books=index.statistics)
     return hits.select("question_id", "rank_in_method", "chapter_order", "chunk_no", "location", r6("score").alias("score"))
 
 
@@ -250,7 +257,7 @@ def summary_search(spark, sf):
 
 
 def _corpus(spark, sf):
-    return ingest.build_corpus(tables.chapters(spark, sf), tables.chapter_texts(spark, sf))
+    return ingest.build_corpus(lambda: tables.chapters(spark, sf), tables.chapter_texts(spark, sf), keep=_store(spark, sf).keep)
 
 
 def _expansion_replies(questions):

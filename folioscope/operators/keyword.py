@@ -1,17 +1,27 @@
-"""Okapi BM25 over the chunks of each book."""
+"""Okapi BM25 over the chunks of each book, from stored postings.
+
+A posting is a term of a chunk with its count and the chunk's length; all a search needs of a chunk. Postings are built once,
+in folders by a hash of the term, and statistics, term lookup and scores come from them alone, without Python and without
+another look at texts or tokens. Questions meet them by block: the terms asked in a block are few enough to be broadcast, the
+postings they match are shuffled once, by chunk, so that a chunk's score and each task's best k per question need no further
+exchange, whatever book is hot.
+"""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from folioscope import config
 from folioscope.functions.text import tokens
-from folioscope.operators.skew import lookup_join
-from folioscope.operators.tiles import tiled_topk, top_of
+from folioscope.operators.skew import lookup_join, null_safe_join
+from folioscope.sources.storage import materialise
 
 CHUNK_KEY = ["chapter_order", "chunk_no"]
+TERM_BUCKETS = 16
+#: About as many (question, term) rows are broadcast at once.
+ASKED_PER_BLOCK = 100_000
 
 
 def chunk_terms(chunks: DataFrame, text: str = "chunk") -> DataFrame:
@@ -27,9 +37,21 @@ def book_statistics(index: DataFrame) -> DataFrame:
     )
 
 
-def document_frequency(index: DataFrame) -> DataFrame:
-    """Chunks containing each term, per book."""
-    return index.select("book_id", F.explode_outer(F.array_distinct("tokens")).alias("term")).filter(F.col("term").isNotNull()).groupBy("book_id", "term").agg(F.count(F.lit(1)).alias("df"))
+def term_bucket(term: Column) -> Column:
+    """The folder of a term."""
+    return F.pmod(F.xxhash64(term), F.lit(TERM_BUCKETS)).cast("int")
+
+
+def postings(index: DataFrame) -> DataFrame:
+    """Inverted index: (term_bucket, book_id, term, chunk key, location, n_tokens, tf) of every term of every chunk."""
+    rows = index.select("book_id", *CHUNK_KEY, "location", "n_tokens", F.explode("tokens").alias("term"))
+    counted = rows.groupBy("book_id", "term", *CHUNK_KEY, "location", "n_tokens").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+    return counted.select("book_id", "term", *CHUNK_KEY, "location", "n_tokens", "tf", term_bucket(F.col("term")).alias("term_bucket"))
+
+
+def document_frequency(lists: DataFrame) -> DataFrame:
+    """Chunks containing each term, per book; from postings."""
+    return lists.groupBy("book_id", "term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def _idf(n, df):
@@ -54,52 +76,54 @@ def with_idf(frequency: DataFrame, books: DataFrame) -> DataFrame:
     return joined.withColumn("idf", F.when(idf < 0, F.col("idf_floor")).otherwise(idf))
 
 
-def keyword_statistics(index: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(book statistics, term statistics) of an index."""
-    frequency = document_frequency(index)
+def keyword_statistics(index: DataFrame, lists: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(book statistics, term statistics) of an index and its postings."""
+    frequency = document_frequency(lists)
     books = idf_floor(frequency, book_statistics(index))
     return books, with_idf(frequency, books)
 
 
-def _bm25_kernel(k1: float, b: float):
-    def kernel(probes: pd.DataFrame, items: pd.DataFrame):
-        # occurrences of asked terms in the tile, counted per (term, chunk)
-        wanted = pd.Index(np.unique(np.concatenate(probes["terms"].to_numpy())))
-        code = wanted.get_indexer(np.concatenate(items["tokens"].to_numpy()))
-        row = np.repeat(np.arange(len(items)), items["n_tokens"].to_numpy())
-        pairs, tf = np.unique((code * len(items) + row)[code >= 0], return_counts=True)
-        code, row = pairs // len(items), pairs % len(items)
-        relative = items["n_tokens"].to_numpy()[row] / float(probes["avg_tokens"].iloc[0])
-        part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * relative))
-        first = np.searchsorted(code, np.arange(len(wanted) + 1))
-        location = items["location"].to_numpy()
-        for i, (terms, weights, boundary, k) in enumerate(
-            zip(probes["terms"], probes["weights"], probes["boundary"], probes["k"])
-        ):
-            scores = np.zeros(len(items))
-            for term, weight in zip(wanted.get_indexer(terms), weights):
-                own = slice(first[term], first[term + 1])
-                scores[row[own]] += weight * part[own]
-            hits, values = top_of(scores, (location <= boundary) & (scores > 0), int(k))
-            yield i, hits, values
-
-    return kernel
-
-
 def question_terms(questions: DataFrame, books: DataFrame, frequency: DataFrame, text: str = "question") -> DataFrame:
-    """Probe rows: the question's indexed terms with repeat count times idf.
+    """(question_id, book_id, boundary, term, weight, avg_tokens): indexed terms of each question, repeats times idf.
 
     Only the distinct terms asked for are looked up in the term statistics.
     """
-    asked = questions.select("question_id", "book_id", F.col("boundary").cast("int").alias("boundary"), F.explode(tokens(F.col(text))).alias("term"))
+    asked = questions.select("question_id", "book_id", "boundary", F.explode(tokens(F.col(text))).alias("term"))
     repeats = asked.groupBy("question_id", "book_id", "boundary", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    needed = repeats.select("book_id", "term").distinct().join(frequency, ["book_id", "term"])
+    needed = null_safe_join(frequency, repeats.select("book_id", "term").distinct(), ["book_id", "term"])
     weighed = with_idf(needed, books).select("book_id", "term", "idf", "avg_tokens")
     hits = lookup_join(repeats, weighed, ["book_id", "term"])
-    return hits.groupBy("question_id", "book_id", "boundary").agg(
-        F.sort_array(F.collect_list(F.struct("term", (F.col("qtf") * F.col("idf")).alias("weight")))).alias("_t"),
-        F.first("avg_tokens").alias("avg_tokens"),
-    ).select("question_id", "book_id", "boundary", "avg_tokens", F.col("_t.term").alias("terms"), F.col("_t.weight").alias("weights"))
+    return hits.select("question_id", "book_id", "boundary", "term", (F.col("qtf") * F.col("idf")).alias("weight"), "avg_tokens")
+
+
+def _of_terms(lists: DataFrame, asks: DataFrame) -> DataFrame:
+    """Postings that ``asks`` (bounded by its block) names by folder, book and term; null books meet null books."""
+    named = F.broadcast(asks.withColumnsRenamed({"term_bucket": "_bucket", "book_id": "_book", "term": "_term"}))
+    same = (F.col("term_bucket") == F.col("_bucket")) & (F.col("term") == F.col("_term")) & F.col("book_id").eqNullSafe(F.col("_book"))
+    return lists.join(named, same).drop("_bucket", "_book", "_term")
+
+
+def _best_of_block(asked: DataFrame, lists: DataFrame, limit: int, k1: float, b: float) -> DataFrame:
+    """Best ``limit`` chunks per question of one block of ``question_terms``."""
+    key = ["term_bucket", "book_id", "term"]
+    asks = asked.groupBy(term_bucket(F.col("term")).alias("term_bucket"), "book_id", "term").agg(
+        F.max("boundary").alias("_reach"), F.first("avg_tokens").alias("avg_tokens"),
+        F.collect_list(F.struct("question_id", "boundary", "weight")).alias("asks"),
+    )
+    matched = _of_terms(lists, asks.select(*key, "_reach")).filter(F.col("location") <= F.col("_reach")).drop("_reach")
+    spread = matched.repartition("book_id", *CHUNK_KEY)
+    relative = F.col("n_tokens") / F.col("avg_tokens")
+    part = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * relative))
+    rows = _of_terms(spread, asks.drop("_reach")).select(
+        "book_id", *CHUNK_KEY, "location", part.alias("part"), F.explode("asks").alias("a")
+    )
+    scored = (
+        rows.filter(F.col("location") <= F.col("a.boundary"))
+        .groupBy("book_id", *CHUNK_KEY, "location", F.col("a.question_id").alias("question_id"))
+        .agg(F.sum(F.col("a.weight") * F.col("part")).alias("score")).filter(F.col("score") > 0)
+    )
+    best_first = W.partitionBy("question_id").orderBy(F.round("score", 9).desc(), *CHUNK_KEY)
+    return scored.withColumn("rank_in_method", F.row_number().over(best_first)).filter(F.col("rank_in_method") <= limit)
 
 
 def keyword_search(
@@ -107,22 +131,29 @@ def keyword_search(
     index: DataFrame,
     limit: int = config.BM25_LIMIT,
     payload: tuple[str, ...] = ("location",),
+    lists: DataFrame | None = None,
     frequency: DataFrame | None = None,
     books: DataFrame | None = None,
     k1: float = config.BM25_K1,
     b: float = config.BM25_B,
     scale: float = config.BM25_SCALE,
-    **blocks,
+    asked_per_block: int = ASKED_PER_BLOCK,
 ) -> DataFrame:
     """Best chunks per question up to its boundary, scores scaled to ``scale``.
 
-    Statistics cover the whole book, the boundary applies to the hits only.
-    ``questions`` has question_id, book_id, boundary and question.
+    Statistics cover the whole book, the boundary applies to the hits only. ``questions`` has question_id, book_id, boundary
+    and question; ``lists`` are the postings of ``index``. Blocks hold whole questions, dealt by a hash of their id.
     """
-    frequency = document_frequency(index) if frequency is None else frequency
+    lists = postings(index) if lists is None else lists
+    frequency = document_frequency(lists) if frequency is None else frequency
     books = idf_floor(frequency, book_statistics(index)) if books is None else books
-    probes = question_terms(questions, books, frequency).withColumn("k", F.lit(limit))
-    items = index.select(*dict.fromkeys([*CHUNK_KEY, *payload, "book_id", "location", "n_tokens", "tokens"]))
-    best = tiled_topk(probes, items, _bm25_kernel(k1, b), ["question_id"], CHUNK_KEY, limit, list(payload), layout_of=questions, **blocks)
+    asked = materialise(question_terms(questions, books, frequency), "asked")
+    blocks = max(1, -(-asked.count() // asked_per_block))
+    part = lambda n: asked.filter(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == n) if blocks > 1 else asked
+    best = reduce(DataFrame.unionAll, [_best_of_block(part(n), lists, limit, k1, b) for n in range(blocks)])
+    rest = [c for c in payload if c not in ("book_id", "location")]
+    if rest:  # fetched for the few hits only
+        best = null_safe_join(best, index.select("book_id", *CHUNK_KEY, *rest), ["book_id", *CHUNK_KEY])
     top = F.max("score").over(W.partitionBy("question_id"))
-    return best.withColumn("score", F.col("score") / top * F.lit(scale))
+    columns = dict.fromkeys(["question_id", *CHUNK_KEY, *payload, "score", "rank_in_method"])
+    return best.select(*columns).withColumn("score", F.col("score") / top * F.lit(scale))

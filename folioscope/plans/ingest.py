@@ -28,6 +28,7 @@ class Corpus:
     totals: DataFrame      # per book
     chunks: DataFrame      # located chunks with tokens and vector
     summaries: DataFrame   # summary segments with vector
+    postings: DataFrame    # inverted index of the chunks
     frequency: DataFrame   # chunks per (book, term)
     statistics: DataFrame  # keyword statistics per book
 
@@ -62,33 +63,66 @@ def embedded_summaries(
     return rows.withColumns({"text_key": text_key("text"), "content_type": F.lit("summary")})
 
 
+#: ``keep(build, name, by)`` gives the table ``name``, stored (in folders by a column); only some call ``build``
+Keep = Callable[..., DataFrame]
+
+
+def unkept(build: Callable[[], DataFrame], name: str, by: str | None = None) -> DataFrame:
+    """Write the table for this run only."""
+    return materialise(build(), name)
+
+
+@dataclass
+class KeywordIndex:
+    """The part of a corpus that keyword search reads."""
+
+    chapters: DataFrame
+    chunks: DataFrame
+    postings: DataFrame
+    frequency: DataFrame
+    statistics: DataFrame
+
+
+def keyword_index(
+    chapters: Callable[[], DataFrame], texts: DataFrame, embed: EmbedFn | None = None, location_mode: str = "offset", dim: int = 64, keep: Keep = unkept
+) -> KeywordIndex:
+    """Chunk, tokenise, embed and index a library; texts are read once."""
+    chapters = keep(chapters, "chapters")
+    chunks = keep(lambda: embedded_chunks(chunk_table(chapters, texts, location_mode), embed, dim), "chunks")
+    lists = keep(lambda: keyword.postings(chunks), "postings", "term_bucket")
+    frequency = keep(lambda: keyword.document_frequency(lists), "frequency")
+    statistics = keep(lambda: keyword.idf_floor(frequency, keyword.book_statistics(chunks)), "statistics")
+    return KeywordIndex(chapters, chunks, lists, frequency, statistics)
+
+
 def build_corpus(
-    chapters: DataFrame,
+    chapters: DataFrame | Callable[[], DataFrame],
     texts: DataFrame,
     embed: EmbedFn | None = None,
     summarise: GenerateFn | None = None,
     location_mode: str = "offset",
     dim: int = 64,
-    keep: Callable[[DataFrame, str], DataFrame] = materialise,
+    keep: Keep = unkept,
 ) -> Corpus:
     """Chunk, tokenise, embed, summarise and index a library.
 
-    ``keep`` stores each table and returns the stored one; texts are read once.
+    ``keep`` stores each table and returns the stored one: ``Store.keep`` builds only what is missing or out of date.
     """
-    chapters = keep(chapters, "chapters")
-    chunks = keep(embedded_chunks(chunk_table(chapters, texts, location_mode), embed, dim), "chunks")
-    frequency = keep(keyword.document_frequency(chunks), "frequency")
-    statistics = keep(keyword.idf_floor(frequency, keyword.book_statistics(chunks)), "statistics")
-    summaries = keep(embedded_summaries(chunks, embed, summarise, dim), "summaries")
-    return Corpus(chapters, book_totals(chapters), chunks, summaries, frequency, statistics)
+    made = keyword_index(chapters if callable(chapters) else lambda: chapters, texts, embed, location_mode, dim, keep)
+    summaries = keep(lambda: embedded_summaries(made.chunks, embed, summarise, dim), "summaries")
+    return Corpus(made.chapters, book_totals(made.chapters), made.chunks, summaries, made.postings, made.frequency, made.statistics)
 
 
-def stored_under(folder: str) -> Callable[[DataFrame, str], DataFrame]:
-    """A ``keep`` that writes named tables below a folder, by book bucket."""
+def stored_under(folder: str) -> Keep:
+    """A ``keep`` that writes named tables below a folder, by book bucket (postings: by term bucket)."""
 
-    def keep(df: DataFrame, name: str) -> DataFrame:
-        save_table(df, f"{folder}/{name}", buckets=64)
-        return load_table(df.sparkSession, f"{folder}/{name}").drop("book_bucket")
+    def keep(build: Callable[[], DataFrame], name: str, by: str | None = None) -> DataFrame:
+        df = build()
+        if by is None:
+            save_table(df, f"{folder}/{name}", buckets=64)
+        else:
+            df.hint("rebalance", by).write.mode("overwrite").partitionBy(by).parquet(f"{folder}/{name}")
+        return load_table(df.sparkSession, f"{folder}/{name}", df.schema)
 
     return keep
 
@@ -123,4 +157,4 @@ def new_chapters(arriving: DataFrame, corpus_chunks: DataFrame) -> DataFrame:
 def load_corpus(spark: SparkSession, folder: str) -> Corpus:
     table = lambda name: load_table(spark, f"{folder}/{name}").drop("book_bucket")
     chapters = table("chapters")
-    return Corpus(chapters, book_totals(chapters), table("chunks"), table("summaries"), table("frequency"), table("statistics"))
+    return Corpus(chapters, book_totals(chapters), table("chunks"), table("summaries"), table("postings"), table("frequency"), table("statistics"))

@@ -68,7 +68,7 @@ def hits_of_all_searches(
     """Hits of the four searches; the vector searches share one pass."""
     keyword_hits = keyword_search(
         questions, corpus.chunks, params.bm25_limit, ("book_id", "location", "content_type", "text_key"),
-        corpus.frequency, corpus.statistics,
+        corpus.postings, corpus.frequency, corpus.statistics,
     ).select(
         "question_id", "book_id", F.lit("bm25").alias("search_method"), F.lit(0).alias("probe_no"), "rank_in_method", "score",
         F.lit(0).alias("kind_no"), "chapter_order", "chunk_no", "location", "content_type", "text_key",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, types as T
 
 from folioscope.session import ensure_checkpoint_dir
 
@@ -35,8 +35,9 @@ def save_table(df: DataFrame, path: str, mode: str = "overwrite", buckets: int |
     ).parquet(path)
 
 
-def load_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def load_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """A stored table; with its ``schema``, also one without any row and so without a file to read it from."""
+    return (spark.read if schema is None else spark.read.schema(schema)).parquet(path)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

@@ -106,8 +106,8 @@ def test_vector_search_in_tiles(spark, blocks):
     assert got == sorted(want, key=repr)
 
 
-@pytest.mark.parametrize("blocks", [{}, {"probes_per_block": 2, "items_per_block": 7}])
-def test_keyword_search_in_tiles(spark, no_broadcast, blocks):
+@pytest.mark.parametrize("blocks", [{}, {"asked_per_block": 5}])
+def test_keyword_search_in_blocks(spark, no_broadcast, blocks):
     rng = random.Random(4)
     word = lambda: rng.choice("the the the of whale sea ship captain rope storm".split())
     chunks = [(b, c, n, c * 2 + n, " ".join(word() for _ in range(rng.randint(3, 15)))) for b in ("x", "y") for c in range(12) for n in range(3)]
