@@ -7,10 +7,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from folioscope import config
 from folioscope.functions.location import locations_of_length, percentage_of
 from folioscope.functions.text import window_at_location
-from folioscope.operators.skew import lookup_join, segmented_lag, segmented_running_sums
+from folioscope.operators.skew import lookup_join, segmented_carry, segmented_lag, segmented_running_max, segmented_running_sums
 
 SEGMENT_IDS = 4096   # ids per window segment
-BUCKET = 8           # locations per bucket of the interval join
 
 
 def id_segment(column: str) -> Column:
@@ -49,49 +48,44 @@ def book_totals(chapters: DataFrame, book: str = "book_id") -> DataFrame:
 _CHAPTER = ["chapter_id", "order", "title", "start_location", "end_location"]
 
 
+def _cover(spots: DataFrame, chapters: DataFrame) -> DataFrame:
+    """``spots`` (book_id, _at: distinct) with ``_held``, the containing chapter, and ``_before``, the latest one to start by then.
+
+    An as-of join: spots, starts and ends lie on one line per book, cut into segments of locations. The latest start is
+    carried forwards to the spots, and the nearest end backwards; a chapter that ends no later than one before it is never
+    the first to contain anything and gives no end. No chapter is repeated, whatever its length.
+    """
+    own = F.struct(*_CHAPTER)
+    line = ["_at", "_kind", "_no"]
+    closing = segmented_running_max(
+        chapters.select("book_id", *_CHAPTER), ["book_id"], ["start_location", "order"], id_segment("start_location"), F.col("end_location"), "_reached"
+    ).filter(F.col("_reached").isNull() | (F.col("end_location") > F.col("_reached")))
+    none = F.lit(None).cast(chapters.select(own.alias("c")).schema["c"].dataType)
+    marks = (
+        chapters.select("book_id", F.col("start_location").cast("long").alias("_at"), F.lit(0).alias("_kind"), F.col("order").cast("long").alias("_no"), own.alias("_start"), none.alias("_end"))
+        .unionByName(spots.select("book_id", "_at", F.lit(1).alias("_kind"), F.lit(0).cast("long").alias("_no"), none.alias("_start"), none.alias("_end")))
+        .unionByName(closing.select("book_id", F.col("end_location").cast("long").alias("_at"), F.lit(2).alias("_kind"), F.col("order").cast("long").alias("_no"), none.alias("_start"), own.alias("_end")))
+    )
+    begun = segmented_carry(marks, ["book_id"], line, id_segment("_at"), "_start", "_before")
+    ended = segmented_carry(begun, ["book_id"], line, id_segment("_at"), "_end", "_next", backward=True)
+    held = F.when(F.col("_next.start_location") <= F.col("_at"), F.col("_next"))
+    return ended.filter(F.col("_kind") == 1).select("book_id", "_at", held.alias("_held"), "_before")
+
+
 def chapter_at(points: DataFrame, chapters: DataFrame, point_ids: list[str], location: str = "location") -> DataFrame:
     """Chapter of each (book, location) point, never missing while a book has one.
 
-    The containing chapter wins; otherwise the latest one starting before the
-    location; otherwise the first by order. Every chapter is extended to the start
-    of the next one and cut into buckets of a few locations, so a point meets only
-    the chapters of its own bucket.
+    The containing chapter wins (the first by order, if several do); otherwise the latest one starting before the location;
+    otherwise the first by order. Chapters start in their order. Points of one place share its look-up (``_cover``), and a
+    point without location gets the first chapter.
     """
-    following = segmented_lag(
-        chapters.select("book_id", *_CHAPTER), ["book_id"], ["start_location", "order"],
-        id_segment("start_location"), ["start_location"], "_next", lead=True,
-    )
-    cover = following.withColumn(
-        "_until", F.greatest(F.col("end_location"), F.coalesce(F.col("_next.start_location") - 1, F.col("end_location")))
-    ).drop("_next")
-    edges = cover.groupBy("book_id").agg(
-        F.min("start_location").alias("_low"), F.max("_until").alias("_high"),
-        F.min_by(F.struct(*_CHAPTER), F.col("order")).alias("_first"),
-    )
-    placed = lookup_join(points, edges, ["book_id"], "left")
-    placed = placed.withColumn("_at", F.greatest(F.col("_low"), F.least(F.col("_high"), F.col(location)))).withColumn(
-        "_bucket", F.floor(F.col("_at") / BUCKET)
-    )
-    pieces = cover.withColumn(
-        "_bucket", F.explode(F.sequence(F.floor(F.col("start_location") / BUCKET), F.floor(F.col("_until") / BUCKET)))
-    )
-    # one row per bucket holding its few chapters keeps the join one-to-one
-    buckets = pieces.groupBy("book_id", "_bucket").agg(
-        F.sort_array(F.collect_list(F.struct("order", "start_location", "_until", "end_location", "chapter_id", "title"))).alias("_in")
-    )
-    found = lookup_join(placed, buckets, ["book_id", "_bucket"], "left")
-    at = F.col("_at")
-    inside = F.filter("_in", lambda c: (c["start_location"] <= at) & (at <= c["_until"]))
-    exact = F.filter(inside, lambda c: c["end_location"] >= at)
-    best = F.coalesce(F.try_element_at(exact, F.lit(1)), F.try_element_at(inside, F.lit(-1)))
-    before_first = F.col(location) < F.col("_low")
-    fields = {
-        name: F.when(before_first, F.col(f"_first.{name}")).otherwise(F.coalesce(F.col(f"_best.{name}"), F.col(f"_first.{name}")))
-        for name in _CHAPTER
-    }
+    spots = points.select("book_id", F.col(location).cast("long").alias("_at")).filter(F.col("_at").isNotNull()).distinct()
+    found = lookup_join(points.withColumn("_at", F.col(location).cast("long")), _cover(spots, chapters), ["book_id", "_at"], "left")
+    first = chapters.groupBy("book_id").agg(F.min_by(F.struct(*_CHAPTER), F.col("order")).alias("_first"))
+    found = lookup_join(found, first, ["book_id"], "left")
+    fields = {name: F.coalesce(*(F.col(f"{source}.{name}") for source in ("_held", "_before", "_first"))) for name in _CHAPTER}
     return (
-        found.withColumn("_best", best)
-        .withColumns(fields)
+        found.withColumns(fields)
         .withColumns(
             {
                 "location_in_chapter": F.col(location) - F.col("start_location"),
@@ -102,7 +96,7 @@ def chapter_at(points: DataFrame, chapters: DataFrame, point_ids: list[str], loc
                 .otherwise("first"),
             }
         )
-        .drop("_in", "_best", "_first", "_low", "_high", "_at", "_bucket")
+        .select(*points.columns, *_CHAPTER, "location_in_chapter", "chapter_locations", "match")
     )
 
 

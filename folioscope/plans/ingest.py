@@ -122,7 +122,7 @@ def stored_under(folder: str) -> Keep:
             save_table(df, f"{folder}/{name}", buckets=64)
         else:
             df.hint("rebalance", by).write.mode("overwrite").partitionBy(by).parquet(f"{folder}/{name}")
-        return load_table(df.sparkSession, f"{folder}/{name}", df.schema)
+        return load_table(df.sparkSession, f"{folder}/{name}", df.schema).select(*df.columns)
 
     return keep
 

@@ -223,3 +223,30 @@ def test_rows_without_time_or_model_stay(spark):
     share = {r["result_id"]: r["response_speed_percentile"] for r in analytics.with_speed_percentile(df).collect()}
     assert share == {1: 50.0, 2: None, 3: 100.0, 4: 100.0}
     assert {r["result_id"] for r in analytics.with_speed_rank(df).collect()} == {1, 2, 3, 4} == {r["result_id"] for r in analytics.with_speed(df).collect()}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_chapter_at_with_overlaps_and_far_locations(spark, monkeypatch, seed):
+    """Chapters that hold one another, a hot place, and a book above 2**31 locations, over segments of four locations."""
+    monkeypatch.setattr(locations, "SEGMENT_IDS", 4)
+    rng = random.Random(seed)
+    chapters = []
+    for book, base in (("a", 1), ("far", 5 * 2**31), (None, 1)):
+        at = base
+        for order in range(1, 25):
+            chapters.append((book, len(chapters), order, f"t{order}", at, at + rng.choice([0, 1, 3, 30])))
+            at += rng.choice([1, 2, 5, 20])
+    points = [(i, *rng.choice([("a", 17), ("a", rng.randint(-2, 260)), (None, rng.randint(1, 90)), ("far", 5 * 2**31 + rng.randint(-9, 200)), ("a", None), ("no", 1)])) for i in range(250)]
+    cdf = spark.createDataFrame(chapters, "book_id string, chapter_id long, order int, title string, start_location long, end_location long")
+    pdf = spark.createDataFrame(points, "id long, book_id string, location long")
+    found = locations.chapter_at(pdf, cdf, ["id"])
+    assert found.columns == ["id", "book_id", "location", "chapter_id", "order", "title", "start_location", "end_location", "location_in_chapter", "chapter_locations", "match"]
+    got = {r["id"]: (r["chapter_id"], r["match"]) for r in found.collect()}
+    assert len(got) == len(points)
+    for i, book, at in points:
+        own = [c for c in chapters if c[0] == book]
+        inside = [c for c in own if at is not None and c[4] <= at <= c[5]]
+        before = [c for c in own if at is not None and c[4] <= at]
+        kind = "containing" if inside else "preceding" if before else "first" if own else None
+        want = (inside[:1] or before[-1:] or own[:1] or [(None, None)])[0][1]
+        assert got[i] == (want, kind), (i, book, at)
