@@ -7,9 +7,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from folioscope import config
 from folioscope.functions.location import locations_of_length, percentage_of
 from folioscope.functions.text import window_at_location
-from folioscope.operators.skew import lookup_join, segmented_carry, segmented_lag, segmented_running_max, segmented_running_sums
+from folioscope.operators.skew import lookup_join, segmented_extremes, segmented_lag, segmented_running_sums
 
 SEGMENT_IDS = 4096   # ids per window segment
+NOWHERE = -(1 << 62)  # stands for a missing location, before every chapter
 
 
 def id_segment(column: str) -> Column:
@@ -49,27 +50,25 @@ _CHAPTER = ["chapter_id", "order", "title", "start_location", "end_location"]
 
 
 def _cover(spots: DataFrame, chapters: DataFrame) -> DataFrame:
-    """``spots`` (book_id, _at: distinct) with ``_held``, the containing chapter, and ``_before``, the latest one to start by then.
+    """``spots`` (book_id, _at: distinct) with ``_found``, the chapter they get.
 
-    An as-of join: spots, starts and ends lie on one line per book, cut into segments of locations. The latest start is
-    carried forwards to the spots, and the nearest end backwards; a chapter that ends no later than one before it is never
-    the first to contain anything and gives no end. No chapter is repeated, whatever its length.
+    An as-of join: spots, starts and ends lie on one line per book, cut into segments of locations. As chapters start in
+    their order, the first by order that ends at or after a spot contains it or none does; the last by order to start
+    by then precedes it. No chapter is repeated, whatever its length.
     """
-    own = F.struct(*_CHAPTER)
-    line = ["_at", "_kind", "_no"]
-    closing = segmented_running_max(
-        chapters.select("book_id", *_CHAPTER), ["book_id"], ["start_location", "order"], id_segment("start_location"), F.col("end_location"), "_reached"
-    ).filter(F.col("_reached").isNull() | (F.col("end_location") > F.col("_reached")))
+    own = F.struct("order", *(c for c in _CHAPTER if c != "order"))
     none = F.lit(None).cast(chapters.select(own.alias("c")).schema["c"].dataType)
-    marks = (
-        chapters.select("book_id", F.col("start_location").cast("long").alias("_at"), F.lit(0).alias("_kind"), F.col("order").cast("long").alias("_no"), own.alias("_start"), none.alias("_end"))
-        .unionByName(spots.select("book_id", "_at", F.lit(1).alias("_kind"), F.lit(0).cast("long").alias("_no"), none.alias("_start"), none.alias("_end")))
-        .unionByName(closing.select("book_id", F.col("end_location").cast("long").alias("_at"), F.lit(2).alias("_kind"), F.col("order").cast("long").alias("_no"), none.alias("_start"), own.alias("_end")))
+    mark = lambda at, kind, start, end: ["book_id", F.col(at).cast("long").alias("_at"), F.lit(kind).alias("_kind"), start.alias("_start"), end.alias("_end")]
+    line = (
+        chapters.select(*mark("start_location", 0, own, none))
+        .unionByName(spots.select(*mark("_at", 1, none, none)))
+        .unionByName(chapters.select(*mark("end_location", 2, none, own)))
+    )
+    seen = segmented_extremes(
+        line, ["book_id"], ["_at", "_kind"], id_segment("_at"), {"_before": F.col("_start")}, {"_next": F.col("_end"), "_later": F.col("_start")}
     )
-    begun = segmented_carry(marks, ["book_id"], line, id_segment("_at"), "_start", "_before")
-    ended = segmented_carry(begun, ["book_id"], line, id_segment("_at"), "_end", "_next", backward=True)
     held = F.when(F.col("_next.start_location") <= F.col("_at"), F.col("_next"))
-    return ended.filter(F.col("_kind") == 1).select("book_id", "_at", held.alias("_held"), "_before")
+    return seen.filter(F.col("_kind") == 1).select("book_id", "_at", F.coalesce(held, "_before", "_later").alias("_found"))
 
 
 def chapter_at(points: DataFrame, chapters: DataFrame, point_ids: list[str], location: str = "location") -> DataFrame:
@@ -79,13 +78,10 @@ def chapter_at(points: DataFrame, chapters: DataFrame, point_ids: list[str], loc
     otherwise the first by order. Chapters start in their order. Points of one place share its look-up (``_cover``), and a
     point without location gets the first chapter.
     """
-    spots = points.select("book_id", F.col(location).cast("long").alias("_at")).filter(F.col("_at").isNotNull()).distinct()
-    found = lookup_join(points.withColumn("_at", F.col(location).cast("long")), _cover(spots, chapters), ["book_id", "_at"], "left")
-    first = chapters.groupBy("book_id").agg(F.min_by(F.struct(*_CHAPTER), F.col("order")).alias("_first"))
-    found = lookup_join(found, first, ["book_id"], "left")
-    fields = {name: F.coalesce(*(F.col(f"{source}.{name}") for source in ("_held", "_before", "_first"))) for name in _CHAPTER}
+    placed = points.withColumn("_at", F.coalesce(F.col(location).cast("long"), F.lit(NOWHERE)))
+    found = lookup_join(placed, _cover(placed.select("book_id", "_at").distinct(), chapters), ["book_id", "_at"], "left")
     return (
-        found.withColumns(fields)
+        found.withColumns({name: F.col(f"_found.{name}") for name in _CHAPTER})
         .withColumns(
             {
                 "location_in_chapter": F.col(location) - F.col("start_location"),

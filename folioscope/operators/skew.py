@@ -107,35 +107,22 @@ def segmented_lag(
     )
 
 
-def segmented_carry(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], segment: Column, value: str, out: str, backward: bool = False
+def segmented_extremes(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], segment: Column, so_far: dict[str, Column], to_come: dict[str, Column]
 ) -> DataFrame:
-    """The last non-null ``value`` of the group at or before each row (``backward``: the first at or after it).
+    """Largest values of the rows at or before each row of the group, smallest ones of the rows at or after it.
 
-    It is carried inside the segment, or chained from the ends of the segments before (after) it. ``order`` must be unique
-    in a group for rows with a value.
+    Both are carried inside the segment and chained from the segments before and after it.
     """
-    keys, order = list(keys), list(order)
-    rows = df.withColumn(_SEG, segment)
-    held = F.col(value).isNotNull()
-    edge = (F.min_by if backward else F.max_by)(F.col(value), F.when(held, F.struct(*order)))
-    edges = rows.groupBy(*keys, _SEG).agg(edge.alias("_edge"))
-    turn = (lambda c: F.col(c).desc()) if backward else (lambda c: F.col(c).asc())
-    along = W.partitionBy(*keys).orderBy(turn(_SEG)).rowsBetween(W.unboundedPreceding, -1)
-    edges = edges.select(*keys, _SEG, F.last("_edge", ignorenulls=True).over(along).alias("_beyond"))
-    inside = W.partitionBy(*keys, _SEG).orderBy(*map(turn, order)).rowsBetween(W.unboundedPreceding, 0)
-    rows = rows.withColumn("_near", F.last(value, ignorenulls=True).over(inside))
+    keys, outs = list(keys), [*so_far, *to_come]
+    rows = df.withColumns({_SEG: segment, **{f"_v_{o}": v for o, v in {**so_far, **to_come}.items()}})
+    turned = lambda o, columns: [F.col(c).asc() if o in so_far else F.col(c).desc() for c in columns]
+    pick = lambda o: F.max if o in so_far else F.min
+    edges = rows.groupBy(*keys, _SEG).agg(*[pick(o)(f"_v_{o}").alias(f"_e_{o}") for o in outs])
+    along = {o: W.partitionBy(*keys).orderBy(*turned(o, [_SEG])).rowsBetween(W.unboundedPreceding, -1) for o in outs}
+    edges = edges.select(*keys, _SEG, *[pick(o)(f"_e_{o}").over(along[o]).alias(f"_b_{o}") for o in outs])
+    inside = {o: W.partitionBy(*keys, _SEG).orderBy(*turned(o, order)).rowsBetween(W.unboundedPreceding, 0) for o in outs}
+    rows = rows.withColumns({f"_w_{o}": pick(o)(f"_v_{o}").over(inside[o]) for o in outs})
     joined = null_safe_join(rows, edges, keys + [_SEG])
-    return joined.withColumn(out, F.coalesce("_near", "_beyond")).drop(_SEG, "_near", "_beyond")
-
-
-def segmented_running_max(df: DataFrame, keys: Sequence[str], order: Sequence[str], segment: Column, value: Column, out: str) -> DataFrame:
-    """Largest ``value`` of the preceding rows of the group, null on the first."""
-    keys = list(keys)
-    rows = df.withColumns({_SEG: segment, "_v": value})
-    edges = rows.groupBy(*keys, _SEG).agg(F.max("_v").alias("_edge"))
-    before = W.partitionBy(*keys).orderBy(_SEG).rowsBetween(W.unboundedPreceding, -1)
-    edges = edges.select(*keys, _SEG, F.max("_edge").over(before).alias("_beyond"))
-    inside = W.partitionBy(*keys, _SEG).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    rows = rows.withColumn("_near", F.max("_v").over(inside))
-    return null_safe_join(rows, edges, keys + [_SEG]).withColumn(out, F.greatest("_near", "_beyond")).drop(_SEG, "_v", "_near", "_beyond")
+    ends = {o: (F.greatest if o in so_far else F.least)(f"_w_{o}", f"_b_{o}") for o in outs}
+    return joined.withColumns(ends).drop(_SEG, *[f"{p}{o}" for o in outs for p in ("_v_", "_w_", "_b_")])
