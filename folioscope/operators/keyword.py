@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from folioscope import config
-from folioscope.functions.text import tokens
+from folioscope.functions.text import bind, tokens
 from folioscope.operators.skew import lookup_join, null_safe_join
 from folioscope.sources.storage import materialise
 
@@ -42,11 +42,27 @@ def term_bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(TERM_BUCKETS)).cast("int")
 
 
+def term_counts(words: Column) -> Column:
+    """(term, tf) of each different token: distances between the first places of the tokens in order."""
+    def counted(ordered: Column, terms: Column, first: Column) -> Column:
+        beyond = F.concat(F.slice(first, F.lit(2), F.size(first)), F.array((F.size(ordered) + 1).cast("bigint")))
+        tf = F.zip_with(beyond, first, lambda after, at: (after - at).cast("int"))
+        return F.zip_with(terms, tf, lambda term, n: F.struct(term.alias("term"), n.alias("tf")))
+
+    def places(ordered: Column, terms: Column) -> Column:
+        return bind(F.transform(terms, lambda t: F.array_position(ordered, t)), lambda first: counted(ordered, terms, first))
+
+    told = bind(F.array_sort(words), lambda ordered: bind(F.array_distinct(ordered), lambda terms: places(ordered, terms)))
+    return F.when(F.size(words) > 0, told)
+
+
 def postings(index: DataFrame) -> DataFrame:
-    """Inverted index: (term_bucket, book_id, term, chunk key, location, n_tokens, tf) of every term of every chunk."""
-    rows = index.select("book_id", *CHUNK_KEY, "location", "n_tokens", F.explode("tokens").alias("term"))
-    counted = rows.groupBy("book_id", "term", *CHUNK_KEY, "location", "n_tokens").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-    return counted.select("book_id", "term", *CHUNK_KEY, "location", "n_tokens", "tf", term_bucket(F.col("term")).alias("term_bucket"))
+    """Inverted index: (term_bucket, book_id, term, chunk key, location, n_tokens, tf) of every term of every chunk.
+
+    Counted within each chunk's row, so that nothing is shuffled.
+    """
+    rows = index.select("book_id", *CHUNK_KEY, "location", "n_tokens", F.explode(term_counts(F.col("tokens"))).alias("p"))
+    return rows.select("book_id", "p.term", *CHUNK_KEY, "location", "n_tokens", "p.tf", term_bucket(F.col("p.term")).alias("term_bucket"))
 
 
 def document_frequency(lists: DataFrame) -> DataFrame:

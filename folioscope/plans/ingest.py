@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from folioscope import config
 from folioscope.functions.hooks import EmbedFn, GenerateFn, hashed_embedding, with_embedding, with_reply
 from folioscope.functions.prompts import segment_summary
-from folioscope.functions.text import is_blank
+from folioscope.functions.text import is_blank, tokens
 from folioscope.operators import keyword
 from folioscope.operators.chunks import chunk_table
 from folioscope.operators.locations import book_totals
@@ -26,7 +26,7 @@ class Corpus:
 
     chapters: DataFrame    # located chapters, no text
     totals: DataFrame      # per book
-    chunks: DataFrame      # located chunks with tokens and vector
+    chunks: DataFrame      # located chunks with text and vector
     summaries: DataFrame   # summary segments with vector
     postings: DataFrame    # inverted index of the chunks
     frequency: DataFrame   # chunks per (book, term)
@@ -88,8 +88,8 @@ def keyword_index(
 ) -> KeywordIndex:
     """Chunk, tokenise, embed and index a library; texts are read once."""
     chapters = keep(chapters, "chapters")
-    chunks = keep(lambda: embedded_chunks(chunk_table(chapters, texts, location_mode), embed, dim), "chunks")
-    lists = keep(lambda: keyword.postings(chunks), "postings", "term_bucket")
+    chunks = keep(lambda: embedded_chunks(chunk_table(chapters, texts, location_mode), embed, dim).drop("tokens"), "chunks")
+    lists = keep(lambda: keyword.postings(chunks.withColumn("tokens", tokens(F.col("chunk")))), "postings", "term_bucket")
     frequency = keep(lambda: keyword.document_frequency(lists), "frequency")
     statistics = keep(lambda: keyword.idf_floor(frequency, keyword.book_statistics(chunks)), "statistics")
     return KeywordIndex(chapters, chunks, lists, frequency, statistics)
@@ -121,7 +121,7 @@ def stored_under(folder: str) -> Keep:
         if by is None:
             save_table(df, f"{folder}/{name}", buckets=64)
         else:
-            df.hint("rebalance", by).write.mode("overwrite").partitionBy(by).parquet(f"{folder}/{name}")
+            df.write.mode("overwrite").partitionBy(by).parquet(f"{folder}/{name}")
         return load_table(df.sparkSession, f"{folder}/{name}", df.schema).select(*df.columns)
 
     return keep
