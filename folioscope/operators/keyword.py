@@ -52,7 +52,7 @@ def term_counts(words: Column) -> Column:
     def places(ordered: Column, terms: Column) -> Column:
         return bind(F.transform(terms, lambda t: F.array_position(ordered, t)), lambda first: counted(ordered, terms, first))
 
-    told = bind(F.array_sort(words), lambda ordered: bind(F.array_distinct(ordered), lambda terms: places(ordered, terms)))
+    told = bind(F.sort_array(words), lambda ordered: bind(F.array_distinct(ordered), lambda terms: places(ordered, terms)))
     return F.when(F.size(words) > 0, told)
 
 
