@@ -10,6 +10,9 @@ from folioscope import config
 from folioscope.functions.text import chunk_pieces
 from folioscope.operators.locations import chunk_location
 
+#: Texts cut at once by a worker.
+ROWS = 256
+
 
 def cut_pieces(
     texts: DataFrame,
@@ -29,7 +32,7 @@ def cut_pieces(
     keep = [c for c in texts.columns if c != text]
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             found = [chunk_pieces(t, size, overlap, mode, min_chars, min_bytes) for t in batch.column(text).to_pylist()]
             ends = pa.array(itertools.accumulate(map(len, found), initial=0), pa.int32())
             flat = pa.StructArray.from_arrays(
