@@ -670,30 +670,41 @@ def _pages(spark, sf):
 
 @query
 def html_text(spark, sf):
-    return _pages(spark, sf).select("page_id", tx.html_to_text(F.col("html")).alias("text"))
+    """Pages with a line of references and inline tags added."""
+    html = F.concat("html", F.lit("\n<p>wo<b>r</b>d caf&eacute;&nbsp;&#8217;&#x41;&#146;&unknown; R&D</p>"))
+    return _pages(spark, sf).select("page_id", tx.html_to_text(html).alias("text"))
 
 
 @query
 def html_normalised(spark, sf):
-    return _pages(spark, sf).select("page_id", tx.normalise_html(F.col("html")).alias("html"))
+    """Pages with nested empty elements and an image added."""
+    html = F.concat("html", F.lit("<ul><li> </li><li><b>&nbsp;</b></li></ul><hr/><p><br></p><p>x<img src='a/b.png'/></p>"))
+    return _pages(spark, sf).select("page_id", tx.normalise_html(html).alias("html"))
 
 
 @query
 def html_links(spark, sf):
-    rows = _pages(spark, sf).select("page_id", F.posexplode(tx.hrefs(F.col("html"))).alias("n", "href"))
+    """Links of the pages, with some in other quotes or none added."""
+    html = F.concat("html", F.lit("<a class=x href='q.html'>1</a><a href=r>2</a><a data-href=\"no\" href=\"s?a=1&amp;b=2\">3</a>"))
+    rows = _pages(spark, sf).select("page_id", F.posexplode(tx.hrefs(html)).alias("n", "href"))
     return rows.withColumn("is_internal", tx.is_internal_link(F.col("href")))
 
 
 @query
 def html_titles(spark, sf):
-    return _pages(spark, sf).select("page_id", tx.chapter_title(F.col("html"), F.col("url"), F.lit(0)).alias("title"))
+    """Titles of pages; two thirds of them without headings, half of these by a marked block alone."""
+    html = F.when(F.col("page_id") % 3 == 0, F.col("html")).otherwise(F.regexp_replace("html", r"<(/?)h1>", "<$1b>"))
+    marked = F.concat(F.lit("<section class='Chapter-1'> Part <i>"), F.col("page_id").cast("string"), F.lit("</i></section>"))
+    return _pages(spark, sf).select(
+        "page_id", tx.chapter_title(F.when(F.col("page_id") % 3 == 2, marked).otherwise(html), F.col("url"), F.lit(0)).alias("title")
+    )
 
 
 @query
 def image_refs(spark, sf):
     """Image references added to every page, resolved through name variants."""
     page = F.col("page_id").cast("string")
-    html = F.concat("html", F.lit('<p><img alt="f" src="../Images/Fig_'), page, F.lit('.PNG"/><img src="img/missing.png"/></p>'))
+    html = F.concat("html", F.lit('<p><img alt="f" src="../Images/Fig_'), page, F.lit('.PNG"/><img src=\'img/missing.png\'/></p>'))
     refs = _pages(spark, sf).select(F.col("page_id").alias("book_id"), F.explode(tx.image_sources(html)).alias("src"))
     requests = refs.select("book_id", tx.base_name(F.col("src")).alias("name"))
     files = _pages(spark, sf).select(F.col("page_id").alias("book_id"), F.lower(F.concat(F.lit("FIG_"), page, F.lit(".png"))).alias("file_name"))

@@ -55,6 +55,12 @@ NO_CONTEXT_REPLY = (
 )
 MISSING_CHAPTER_HTML = "<p>Chapter content not found</p>"
 
+# fixed values: how chapters begin, what marks their titles, kinds in file names
+OPENINGS = ["Prologue", "Epilogue", "Afterword", "Foreword", "Introduction", "Preface", "Appendix", "Notes"]
+NUMBERED_OPENINGS = ["Chapter", "Section"]
+TITLE_MARKS = ["title", "heading", "chapter"]
+FILE_KINDS = ["epilogue", "prologue"]
+
 JUDGE_KEYS = [
     "contextual_fidelity", "relevance", "helpfulness", "coherence",
     "instruction_following",

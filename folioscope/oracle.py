@@ -226,7 +226,7 @@ STEPS["judge"] = """SELECT event_id, event_type, event_id % 5 AS shape,
   CASE WHEN event_id % 5 = 3 THEN CASE WHEN contains(lower(event_type), 'err') OR contains(lower(event_type), 'sign') THEN 0 ELSE 1 END
     WHEN event_id % 3 = 0 THEN 0 ELSE 1 END AS sf FROM events"""
 
-ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "''"), ("&#39;", "''"), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")]
+ENTITIES = [("&nbsp;", chr(160)), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "''"), ("&#39;", "''"), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")]
 
 
 def decoded(x):
@@ -242,7 +242,7 @@ def dropped(x, *patterns):
 
 
 _SKELETON = (r"<\?xml[^>]+\?>|<!DOCTYPE[^>]+>", "(?s)<!--.*?-->", r"(?is)<script\b[^>]*>.*?</script\s*>", r"(?is)<style\b[^>]*>.*?</style\s*>", r"(?is)<head\b[^>]*>.*?</head\s*>")
-_BARE = decoded(f"regexp_replace({dropped('html', *_SKELETON)}, '(?s)</?[a-zA-Z][^>]*>', ' ', 'g')")
+_BARE = decoded(dropped("html", *_SKELETON, "(?s)</?[a-zA-Z][^>]*>"))
 
 _N = "'[\\s\\p{Z}]+'"
 
@@ -347,9 +347,10 @@ BODIES: dict[str, str] = {
     "hybrid_retrieval": """SELECT question_id, rank::INT AS rank, search_method, kind_no, chapter_order, chunk_no, location, chapter_title,
       round(score, 6) AS score, round(original_score, 6) AS original_score, md5(text) AS text_md5 FROM ranked""",
     "rerank_apply": "SELECT question_id, final_rank::INT AS final_rank, rank::INT AS rank, rerank_score::INT AS rerank_score, round_even(score, 2)::DOUBLE AS relevance_score, search_method, location FROM final",
-    "context_block": """SELECT q.question_id, q.book_id, q.boundary AS location_boundary, 'BOOK CONTEXT INFORMATION:' || chr(10) ||
+    "context_block": """SELECT q.question_id, q.book_id, q.boundary AS location_boundary, 'Passages from the part of the book read so far' || chr(10) || chr(10) ||
       concat_ws(chr(10), CASE WHEN s IS NOT NULL THEN '--- SECTION SUMMARIES ---' || chr(10) || s || chr(10) || '--- DETAILED PASSAGES ---' END, p) || chr(10) || chr(10) ||
-      'The user has read approximately ' || printf('%.1f', b.boundary::DOUBLE / b.total_locations * 100.0) || '% of the book.' || chr(10) || 'USER QUESTION: ' || b.question || chr(10) || chr(10) || 'ANSWER:' AS prompt,
+      'Position of the reader: ' || printf('%.1f', b.boundary::DOUBLE / b.total_locations * 100.0) || ' percent.' || chr(10) ||
+      'Answer from these passages alone, without what comes later.' || chr(10) || chr(10) || 'Question: ' || b.question AS prompt,
       coalesce(n_context, 0) AS n_context, CASE WHEN b.question_id IS NULL THEN 'I don''t have enough information from the book to answer that question based on what you''ve read so far.' END AS response
       FROM questions q LEFT JOIN blocks b ON b.question_id = q.question_id""",
     "context_dedupe": f"""SELECT question_id, i::INT AS passage_no, kept[i].r::INT AS final_rank, md5(f.text) AS text_md5 FROM (
@@ -437,14 +438,16 @@ BODIES: dict[str, str] = {
       SELECT model, round(t, 6) AS response_time, round(f, 6) AS bert_f1, round(c, 6) AS context_count, round(f / t, 6) AS efficiency,
       NOT EXISTS (SELECT 1 FROM m o WHERE o.model <> m.model AND o.f >= m.f AND (o.t < m.t OR (o.t = m.t AND (o.f > m.f OR o.model < m.model)))) AS on_frontier FROM m""",
     "median_guides": "WITH m AS (SELECT avg(response_time) AS t, avg(bert_f1) AS f FROM reg GROUP BY model) SELECT round(median(t), 6) AS median_time, round(median(f), 6) AS median_f1 FROM m",
-    "html_text": rf"""SELECT page_id, regexp_replace(coalesce(array_to_string(list_filter(list_transform(flatten(list_transform(regexp_split_to_array({_BARE}, '\r\n|\n|\r'),
-      lambda line: string_split({strip('line')}, '  '))), lambda x: {strip('x')}), lambda p: p <> ''), chr(10)), ''), '</?[a-z]+[^>]*>', '', 'g') AS text FROM pages""",
+    "html_text": rf"""SELECT page_id, concat_ws(chr(10), nullif(regexp_replace(coalesce(array_to_string(list_filter(list_transform(flatten(list_transform(regexp_split_to_array({_BARE}, '\r\n|\n|\r'),
+      lambda line: string_split({strip('line')}, '  '))), lambda x: {strip('x')}), lambda p: p <> ''), chr(10)), ''), '</?[a-z]+[^>]*>', '', 'g'), ''),
+      'word café' || chr(160) || '’A’&unknown; R&D') AS text FROM pages""",
     "html_links": r"""SELECT page_id, unnest(range(len(h)))::INT AS n, unnest(h) AS href, starts_with(href, '#') OR contains(href, '.html') OR contains(href, '.xhtml') AS is_internal FROM (
-      SELECT page_id, regexp_extract_all(html, '(?i)<a\b[^>]*?\bhref="([^"]*)"', 1) AS h FROM pages)""",
-    "html_titles": "SELECT page_id, " + strip(decoded(r"regexp_replace(regexp_extract(html, '(?is)<h[1-4]\b[^>]*>(.*?)</h[1-4]\s*>', 1), '<[^>]+>', '', 'g')")) + " AS title FROM pages",
+      SELECT page_id, list_transform(regexp_extract_all(html, '(?i)<a\b[^>]*?\bhref="([^"]*)"', 1), lambda x: replace(x, '&amp;', '&')) || ['q.html', 'r', 's?a=1&b=2'] AS h FROM pages)""",
+    "html_titles": "SELECT page_id, CASE page_id % 3 WHEN 2 THEN 'Part ' || page_id ELSE "
+    + strip(decoded(r"regexp_replace(regexp_extract(html, CASE page_id % 3 WHEN 0 THEN '(?is)<h[1-4]\b[^>]*>(.*?)</h[1-4]\s*>' ELSE '(?is)<title>(.*?)</title>' END, 1), '<[^>]+>', '', 'g')")) + " END AS title FROM pages",
     "html_normalised": "SELECT page_id, trim(" + r"regexp_replace(regexp_replace(regexp_replace(" + dropped("html", *_SKELETON, r"(?i)</?(html|body)\b[^>]*>", r"(?i)\s+style\s*=\s*(\"[^\"]*\")".replace('\\"', '"'))
     + r""", '\s+', ' ', 'g'), '(?i)<p\b[^>]*>\s*</p>|<div\b[^>]*>\s*</div>|<span\b[^>]*>\s*</span>', '', 'g'),
-      '(?i)<a\b([^>]*\bhref="(?:#[^"]*|[^"]*\.x?html[^"]*)"[^>]*)>', '<a data-internal-link="true"\1>', 'g')) AS html FROM pages""",
+      '(?i)<a\b([^>]*\bhref="(?:#[^"]*|[^"]*\.x?html[^"]*)"[^>]*)>', '<a data-internal-link="true"\1>', 'g') || '<p>x<img src=''b.png'' data-epub-src=''a/b.png''/></p>') AS html FROM pages""",
     "image_refs": "SELECT page_id AS book_id, 'Fig_' || page_id || '.PNG' AS name, 'fig_' || page_id || '.png' AS file_name, 1 AS try_no FROM pages",
     "publication_years": "SELECT o_orderkey, year(o_orderdate::DATE)::INT AS year FROM orders",
     "incremental_ingest": """SELECT book_id, chapter_id, "order" FROM chapters WHERE book_id NOT IN

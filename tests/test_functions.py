@@ -1,5 +1,6 @@
 import random
 import re
+from html import unescape
 
 import pytest
 from pyspark.sql import Row, functions as F
@@ -84,7 +85,7 @@ def test_html(spark):
         '<a href="http://x/y">w</a><img alt="i" src="../Images/Pic One.jpg"/></body></html>'
     )
     text, hrefs, title, clean = one(spark, tx.html_to_text(page), tx.hrefs(page), tx.chapter_title(page, F.lit("f.xhtml"), F.lit(0)), tx.normalise_html(page))
-    assert text == "One\nTwo\nA B\nC\nn\nc\nw"
+    assert text == "One TwoA\xa0B\nC\nncw"
     assert hrefs == ["#n", "c2.xhtml", "http://x/y"]
     assert title == "One Two"
     assert 'data-epub-src="../Images/Pic One.jpg"' in clean and 'src="Pic One.jpg"' in clean
@@ -93,6 +94,41 @@ def test_html(spark):
     assert [k[0] for k in kinds] == [True, True, True, False]
 
 
+def test_references(spark):
+    """Named, decimal and hexadecimal references mean what the standard library says; each is decoded once."""
+    cases = ["", "a & b", "&amp;lt;", "&#8217;&eacute;&Eacute;", "&#x1F600;&#X41;", "&#146;&#x92;", "&zzzz;", "&#;&#x;&;", "&amp", "x&lt;y&gt;&amp;&amp;z", "&apos;&quot;\n&nbsp;"]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, t string")
+    got = [r[1] for r in sorted(df.select("i", tx.decode_entities(F.col("t"))).collect())]
+    assert got == [c if c == "&amp" else unescape(c) for c in cases]
+    left = ["&#0;", "&#xD800;", "&#x110000;", "&#9999999;", "&#99999999;"]  # no character: they stay
+    assert list(one(spark, *[tx.decode_entities(F.lit(x)) for x in left])) == left
+    assert one(spark, tx.decode_entities(F.lit(None).cast("string")))[0] is None
+
+
+def test_quotes(spark):
+    page = F.lit("""<a href='x.html'>1</a><a\tHREF = y#z>2</a><a data-href="no">3</a><img src='a/b.png'><img alt='"' src="c.png"/>""")
+    hrefs, images, clean = one(spark, tx.hrefs(page), tx.image_sources(page), tx.normalise_html(page))
+    assert hrefs == ["x.html", "y#z"] and images == ["a/b.png", "c.png"]
+    assert "<a data-internal-link=\"true\" href='x.html'>" in clean and "src='b.png' data-epub-src='a/b.png'" in clean
+
+
+@pytest.mark.parametrize("html, left", [
+    ("<ul><li></li></ul>", ""), ("<p>a</p><p> <br/> </p>b", "<p>a</p>b"), ("<p><img src='x'></p>", "<p><img src='x'></p>"),
+    ("<div><p>x</p><div><i></i></div></div>", "<div><p>x</p></div>"), ("<p><b>x<br><p></p>", "<p><b>x<br>"), ("a</p>b", "a</p>b"),
+    ("<td><a id=1></a>&nbsp;</td><hr>x", "x"), ("", ""), ("plain", "plain"), ("<p>", ""), ("<b><i>x</b></i>", "<b><i>x</b></i>"),
+    ("<a/>x<a>y</a>", "x<a>y</a>"), ("<br>", "<br>"),
+])
+def test_empty_elements(html, left):
+    assert tx.without_empty_elements(html) == left
+
+
+def test_empty_elements_of_deep_pages_take_one_pass():
+    deep = 200_000
+    assert tx.without_empty_elements("<i>" * deep + "</i>" * deep) == ""
+    full = "<i>" * deep + "x" + "</i>" * deep
+    assert tx.without_empty_elements(full) == full
+
+
 def test_titles_fall_through(spark):
     cases = [
         ("<title> Doc </title><p>x</p>", "a.xhtml", "Doc"),
@@ -100,6 +136,8 @@ def test_titles_fall_through(spark):
         ("<p>Chapter IV. It rained.</p>", "a.xhtml", "Chapter IV."),
         ("<p>Prologue: It rained. More.</p>", "a.xhtml", "Prologue: It rained."),
         ("<p>Words</p>", "Chapter_12.xhtml", "Chapter 12"),
+        ("<p>See chapter 1. In Chapter 12: The Way. More.</p>", "chapter-12.xhtml", "Chapter 12: The Way"),
+        ("<p>x</p><div id='main-Title'>Four</div>", "a.xhtml", "Four"),
         ("<p>Words</p>", "epilogue.xhtml", "Epilogue"),
         ("<p>Words</p>", "a.xhtml", "Section 4"),
     ]
