@@ -1,10 +1,11 @@
 """Information-theoretic sanitisation of personal data.
 
 Base entities (emails, addresses, card and phone numbers) are found by fixed patterns. The corpus then tells which other
-terms give an entity away: a term's posterior of an entity is the share of the documents with the term in which it stands
-within ``WINDOW`` terms of that entity, and its disclosure is log2(posterior / share of documents with the entity).
-Terms above both thresholds, seen near the entity in at least two different texts, are sanitised where they stand near
-it: removed from ``REMOVE`` on, else generalised to a placeholder.
+terms give an entity away: of the n documents with a term, it stands within ``WINDOW`` terms of an entity in k. Its
+posterior of the entity is (k + PRIOR * p) / (n + PRIOR), where p is the share of documents with the entity, so that few
+documents tell less than many; its disclosure is log2(posterior / p). Terms above both thresholds are sanitised where they
+stand near the entity: removed from ``REMOVE`` on, else generalised to a placeholder. A term seen in one document alone,
+beside an entity, is generalised; one seen in five or more and always beside it is removed.
 
 Terms are runs of letters (ASCII letters and all characters beyond ASCII), lower-cased. Document counts of terms cover
 all documents; each task counts its own documents first. Pairs of term and entity come from bounded windows, so a
@@ -27,6 +28,8 @@ from folioscope.sources.storage import materialise
 WINDOW = 20
 SHORTEST = 3
 POSTERIOR, BITS, REMOVE = 0.5, 4.0, 0.9
+#: How many documents the corpus-wide share of the entity weighs in a term's posterior.
+PRIOR = 0.5
 #: Hashes a task holds before it counts them.
 HELD = 1 << 22
 
@@ -43,16 +46,17 @@ _NO_TERM = bytes(32 if c < 128 and not chr(c).isalpha() else c for c in range(25
 
 
 def _emails(text: str):
-    """Leftmost matches of local part, @ and domain: all starts before one @ share its domain, so the first one decides."""
+    """Leftmost matches of local part, @ and domain: all starts before one @ share its domain, so the first one decides.
+
+    A local part holds no @, so each search back ends at the one before and the time is linear."""
     free, at = 0, text.find("@")
     while at >= 0:
-        before = text[free:at]
-        start = free + len(before.rstrip(_LOCAL))
+        start = free + len(text[free:at].rstrip(_LOCAL))
         domain = _DOMAIN.match(text, at + 1) if start < at else None
         if domain:
             yield start, domain.end()
-            free = domain.end()
-        at = text.find("@", max(at + 1, free))
+        free = domain.end() if domain else at + 1
+        at = text.find("@", free)
 
 
 def _luhn(digits: str) -> bool:
@@ -179,13 +183,14 @@ def disclosing(docs: DataFrame, known: DataFrame) -> DataFrame:
     kind = known.schema["doc_id"].dataType.simpleString()
     pairs = materialise(known.select("doc_id", "text_key", "text", "base").mapInArrow(cut, f"doc_id {kind}, text_key string, entity long, term long"), "pairs")
     # rows of pairs are one per document, entity and term; equal rows of documents count as documents each
-    near = pairs.where("term is not null").groupBy("entity", "term").agg(F.count("*").alias("together"), F.min("text_key").alias("a"), F.max("text_key").alias("b")).where("a <> b")
-    near = materialise(near.select("entity", "term", "together"), "near")
+    near = pairs.where("term is not null").groupBy("entity", "term").agg(F.count("*").alias("together"))
+    near = materialise(near, "near")
     mentions = pairs.select("doc_id", "text_key", "entity").distinct().groupBy("entity").agg(F.count("*").alias("documents"))
     total = docs.agg(F.count("*").cast("double")).scalar()
     counts = term_counts(docs, near.select("term").distinct())
-    posterior = F.col("together") / F.col("n")
-    told = near.join(counts, "term").join(mentions, "entity").select("entity", "term", posterior.alias("posterior"), F.log2(posterior * total / F.col("documents")).alias("bits"))
+    share = F.col("documents") / total
+    posterior = (F.col("together") + PRIOR * share) / (F.col("n") + PRIOR)
+    told = near.join(counts, "term").join(mentions, "entity").select("entity", "term", posterior.alias("posterior"), F.log2(posterior / share).alias("bits"))
     told = told.where((F.col("posterior") >= POSTERIOR) & (F.col("bits") >= BITS)).drop("bits")
     return pairs.join(told, ["entity", "term"]).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("entity", "term", "posterior")).alias("terms"))
 

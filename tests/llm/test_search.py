@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -209,6 +210,17 @@ def test_passages_awkward_rows(spark):
     assert passages.repeats(docs.where("false")).count() == 0
 
 
+def test_texts_of_one_id_keep_their_own_words(spark):
+    """Spans belong to a text: of two texts with one doc_id only the one that holds the repeat loses words."""
+    passage, other = prose(70, 90), prose(71, 300)
+    rows = [(1, passage + " " + prose(72, 30)), (2, other), (2, prose(73, 40) + " " + passage)]
+    docs = documents(spark, rows).withColumn("__id", F.lit(1)).withColumn("__spans", F.lit("x")).withColumn("spans", F.lit("y")).withColumn("row", F.lit(0))
+    out = passages.dedup_substrings(docs)
+    texts = [r["text"] for r in out.where("doc_id = 2").collect()]
+    assert out.columns == docs.columns and other in texts and min(len(t.split()) for t in texts) < 100
+    assert passages.repeats(docs.withColumn("doc_id", F.lit("no number"))).count() == 0
+
+
 # --- top-k -----------------------------------------------------------------------------
 
 
@@ -216,18 +228,29 @@ def test_top_k_awkward_rows(spark):
     pick = random.Random(4)
     rows = [(i, [pick.choice([-1.0, 0.5, 0.25, 0.0]) for _ in range(4)]) for i in range(150)]
     rows += [(200, None), (250, [1.0, None, 0.0, 0.0]), (300, [1.0, float("nan"), 0.0, 0.0]), (350, [1.0, float("inf"), 0.0, 0.0]), (400, [1.0, 2.0]), (401, [0.5, 0.5]), (None, [1.0] * 4), (450, [2.0**20, 1.0, 1.0, 1.0]), (451, [2.0**18] * 4)]
+    rows += [(50, [1.0, 1.0, 0.5, 0.5]), (50, [1.0, 1.0, 0.5, 0.5]), (7, rows[7][1])]  # rows of one id are candidates of each other
     vectors = spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id long, embedding array<double>, v int, rank int")
     whole = topk.quantised(vectors)
-    usable = {i: [math.floor(256 * x) for x in v] for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)}
+    usable = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
     want = []
-    for q in (i for i in usable if i % 50 == 0):
-        scores = sorted((-sum(a * b for a, b in zip(usable[q], v)), i) for i, v in usable.items() if i != q and len(v) == len(usable[q]))
-        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores[:5])]
+    for n, (q, own) in enumerate(usable):
+        if q % 50 == 0:
+            scores = sorted((-sum(a * b for a, b in zip(own, v)), i) for m, (i, v) in enumerate(usable) if m != n and len(v) == len(own))
+            want += [(q, rank + 1, i, -score) for rank, (score, i) in enumerate(scores[:5])]
     for tile in (8192, 2):
         assert rows_of(topk.top_k(whole.where("vec_id % 50 = 0"), whole, 5, tile)) == sorted(want, key=repr)
     assert topk.top_k(whole.where("false"), whole).count() == 0 and topk.top_k(whole, whole.where("false")).count() == 0
 
 
+def test_scores_beyond_64_bits():
+    rng = np.random.default_rng(3)
+    left, right = (rng.integers(-300, 300, (9, 6)) for _ in range(2))
+    left[2], right[4, 1], right[5] = 2**62, -(2**63), 2**40
+    exact = [[sum(int(a) * int(b) for a, b in zip(x, y)) for y in right] for x in left]
+    top = 2**63 - 1
+    assert topk.products(left, right).tolist() == [[max(-top, min(top, x)) for x in line] for line in exact]
+
+
 # --- SimHash -----------------------------------------------------------------------------
 
 
@@ -341,6 +364,50 @@ def test_pii_query(spark):
         assert [r[f"n_{k}"] for k in pii.KINDS] == [sum(x[0] == k for x in base) for k in pii.KINDS]
 
 
+def test_terms_equal_brute_force(spark):
+    """Thresholds over all documents, counted here from the patterns' definition; most of the spans are terms."""
+    folder = "/root/testdata/sf0.01"
+    data = {r["doc_id"]: r["text"] for r in read(spark, folder, "documents").collect()}
+    terms = {i: [(m.start(), m.end(), m.group().lower()) for m in re.finditer(r"[A-Za-z\x80-\U0010ffff]+", t or "")] for i, t in data.items()}
+    n, together, owners, windows = {}, {}, {}, {}
+    for i, text in data.items():
+        for term in {t for _, _, t in terms[i]}:
+            n[term] = n.get(term, 0) + 1  # all terms count, also those inside entities
+        base = plain_base(text)
+        free = [t for t in terms[i] if not any(t[0] < b and a < t[1] for _, a, b in base)]
+        for kind, a, b in base:
+            entity = pii.entity_name(kind, text[a:b])
+            near = [t for t in free if t[0] < a][-pii.WINDOW :] + [t for t in free if t[0] >= b][: pii.WINDOW]
+            owners.setdefault(entity, set()).add(i)
+            windows.setdefault(i, []).append((entity, [t for t in near if t[1] - t[0] >= 3]))
+            for t in windows[i][-1][1]:
+                together.setdefault((entity, t[2]), set()).add(i)
+    told = set()
+    for (entity, term), docs in together.items():
+        share = len(owners[entity]) / len(data)
+        posterior = (len(docs) + 0.5 * share) / (n[term] + 0.5)
+        if posterior >= 0.5 and math.log2(posterior / share) >= 4:
+            told.add((entity, term))
+    want = {i: sorted({(a, b) for entity, near in own for a, b, t in near if (entity, t) in told}) for i, own in windows.items()}
+    got = {}
+    for r in pii.sanitise(read(spark, folder, "documents")).collect():
+        found = [(s["start"], s["end"]) for s in r["spans"] if s["kind"] == "term"]
+        if r["base"]:
+            got[r["doc_id"]] = found
+        else:
+            assert not found and r["clean"] is None
+    assert got == want and sum(map(len, want.values())) > 100
+
+
+def test_many_at_signs_take_linear_time():
+    def seconds(n):
+        started = time.perf_counter()
+        assert pii.base_spans("x @ y" * n) == []
+        return time.perf_counter() - started
+
+    assert seconds(400_000) < 10 * max(seconds(100_000), 0.01)
+
+
 # --- pipeline ----------------------------------------------------------------------------
 
 
