@@ -13,7 +13,7 @@ from folioscope import config
 from folioscope.functions import location as loc, parsing, scoring, text as tx
 from folioscope.operators import (
     analytics, chunks as chunk_ops, evaluation, fusion, keyword, library, locations, maintenance, passages,
-    progress as progress_ops, summaries, vectors as vector_ops,
+    progress as progress_ops, similar_texts, summaries, vectors as vector_ops,
 )
 from folioscope.plans import evaluation as run_plan, ingest, retrieval
 from folioscope.session import ship_package
@@ -323,6 +323,12 @@ def context_dedupe(spark, sf):
     return passages.dedupe_context(final).select("question_id", "passage_no", "final_rank", F.md5("text").alias("text_md5"))
 
 
+@query
+def near_duplicates(spark, sf):
+    """Documents with their class, links and earliest near-duplicate."""
+    return similar_texts.near_duplicates(tables.read(spark, sf, "documents"))
+
+
 @query
 def relevance_bands(spark, sf):
     _, _, ranked = _ranked(spark, sf)

@@ -356,6 +356,17 @@ BODIES: dict[str, str] = {
     "context_dedupe": f"""SELECT question_id, i::INT AS passage_no, kept[i].r::INT AS final_rank, md5(f.text) AS text_md5 FROM (
       SELECT question_id, kept, unnest(range(1, least(6, len(kept)) + 1)) AS i FROM kept QUALIFY n = max(n) OVER (PARTITION BY question_id)) k
       JOIN final f ON f.question_id = k.question_id AND f.final_rank = kept[i].r""".replace("k.question_id, i", "question_id, i").replace("SELECT question_id, i::INT", "SELECT k.question_id, i::INT"),
+    "near_duplicates": f"""WITH nd_texts AS (SELECT doc_id, {strip("coalesce(text, '')")} AS s FROM documents),
+      nd_sets AS (SELECT doc_id, s, CASE WHEN length(s) > 50 THEN list_sort(list_distinct({split("lower(s)")})) END AS w FROM nd_texts WHERE s <> ''),
+      nd_keys AS (SELECT doc_id, w, CASE WHEN w IS NULL THEN 't ' || s ELSE 'w ' || array_to_string(w, ' ') END AS k FROM nd_sets),
+      nd_classes AS (SELECT k, any_value(w) AS w, count(*) AS n, min(doc_id) AS first FROM nd_keys GROUP BY k),
+      nd_words AS (SELECT k, n, first, len(w) AS size, unnest(w) AS word FROM nd_classes),
+      nd_links AS (SELECT a.k, b.n, b.first FROM nd_words a JOIN nd_words b ON a.word = b.word AND a.k <> b.k
+        GROUP BY a.k, b.k, b.n, b.first, a.size, b.size HAVING count(*)::DOUBLE / (a.size + b.size - count(*)) > 0.7),
+      nd_beyond AS (SELECT k, sum(n) AS more, min(first) AS before FROM nd_links GROUP BY k)
+      SELECT d.doc_id, c.first AS class_id, (CASE WHEN c.k IS NULL THEN 0 ELSE c.n - 1 + coalesce(x.more, 0) END)::BIGINT AS n_links,
+      coalesce(least(c.first, x.before), d.doc_id) AS first_id
+      FROM documents d LEFT JOIN nd_keys m ON m.doc_id = d.doc_id LEFT JOIN nd_classes c ON c.k = m.k LEFT JOIN nd_beyond x ON x.k = c.k""",
     "relevance_bands": "SELECT search_method, CASE WHEN round(score, 9) > 0.8 THEN 'high' WHEN round(score, 9) > 0.5 THEN 'medium' ELSE 'low' END AS band, count(*) AS n FROM ranked GROUP BY ALL",
     "progress_state": "SELECT reader_id, book_id, current_location, round(completion_percentage, 6) AS completion_percentage, last_read_at, current_chapter_id FROM state",
     "progress_view": """SELECT s.reader_id, s.book_id, s.current_location, coalesce(c.chapter_id, r.chapter_id) AS chapter_id, coalesce(c."order", r."order") AS chapter_order,
