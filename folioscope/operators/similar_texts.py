@@ -40,7 +40,7 @@ def text_classes(docs: DataFrame, id_column: str, text_column: str, min_chars: i
     """
     stripped = strip(F.col(text_column))
     rows = docs.select(F.col(id_column).alias("id"), F.when(~is_blank(F.col(text_column)), stripped).alias("t"))
-    rows = rows.withColumn("w", F.when(F.length("t") > min_chars, F.array_sort(word_set(F.col("t")))))
+    rows = rows.withColumn("w", F.when(F.length("t") > min_chars, F.sort_array(word_set(F.col("t")))))
     named = F.when(F.col("w").isNull(), F.concat(F.lit("t "), F.col("t"))).otherwise(F.concat(F.lit("w "), F.concat_ws(" ", "w")))
     return rows.select("id", F.unhex(F.md5(named)).alias("class"), F.transform("w", lambda w: F.xxhash64(w)).alias("words"))
 
@@ -138,9 +138,9 @@ def near_duplicates(
     ``where(first_id = id)`` keeps texts without an earlier near-duplicate. Null and blank texts have class null, no links and
     themselves as first. Repeated ids are rows of their own; other columns are not touched. Words are compared by 64-bit hashes.
     """
-    classes = text_classes(docs, id_column, text_column, min_chars)
-    links = materialise(class_links(classes, limit), "similar-classes")
-    rows = materialise(classes.select("id", "class"), "text-classes")
+    # read once: a filter on the words would otherwise be pushed down and cut every text again
+    rows = materialise(text_classes(docs, id_column, text_column, min_chars), "text-classes")
+    links = materialise(class_links(rows, limit), "similar-classes")
     members = rows.where("class IS NOT NULL").groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
     ends = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     beyond = (
@@ -148,7 +148,7 @@ def near_duplicates(
         .agg(F.sum("n").alias("more"), F.min("first").alias("before"))
     )
     known = members.join(beyond, "class", "left")
-    joined = lookup_join(rows, known, ["class"], "left")
+    joined = lookup_join(rows.select("id", "class"), known, ["class"], "left")
     return joined.select(
         F.col("id").alias(id_column), F.col("first").alias("class_id"),
         F.coalesce(F.col("n") - 1 + F.coalesce("more", F.lit(0)), F.lit(0)).alias("n_links"),
