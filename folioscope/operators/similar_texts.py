@@ -2,8 +2,8 @@
 
 Texts of equal word sets form a class, and classes are compared, so copies are never paired with one another. Candidates
 come from prefix filtering: the words of a class are ordered from rare to common, and two sets above the limit share one of
-their first few words. Sizes and the places of the shared word rule most pairs out in the join itself; the rest is verified
-on the whole sets. Nothing is left out: order and filters decide about cost only.
+their first few words. Sizes and the places of the shared word rule most pairs out in the join itself, short sketches of the
+sets most others; the rest is verified on the whole sets. Nothing is left out: order and filters decide about cost only.
 
 Rarity is read from a table of ``WIDTH`` counters by word hash, a fixed size whatever the vocabulary. A counter of one proves
 that a word occurs in one text only, so it finds no partner. Words shared by many classes are cut into tiles of about ``TILE``
@@ -28,6 +28,9 @@ from folioscope.sources.storage import materialise
 WIDTH = 1 << 20
 #: Classes sharing a word that one task compares at a time.
 TILE = 2000
+#: Bits of a sketch, a multiple of 64, and sketches that a task makes at a time.
+BITS = 1024
+SLICE = 1000
 #: Keeps bounds on the safe side of rounding.
 SLACK = 1e-9
 
@@ -105,21 +108,64 @@ def candidate_pairs(postings: DataFrame, limit: float) -> DataFrame:
     return a.join(b, meet).select(at("a", "class").alias("a"), at("b", "class").alias("b")).distinct()
 
 
+def sketched(classes: DataFrame) -> DataFrame:
+    """``class``, ``size`` of its set and ``sketch``: bit i is set if an odd number of the set's words fall to it.
+
+    Two sketches differ in no more bits than their sets differ in words.
+    """
+
+    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                sets = part.column("words")
+                sizes = sets.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                tokens = sets.flatten().to_numpy(zero_copy_only=False)
+                bit = np.repeat(np.arange(len(sizes)), sizes) * BITS + (tokens >> 20 & BITS - 1)
+                odd = (np.bincount(bit, minlength=len(sizes) * BITS) & 1).astype(np.uint8)
+                flat = pa.array(np.packbits(odd).view(np.int64))
+                ends = pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * (BITS // 64))
+                yield pa.RecordBatch.from_arrays([part.column("class"), pa.array(sizes), pa.ListArray.from_arrays(ends, flat)], ["class", "size", "sketch"])
+
+    return classes.select("class", "words").mapInArrow(sketches, "class binary, size bigint, sketch array<bigint>")
+
+
+def _of_pairs(classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows of ``classes`` that stand in pairs."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    return classes.where("words IS NOT NULL").select("class", "words").join(wanted, "class", "left_semi")
+
+
+def _with_ends(pairs: DataFrame, facts: DataFrame, *columns: str) -> DataFrame:
+    """Pairs with columns of both their classes, named after the side."""
+    side = lambda c: facts.select(F.col("class").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in columns])
+    return pairs.join(side("a"), "a").join(side("b"), "b")
+
+
+def not_too_different(pairs: DataFrame, classes: DataFrame, limit: float) -> DataFrame:
+    """Pairs whose sketches differ in no more bits than two sets above the limit may differ in words."""
+    found = sketched(_of_pairs(classes, pairs)).groupBy("class").agg(F.any_value("size").alias("size"), F.any_value("sketch").alias("sketch"))
+    both = _with_ends(pairs, materialise(found, "similar-sketches"), "size", "sketch")
+    bits = F.aggregate(
+        F.zip_with("sketch_a", "sketch_b", lambda x, y: x.bitwiseXOR(y)), F.lit(0), lambda n, x: n + F.bit_count(x).cast("int")
+    )
+    most = F.col("size_a") + F.col("size_b") - 2 * least_overlap(F.col("size_a"), F.col("size_b"), limit)
+    return both.where(bits <= most).select("a", "b")
+
+
 def class_links(classes: DataFrame, limit: float = config.NEAR_DUPLICATE_JACCARD) -> DataFrame:
     """Pairs ``a`` < ``b`` of classes whose word sets overlap by more than the limit, with their ``common`` and all words."""
     counters = classes.sparkSession.sparkContext.broadcast(rarity_table(classes))
     found = prefix_postings(classes, counters, limit).dropDuplicates(["token", "class"])
     postings = materialise(found, "prefix-words")
     counters.destroy()
-    pairs = materialise(candidate_pairs(postings, limit), "similar-candidates")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    sets = materialise(
-        classes.select("class", "words").join(wanted, "class", "left_semi").groupBy("class").agg(F.any_value("words").alias("words")), "similar-sets"
-    )
-    side = lambda c: sets.select(F.col("class").alias(c), F.col("words").alias(f"words_{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    candidates = materialise(candidate_pairs(postings, limit), "similar-candidates")
+    pairs = materialise(not_too_different(candidates, classes, limit), "similar-pairs")
+    sets = materialise(_of_pairs(classes, pairs).groupBy("class").agg(F.any_value("words").alias("words")), "similar-sets")
     common = F.size(F.array_intersect("words_a", "words_b"))
-    counted = both.select("a", "b", common.alias("common"), (F.size("words_a") + F.size("words_b") - common).alias("union"))
+    counted = _with_ends(pairs, sets, "words").select(
+        "a", "b", common.alias("common"), (F.size("words_a") + F.size("words_b") - common).alias("union")
+    )
     return counted.where(F.col("common") / F.col("union") > limit)
 
 

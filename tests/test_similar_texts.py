@@ -43,8 +43,10 @@ def near_copies(seed, n=120):
 EDGES = [None, "", " \t\n", "short", " short ", "Short", "x" * 60, "X" * 60, "w " * 40, "W " * 40, "ä ö " * 20]
 
 
-@pytest.mark.parametrize("limit,tile,width", [(0.7, 2000, 1 << 20), (0.7, 3, 1 << 20), (0.5, 5, 4), (0.9, 2000, 64)])
-def test_links_equal_all_pairs(spark, monkeypatch, limit, tile, width):
+@pytest.mark.parametrize("limit,tile,width,bits", [(0.7, 2000, 1 << 20, 1024), (0.7, 3, 1 << 20, 64), (0.5, 5, 4, 128), (0.9, 2000, 64, 64)])
+def test_links_equal_all_pairs(spark, monkeypatch, limit, tile, width, bits):
+    monkeypatch.setattr(st, "BITS", bits)
+    monkeypatch.setattr(st, "SLICE", 7)
     monkeypatch.setattr(st, "TILE", tile)
     monkeypatch.setattr(st, "WIDTH", width)
     rows = list(enumerate([*EDGES, *near_copies(7), *EDGES]))
