@@ -88,7 +88,8 @@ def prefix_postings(classes: DataFrame, counters, limit: float) -> DataFrame:
 
 def candidate_pairs(postings: DataFrame, limit: float) -> DataFrame:
     """Pairs ``a`` < ``b`` of classes that share a prefix word and may pass the limit by their sizes and its places."""
-    hot = postings.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("tiles")).where("tiles > 1")
+    # stored, so that its size is known: one row or less per TILE postings, which Spark broadcasts within its limit
+    hot = materialise(postings.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("tiles")).where("tiles > 1"), "hot-words")
     tiled = postings.join(hot, "token", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
     tiled = tiled.withColumn("tile", F.pmod(F.xxhash64("class"), "tiles"))
     tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
