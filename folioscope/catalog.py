@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from folioscope import config
 from folioscope.functions import location as loc, parsing, scoring, text as tx
 from folioscope.operators import (
-    analytics, chunks as chunk_ops, evaluation, fusion, keyword, library, locations, maintenance, passages,
+    analytics, chunks as chunk_ops, evaluation, fusion, keyword, library, locations, maintenance, paging, passages,
     progress as progress_ops, similar_texts, summaries, vectors as vector_ops,
 )
 from folioscope.plans import evaluation as run_plan, ingest, retrieval
@@ -84,6 +84,13 @@ def library_page(spark, sf):
     return library.page_of(tables.books(spark, sf), ["book_id"], skip=10, limit=10)
 
 
+@query
+def chapter_page(spark, sf):
+    """The seventh page of 25 chapters in the order of the library, read through a page directory."""
+    rows = tables.chapters(spark, sf).select("book_id", "order", "chapter_id", "title", "start_location", "end_location")
+    return paging.Listing(rows, ["book_id", "order"]).page(150, 25)
+
+
 @query
 def book_detail(spark, sf):
     chapters = tables.chapters(spark, sf)

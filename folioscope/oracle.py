@@ -306,6 +306,8 @@ BODIES: dict[str, str] = {
     "library_listing": """SELECT b.book_id, s.reader_id, total_chapters, total_locations, coalesce(current_location, 0) AS current_location,
       round(coalesce(completion_percentage, 0.0), 6) AS completion_percentage, last_read_at FROM books b LEFT JOIN state s USING (book_id)""",
     "library_page": "SELECT * FROM books ORDER BY book_id LIMIT 10 OFFSET 10",
+    "chapter_page": """SELECT book_id, "order", chapter_id, title, start_location, end_location FROM chapters
+      ORDER BY book_id NULLS FIRST, "order" LIMIT 25 OFFSET 150""",
     "book_detail": """SELECT book_id, 0 AS page, any_value(total_chapters) AS total_chapters, any_value(total_locations) AS total_locations,
       to_json(list(struct_pack("order" := "order", chapter_id := chapter_id, title := title, start_location := start_location, end_location := end_location) ORDER BY "order"))::VARCHAR AS chapters
       FROM chapters JOIN books USING (book_id) GROUP BY book_id""",
