@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from folioscope import config
@@ -20,6 +21,9 @@ from folioscope.functions.text import chunk_pieces, tokens
 EmbedFn = Callable[[list[str]], Sequence[Sequence[float]]]
 GenerateFn = Callable[[list[str]], Sequence[str]]
 
+#: Tokens that a worker counts at once, beyond those of one text.
+TOKENS_AT_ONCE = 500_000
+
 
 def with_embedding(
     df: DataFrame, text: str, out: str, embed: EmbedFn | None = None, dim: int = 64, batch: int = config.EMBED_BATCH
@@ -45,21 +49,32 @@ def with_embedding(
 def hashed_embedding(token_column: Column, dim: int = 64) -> Column:
     """Token counts per bucket; the bucket is md5(token) modulo ``dim``."""
 
-    @F.pandas_udf("array<float>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for series in batches:
-            lists = [x if x is not None else () for x in series]
-            sizes = np.fromiter((len(x) for x in lists), dtype=np.int64, count=len(lists))
-            # each distinct token of the batch is hashed once
-            codes, distinct = pd.factorize(np.concatenate([np.asarray(x, dtype=object) for x in lists]) if len(lists) else [])
-            bucket = np.array([int(hashlib.md5(t.encode()).hexdigest()[:6], 16) % dim for t in distinct], dtype=np.int64)
-            cells = np.repeat(np.arange(len(lists)), sizes) * dim + (bucket[codes] if len(codes) else codes)
-            counts = np.bincount(cells, minlength=len(lists) * dim).reshape(len(lists), dim)
-            yield pd.Series(list(counts.astype(np.float32)))
+    @F.arrow_udf("array<float>")
+    def run(lists: pa.Array) -> pa.Array:
+        rows = [np.zeros((0, dim), np.float32)]
+        for part, owner, codes, distinct in coded_tokens(lists):
+            # each distinct token of the stretch is hashed once
+            bucket = np.array([int.from_bytes(hashlib.md5(t.encode()).digest()[:3]) % dim for t in distinct.to_pylist()], np.int64)
+            counts = np.bincount(owner * dim + bucket[codes], minlength=len(part) * dim)
+            rows.append(counts.reshape(len(part), dim).astype(np.float32))
+        flat = np.concatenate(rows).ravel()
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, dim, dtype=np.int32)), pa.array(flat))
 
     return run(token_column)
 
 
+def coded_tokens(lists: pa.Array) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, pa.Array]]:
+    """Stretches of rows of about ``TOKENS_AT_ONCE`` tokens: (their lists, row of each token in the stretch, its number, the
+    different tokens by number). A null list has no tokens."""
+    sizes = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+    stretch = np.cumsum(sizes) // TOKENS_AT_ONCE
+    edges = [0, *(np.flatnonzero(np.diff(stretch)) + 1).tolist(), len(lists)]
+    for first, last in zip(edges, edges[1:]):
+        part = lists.slice(first, last - first)
+        words = part.flatten().cast(pa.string()).dictionary_encode()
+        yield part, np.repeat(np.arange(last - first), sizes[first:last]), words.indices.to_numpy().astype(np.int64), words.dictionary
+
+
 def with_reply(df: DataFrame, prompt: str, out: str, generate: GenerateFn, batch: int = config.EMBED_BATCH) -> DataFrame:
     """Add a model's reply to a prompt column."""
 

@@ -1,8 +1,8 @@
 """Okapi BM25 over the chunks of each book, from stored postings.
 
-A posting is a term of a chunk with its count and the chunk's length; all a search needs of a chunk. Postings are built once,
-in folders by a hash of the term, and statistics, term lookup and scores come from them alone, without Python and without
-another look at texts or tokens. Questions meet them by block: the terms asked in a block are few enough to be broadcast, the
+A posting is a term of a chunk with its count and the chunk's length; all a search needs of a chunk. They are counted once, in
+the pass that cuts and embeds the chunks, and stored as a list with the chunk; statistics, term lookup and scores come from
+these lists alone, without Python and without another look at texts or tokens. Questions meet them by block: the terms asked in a block are few enough to be broadcast, the
 postings they match are shuffled once, by chunk, so that a chunk's score and each task's best k per question need no further
 exchange, whatever book is hot.
 """
@@ -11,15 +11,17 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from folioscope import config
-from folioscope.functions.text import bind, tokens
+from folioscope.functions.hooks import coded_tokens
+from folioscope.functions.text import tokens
 from folioscope.operators.skew import lookup_join, null_safe_join
 from folioscope.sources.storage import materialise
 
 CHUNK_KEY = ["chapter_order", "chunk_no"]
-TERM_BUCKETS = 16
 #: About as many (question, term) rows are broadcast at once.
 ASKED_PER_BLOCK = 100_000
 
@@ -37,32 +39,32 @@ def book_statistics(index: DataFrame) -> DataFrame:
     )
 
 
-def term_bucket(term: Column) -> Column:
-    """The folder of a term."""
-    return F.pmod(F.xxhash64(term), F.lit(TERM_BUCKETS)).cast("int")
-
-
 def term_counts(words: Column) -> Column:
-    """(term, tf) of each different token: distances between the first places of the tokens in order."""
-    def counted(ordered: Column, terms: Column, first: Column) -> Column:
-        beyond = F.concat(F.slice(first, F.lit(2), F.size(first)), F.array((F.size(ordered) + 1).cast("bigint")))
-        tf = F.zip_with(beyond, first, lambda after, at: (after - at).cast("int"))
-        return F.zip_with(terms, tf, lambda term, n: F.struct(term.alias("term"), n.alias("tf")))
+    """(term, tf) of each different token of a list, in one pass over batches of lists."""
 
-    def places(ordered: Column, terms: Column) -> Column:
-        return bind(F.transform(terms, lambda t: F.array_position(ordered, t)), lambda first: counted(ordered, terms, first))
+    @F.arrow_udf("array<struct<term:string,tf:int>>")
+    def run(lists: pa.Array) -> pa.Array:
+        sizes, terms, counts = [np.zeros(1, np.int64)], [pa.array([], pa.string())], [np.zeros(0, np.int64)]
+        for part, owner, codes, distinct in coded_tokens(lists):
+            width = max(1, len(distinct))
+            found, times = np.unique(owner * width + codes, return_counts=True)
+            sizes.append(np.bincount(found // width, minlength=len(part)))
+            terms.append(distinct.take(pa.array(found % width)))
+            counts.append(times)
+        pairs = pa.StructArray.from_arrays([pa.concat_arrays(terms), pa.array(np.concatenate(counts).astype(np.int32))], ["term", "tf"])
+        return pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(sizes)).astype(np.int32)), pairs)
 
-    told = bind(F.sort_array(words), lambda ordered: bind(F.array_distinct(ordered), lambda terms: places(ordered, terms)))
-    return F.when(F.size(words) > 0, told)
+    return run(words)
 
 
 def postings(index: DataFrame) -> DataFrame:
-    """Inverted index: (term_bucket, book_id, term, chunk key, location, n_tokens, tf) of every term of every chunk.
+    """Inverted index: (book_id, term, chunk key, location, n_tokens, tf) of every term of every chunk.
 
-    Counted within each chunk's row, so that nothing is shuffled.
+    From the stored ``terms`` of each chunk, if it has them; otherwise counted within each chunk's row. Nothing is shuffled or sorted.
     """
-    rows = index.select("book_id", *CHUNK_KEY, "location", "n_tokens", F.explode(term_counts(F.col("tokens"))).alias("p"))
-    return rows.select("book_id", "p.term", *CHUNK_KEY, "location", "n_tokens", "p.tf", term_bucket(F.col("p.term")).alias("term_bucket"))
+    counted = F.col("terms") if "terms" in index.columns else term_counts(F.col("tokens"))
+    rows = index.select("book_id", *CHUNK_KEY, "location", "n_tokens", F.explode(counted).alias("p"))
+    return rows.select("book_id", "p.term", *CHUNK_KEY, "location", "n_tokens", "p.tf")
 
 
 def document_frequency(lists: DataFrame) -> DataFrame:
@@ -113,20 +115,19 @@ def question_terms(questions: DataFrame, books: DataFrame, frequency: DataFrame,
 
 
 def _of_terms(lists: DataFrame, asks: DataFrame) -> DataFrame:
-    """Postings that ``asks`` (bounded by its block) names by folder, book and term; null books meet null books."""
-    named = F.broadcast(asks.withColumnsRenamed({"term_bucket": "_bucket", "book_id": "_book", "term": "_term"}))
-    same = (F.col("term_bucket") == F.col("_bucket")) & (F.col("term") == F.col("_term")) & F.col("book_id").eqNullSafe(F.col("_book"))
-    return lists.join(named, same).drop("_bucket", "_book", "_term")
+    """Postings that ``asks`` (bounded by its block) names by book and term; null books meet null books."""
+    named = F.broadcast(asks.withColumnsRenamed({"book_id": "_book", "term": "_term"}))
+    same = (F.col("term") == F.col("_term")) & F.col("book_id").eqNullSafe(F.col("_book"))
+    return lists.join(named, same).drop("_book", "_term")
 
 
 def _best_of_block(asked: DataFrame, lists: DataFrame, limit: int, k1: float, b: float) -> DataFrame:
     """Best ``limit`` chunks per question of one block of ``question_terms``."""
-    key = ["term_bucket", "book_id", "term"]
-    asks = asked.groupBy(term_bucket(F.col("term")).alias("term_bucket"), "book_id", "term").agg(
+    asks = asked.groupBy("book_id", "term").agg(
         F.max("boundary").alias("_reach"), F.first("avg_tokens").alias("avg_tokens"),
         F.collect_list(F.struct("question_id", "boundary", "weight")).alias("asks"),
     )
-    matched = _of_terms(lists, asks.select(*key, "_reach")).filter(F.col("location") <= F.col("_reach")).drop("_reach")
+    matched = _of_terms(lists, asks.select("book_id", "term", "_reach")).filter(F.col("location") <= F.col("_reach")).drop("_reach")
     spread = matched.repartition("book_id", *CHUNK_KEY)
     relative = F.col("n_tokens") / F.col("avg_tokens")
     part = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * relative))

@@ -1,6 +1,7 @@
 """Tables kept by the state of their inputs, and the keyword index built on them."""
 
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -95,3 +96,28 @@ def test_a_search_shuffles_postings_once(spark, tmp_path):
     plan = hits._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "InPandas" not in plan
     assert plan.count("REPARTITION_BY_COL") == 1 and "WindowGroupLimit" in plan
+
+
+def test_terms_are_counted_in_linear_time(spark):
+    """A text of very many different words; nulls and lists across stretches keep their place."""
+    words = [f"w{n}" for n in range(200_000)]
+    rows = [(1, None), (2, ["a", "b", "a"]), (3, []), (4, words + words[:5])]
+    started = time.time()
+    counted = spark.createDataFrame(rows, "id int, tokens array<string>").coalesce(1).select("id", keyword.term_counts(F.col("tokens")).alias("t"))
+    got = {r["id"]: {(p["term"], p["tf"]) for p in r["t"] or ()} for r in counted.collect()}
+    assert got[1] == got[3] == set() and got[2] == {("a", 2), ("b", 1)}
+    assert got[4] == {(w, 2 if n < 5 else 1) for n, w in enumerate(words)} and time.time() - started < 30
+
+
+def test_postings_are_written_unsorted_with_their_chunks(spark):
+    kept = {}
+
+    def keep(build, name, by=None):
+        kept[name] = (by, build())
+        return materialise(kept[name][1], name)
+
+    index = ingest.keyword_index(lambda: tables.chapters(spark, SMALL), tables.chapter_texts(spark, SMALL), keep=keep)
+    plan = kept["chunks"][1]._jdf.queryExecution().executedPlan().toString()
+    assert all(by is None for by, _ in kept.values()) and "postings" not in kept and plan.count("ArrowEvalPython") == 1
+    again = keyword.postings(keyword.chunk_terms(index.chunks.drop("terms")))
+    assert index.postings.exceptAll(again).count() == again.exceptAll(index.postings).count() == 0 < again.count()
