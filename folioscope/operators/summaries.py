@@ -10,11 +10,11 @@ block then emits on its own. No task ever holds a whole book.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, Window as W
+from pyspark.sql import Column, DataFrame, functions as F
 
 from folioscope import config
 from folioscope.functions.text import is_blank
-from folioscope.operators.skew import segmented_lag
+from folioscope.operators.skew import lookup_join, segmented_lag
 
 BLOCK = 1024   # locations per block
 FAN = 1024     # blocks per super-block
@@ -116,11 +116,19 @@ def summary_segments(
         "book_id", F.col("location").alias("segment_end"),
         F.explode(F.sequence(F.coalesce(F.col("_prev.location"), F.lit(0)) * 2 + 1, F.col("location") * 2)).alias("_slot"),
     )
-    at_same = W.partitionBy("book_id", "location").orderBy("chapter_order", "chunk_no")
-    placed = chunks.withColumn(
-        "_slot", F.col("location") * 2 + F.when(F.row_number().over(at_same) == 1, 0).otherwise(1)
+    halves = slots.groupBy("book_id", F.floor(F.col("_slot") / 2).cast("int").alias("location")).agg(
+        F.max(F.when(F.col("_slot") % 2 == 0, F.col("segment_end"))).alias("_first_end"),
+        F.max(F.when(F.col("_slot") % 2 == 1, F.col("segment_end"))).alias("_rest_end"),
     )
-    joined = placed.join(slots, ["book_id", "_slot"], "left" if emit_tail else "inner")
+    # found without the texts, which then move twice only: to their place and to their segment
+    number = F.struct("chapter_order", "chunk_no", F.xxhash64("chunk"))
+    firsts = chunks.groupBy("book_id", "location").agg(F.min(number).alias("_first"))
+    places = firsts.join(halves, ["book_id", "location"], "left")
+    joined = lookup_join(chunks, places, ["book_id", "location"]).withColumn(
+        "segment_end", F.when(number == F.col("_first"), F.col("_first_end")).otherwise(F.col("_rest_end"))
+    )
+    if not emit_tail:
+        joined = joined.filter(F.col("segment_end").isNotNull())
     grouped = joined.groupBy("book_id", "segment_end").agg(
         F.sort_array(F.collect_list(F.struct("chapter_order", "chunk_no", "chunk", "chapter_title"))).alias("_c"),
         F.max("location").alias("_last"), F.count(F.lit(1)).alias("n_chunks"),

@@ -94,10 +94,11 @@ class Store:
         told = files.text(pointer)
         if told is None:
             df, data = build(), f"{home}/{uuid.uuid4().hex}"
+            writer = df.write.option("compression", "zstd")  # written once, kept long
             if by is None:
-                df.write.parquet(data)
+                writer.parquet(data)
             else:
-                df.write.partitionBy(by).parquet(data)  # every task sorts its own rows into the folders, nothing is shuffled
+                writer.partitionBy(by).parquet(data)  # every task sorts its own rows into the folders, nothing is shuffled
             files.write(pointer, json.dumps({"data": data, "schema": df.schema.json()}))
             self.built.append(name)
             told = files.text(pointer)

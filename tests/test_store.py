@@ -3,10 +3,13 @@
 import os
 import time
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from folioscope.operators import keyword
+from folioscope.functions import hooks
+from folioscope.operators import keyword, summaries
 from folioscope.plans import ingest
 from folioscope.sources import tables
 from folioscope.sources.storage import materialise
@@ -121,3 +124,21 @@ def test_postings_are_written_unsorted_with_their_chunks(spark):
     assert all(by is None for by, _ in kept.values()) and "postings" not in kept and plan.count("ArrowEvalPython") == 1
     again = keyword.postings(keyword.chunk_terms(index.chunks.drop("terms")))
     assert index.postings.exceptAll(again).count() == again.exceptAll(index.postings).count() == 0 < again.count()
+
+
+def test_tokens_are_counted_in_bounded_stretches(monkeypatch):
+    monkeypatch.setattr(hooks, "TOKENS_AT_ONCE", 10)
+    lists = pa.array([["a", "b"]] * 3 + [None, []] + [["c"] * 25] + [["a", "c"]] * 12)
+    parts = list(hooks.coded_tokens(lists))
+    assert pa.concat_arrays([p[0] for p in parts]).to_pylist() == lists.to_pylist()
+    assert all(len(codes) <= 10 or len(np.unique(owner)) <= 6 for _, owner, codes, _ in parts) and len(parts) > 3
+    assert [distinct[int(c)].as_py() for _, _, codes, distinct in parts for c in codes] == [t for own in lists.to_pylist() for t in own or ()]
+
+
+def test_texts_are_not_numbered_to_find_their_segment(spark, no_broadcast):
+    """The first chunk of a location is found without sorting texts; null books keep their chunks."""
+    rows = [(b, 1, n, 1 + n // 3, f"chunk {n}", "One") for b in ("a", None) for n in range(60)]
+    chunks = spark.createDataFrame(rows, "book_id string, chapter_order int, chunk_no int, location int, chunk string, chapter_title string")
+    found = summaries.summary_segments(chunks)
+    assert "row_number" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r["book_id"], r["location"], r["segment_no"], r["n_chunks"]) for r in found.collect()} == {("a", 11, 0, 31), ("a", 20, 1, 29), (None, 20, 1, 60)}
