@@ -8,6 +8,10 @@ for high recall. Paragraphs that share a band are joined; those with other words
 their shingles is at least ``SIMILAR``. Equal paragraphs are one node, so copies are never paired. In every component the
 paragraph of the smallest (doc_id, place) stays, the others are removed.
 
+Equal stretches are found at every position: all windows of ``PASSAGE`` words meet by their hash, packed in ``BUCKETS``
+buckets, and windows that follow one another in the document and in the one that keeps them are one stretch. So an equal
+stretch of ``PASSAGE`` words or more is found whole wherever it stands; the paragraphs add the similar ones.
+
 Only hashes are shuffled; a key of very many different paragraphs is compared in tiles of ``TILE``, each pair of tiles in
 its own group, which returns no more links than hold its parts together.
 
@@ -20,7 +24,7 @@ one document alone stays; an empty table gives no rows.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from folioscope.llm.common import connected_components
 from folioscope.llm.words import _power_tables, mix, shingle_hashes, spaced, word_hashes
@@ -31,6 +35,9 @@ PASSAGE = 20
 REACH = 31
 BANDS = 2
 TILE = 5000
+#: Windows are dealt to so many buckets by their hash; a task sorts one bucket at a time, and packs so many windows at once.
+BUCKETS = 4096
+PACK = 1 << 20
 #: Classes of shingles by their hash. Paragraphs hold at most 16 shingles, and two sets of at most 16 with similarity 0.8 or
 #: more differ in at most (16 + 16) / 9, so in 3; of 5 classes at least two are equal. Pairs of equal classes are looked up.
 CLASSES = 5
@@ -244,17 +251,125 @@ def repeated(docs: DataFrame, tile: int = TILE) -> DataFrame:
     )
 
 
+def windows(text: str | None) -> np.ndarray:
+    """The contents of the ``PASSAGE`` words from every position; none of a shorter text, which is a paragraph."""
+    hashes = word_hashes(spaced(text.lower()))[2] if text else np.empty(0, np.uint64)
+    first = np.arange(max(0, len(hashes) - PASSAGE + 1))
+    return contents_of(hashes, first, first + PASSAGE) if len(first) else np.empty(0, np.int64)
+
+
+def packed_windows(docs: DataFrame) -> DataFrame:
+    """(bucket, content, base, owner, place): the windows whose content falls to the bucket, by document, as bytes; documents
+    as steps from the one before (the first from ``base``), steps and places in two bytes where they fit."""
+    import pyarrow as pa
+
+    def pack(held):
+        held.sort(key=lambda h: h[0])
+        sizes = [len(c) for _, c in held]
+        content = np.concatenate([c for _, c in held])
+        order = np.argsort((content.view(np.uint64) % np.uint64(BUCKETS)).astype(np.uint16), kind="stable")
+        content = content[order]
+        owner = np.repeat(np.array([d for d, _ in held], np.int64), sizes)[order]
+        place = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])[order]
+        found, at = np.unique(content.view(np.uint64) % np.uint64(BUCKETS), return_index=True)
+        base = owner[at]
+        step = np.diff(owner, prepend=owner[:1])
+        step[at] = 0
+        narrow = lambda x, kind: x.astype(np.uint16) if x.max() < 1 << 16 and x.min() >= 0 else x.astype(kind)
+        ends = np.append(at, len(order))
+        binary = lambda x: pa.Array.from_buffers(pa.binary(), len(found), [None, pa.py_buffer((ends * x.itemsize).astype(np.int32)), pa.py_buffer(x)])
+        columns = [pa.array(found.astype(np.int32)), binary(content), pa.array(base), binary(narrow(step, np.int64)), binary(narrow(place, np.int32))]
+        return pa.RecordBatch.from_arrays(columns, names=["bucket", "content", "base", "owner", "place"])
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            for doc_id, text in zip(batch.column("doc_id"), batch.column("text")):
+                content = windows(text.as_py())
+                if len(content):
+                    held.append((doc_id.as_py(), content))
+                    n += len(content)
+                if n >= PACK:
+                    yield pack(held)
+                    held, n = [], 0
+        if held:
+            yield pack(held)
+
+    rows = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
+    return rows.mapInArrow(run, "bucket int, content binary, base long, owner binary, place binary")
+
+
+def repeated_windows(docs: DataFrame) -> DataFrame:
+    """(doc_id, first, last, content, kept_doc, kept_first): every window whose words also stand in another document; the
+    one of the smallest (doc_id, place) stays."""
+    import pyarrow as pa
+
+    names = ["doc_id", "first", "last", "content", "kept_doc", "kept_first"]
+
+    def of_bucket(rows):
+        content = np.frombuffer(b"".join(r[0] for r in rows), np.int64)
+        unpack = lambda data, n, wide: np.frombuffer(data, np.uint16 if len(data) == 2 * n else wide).astype(wide)
+        owner = np.concatenate([base + np.cumsum(unpack(step, len(own) // 8, np.int64)) for own, base, step, _ in rows])
+        place = np.concatenate([unpack(place, len(own) // 8, np.int32) for own, _, _, place in rows])
+        order = np.argsort(content, kind="stable")
+        same = content[order][1:] == content[order][:-1]
+        several = np.zeros(len(order), bool)
+        several[1:] |= same
+        several[:-1] |= same
+        order = order[several]  # only these need an order inside their content
+        order = order[np.lexsort((place[order], owner[order], content[order]))]
+        content, owner, place = content[order], owner[order], place[order]
+        starts = np.flatnonzero(np.append(True, content[1:] != content[:-1])) if len(order) else np.empty(0, np.int64)
+        sizes = np.diff(np.append(starts, len(order)))
+        across = np.repeat(owner[starts] != owner[starts + sizes - 1], sizes)
+        kept_doc, kept_first = np.repeat(owner[starts], sizes), np.repeat(place[starts], sizes)
+        columns = [x[across] for x in (owner, place, place + np.int32(PASSAGE), content, kept_doc, kept_first)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+
+    def run(batches):
+        at, rows = None, []
+        for batch in batches:
+            for bucket, *row in zip(*(column.to_pylist() for column in batch.columns)):
+                if bucket != at:
+                    if rows:
+                        yield of_bucket(rows)
+                    at, rows = bucket, []
+                rows.append(row)
+        if rows:
+            yield of_bucket(rows)
+
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = packed_windows(docs).repartition(parts, "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(run, "doc_id long, first int, last int, content long, kept_doc long, kept_first int")
+
+
+def stretches(found: DataFrame) -> DataFrame:
+    """(doc_id, first, last, kept_doc, kept_first): windows that follow one another here and where they stay, as one."""
+    shift = F.col("kept_first") - F.col("first")
+    along = W.partitionBy("doc_id", "kept_doc", "shift").orderBy("first")
+    rows = found.select("doc_id", "first", "kept_doc", shift.alias("shift"))
+    runs = rows.withColumn("run", F.col("first") - F.dense_rank().over(along)).groupBy("doc_id", "kept_doc", "shift", "run")
+    return runs.agg(F.min("first").alias("first"), (F.max("first") + PASSAGE).alias("last")).select(
+        "doc_id", "first", "last", "kept_doc", (F.col("first") + F.col("shift")).alias("kept_first")
+    )
+
+
 def repeats(docs: DataFrame) -> DataFrame:
     """One row per document that shares a passage: doc_id, component_id (the smallest document it shares one with, itself
     included), kept_docs (the documents that keep its passages), passages, removed_words, spans (first:end, word numbers)."""
-    found = repeated(docs)
+    own = ["doc_id", "first", "last", "kept_doc"]
+    equal = materialise(stretches(repeated_windows(docs)), "stretches")  # first, so that its shuffles are gone before the next
+    found = repeated(docs).select(*own).unionByName(equal.select(*own))
     gone = F.col("kept_doc") != F.col("doc_id")
     rows = found.groupBy("doc_id").agg(
         F.min("kept_doc").alias("component_id"), F.array_sort(F.collect_set("kept_doc")).alias("kept_docs"),
         F.count_distinct("first", "last").alias("passages"), F.array_sort(F.collect_set(F.when(gone, F.struct("first", "last")))).alias("gone"),
     )
-    words = F.aggregate(
-        F.transform("gone", lambda s, i: F.least(s["last"], F.coalesce(F.get(F.col("gone"), i + 1)["first"], s["last"])) - s["first"]), F.lit(0), lambda n, x: n + x
+    none = F.struct(F.lit(0).alias("n"), F.lit(0).alias("reach"))
+    words = F.aggregate(  # spans in order of their first words may overlap or hold one another
+        "gone", none,
+        lambda x, s: F.struct((x["n"] + F.greatest(F.lit(0), s["last"] - F.greatest(s["first"], x["reach"]))).alias("n"), F.greatest(x["reach"], s["last"]).alias("reach")),
+        lambda x: x["n"],
     )
     spans = F.array_join(F.transform("gone", lambda s: F.concat_ws(":", s["first"].cast("string"), s["last"].cast("string"))), ",")
     return rows.select("doc_id", "component_id", "kept_docs", "passages", words.cast("long").alias("removed_words"), spans.alias("spans"))
@@ -287,7 +402,9 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     """``docs`` with removed passages taken out of ``text``."""
     import pyarrow as pa
 
-    gone = repeated(docs).where("kept_doc <> doc_id").groupBy("doc_id").agg(F.collect_set(F.struct("first", "last", "content")).alias("spans"))
+    every = ["doc_id", "first", "last", "content", "kept_doc"]
+    found = repeated(docs).select(*every).unionByName(repeated_windows(docs).select(*every))
+    gone = found.where("kept_doc <> doc_id").groupBy("doc_id").agg(F.collect_set(F.struct("first", "last", "content")).alias("spans"))
     rows = docs.select(F.struct("*").alias("row")).alias("d")
     joined = rows.join(gone.alias("g"), F.col("d.row.doc_id").try_cast("long") == F.col("g.doc_id"), "left").select("row", "spans")
     names = docs.columns

@@ -444,3 +444,32 @@ def test_pipeline_on_awkward_and_empty_tables(spark):
             docs = stage(spark, docs, SMALL).cache()
             assert docs.columns == columns
         assert corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).count() <= docs.count()
+
+
+def test_every_equal_window_of_twenty_words_is_found(spark):
+    """Stretches of 20 to 60 equal words inside different texts, against a search of all windows at all positions."""
+    rows = []
+    for k in range(40):
+        passage = prose(5000 + k, 20 + k)
+        rows += [(2 * k, f"{prose(6000 + k, 35 + k)} {passage} {prose(7000 + k, 60)}"), (2 * k + 1, f"{prose(8000 + k, 90 - k)} {passage} {prose(9000 + k, 25)}")]
+    rows.append((90, rows[3][1] + " " + rows[3][1]))
+    docs = documents(spark, rows)
+    places = {}
+    for doc, text in rows:
+        words = text.split()
+        for at in range(len(words) - 19):
+            places.setdefault(tuple(words[at : at + 20]), []).append((doc, at))
+    shared = [sorted(p) for p in places.values() if len({d for d, _ in p}) > 1]
+    want = {(d, at, at + 20, *p[0]) for p in shared for d, at in p}
+    got = passages.repeated_windows(docs)
+    assert set(map(tuple, got.select("doc_id", "first", "last", "kept_doc", "kept_first").collect())) == want
+    whole = {(r["doc_id"], r["last"] - r["first"]) for r in passages.stretches(got).collect()}
+    assert all((2 * k, 20 + k) in whole and (2 * k + 1, 20 + k) in whole for k in range(40) if k != 1)
+    found = {r["doc_id"]: r for r in passages.repeats(docs).collect()}
+    covered = {}
+    for d, first, last, kept, _ in want:
+        covered.setdefault(d, set()).update(range(first, last) if kept != d else ())
+    assert set(found) >= set(range(80))
+    for d in range(80):  # similar paragraphs may take more words along
+        taken = {w for s in found[d]["spans"].split(",") if s for w in range(*map(int, s.split(":")))}
+        assert taken >= covered[d] and found[d]["removed_words"] == len(taken)
