@@ -2,8 +2,10 @@
 
 Texts of equal word sets form a class, and classes are compared, so copies are never paired with one another. Candidates
 come from prefix filtering: the words of a class are ordered from rare to common, and two sets above the limit share one of
-their first few words. Sizes and the places of the shared word rule most pairs out in the join itself, short sketches of the
-sets most others; the rest is verified on the whole sets. Nothing is left out: order and filters decide about cost only.
+their first few words. In the word that a pair shares first, all words before it are different, so few differences are left for
+those after it: a posting carries a sketch of these, and sizes, places and sketches rule most pairs out where they meet, in numpy.
+Longer sketches rule out most others; the rest is verified on the whole sets. Nothing is left out: order and filters decide
+about cost only.
 
 Rarity is read from a table of ``WIDTH`` counters by word hash, a fixed size whatever the vocabulary. A counter of one proves
 that a word occurs in one text only, so it finds no partner. Words shared by many classes are cut into tiles of about ``TILE``
@@ -12,6 +14,8 @@ classes, joined tile by tile.
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from folioscope import config
-from folioscope.functions.scoring import word_set
-from folioscope.functions.text import is_blank, strip
+from folioscope.functions.hashing import word_hashes
+from folioscope.functions.text import SPACE_CHARS
 from folioscope.operators.skew import lookup_join
 from folioscope.sources.storage import materialise
 
@@ -31,6 +35,14 @@ TILE = 2000
 #: Bits of a sketch, a multiple of 64, and sketches that a task makes at a time.
 BITS = 1024
 SLICE = 1000
+#: Classes of one block, whose sets a task holds two blocks of at a time.
+BLOCK = 1000
+#: Postings that a task compares at a time, beyond those of one cell, and pairs that it gives at once.
+ROWS = 1 << 16
+#: White space beyond ASCII, and every byte with that of ASCII as a space.
+_WIDE_SPACE = re.compile(f"[{SPACE_CHARS[6:]}]")
+_SPACED = np.arange(256, dtype=np.uint8)
+_SPACED[[ord(c) for c in SPACE_CHARS[:6]]] = ord(" ")
 #: Keeps bounds on the safe side of rounding.
 SLACK = 1e-9
 
@@ -41,11 +53,29 @@ def text_classes(docs: DataFrame, id_column: str, text_column: str, min_chars: i
     Texts longer than ``min_chars`` belong to the class of their word set, shorter ones to that of their own characters.
     Null and blank texts have no class.
     """
-    stripped = strip(F.col(text_column))
-    rows = docs.select(F.col(id_column).alias("id"), F.when(~is_blank(F.col(text_column)), stripped).alias("t"))
-    rows = rows.withColumn("w", F.when(F.length("t") > min_chars, F.sort_array(word_set(F.col("t")))))
-    named = F.when(F.col("w").isNull(), F.concat(F.lit("t "), F.col("t"))).otherwise(F.concat(F.lit("w "), F.concat_ws(" ", "w")))
-    return rows.select("id", F.unhex(F.md5(named)).alias("class"), F.transform("w", lambda w: F.xxhash64(w)).alias("words"))
+
+    def words(lower: str) -> np.ndarray:
+        if not lower.isascii():
+            lower = _WIDE_SPACE.sub(" ", lower)
+        found = np.sort(word_hashes(_SPACED[np.frombuffer(f" {lower} ".encode(), np.uint8)])[2].view(np.int64))
+        return found[np.append(True, found[1:] != found[:-1])] if len(found) else found
+
+    def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
+            names, sets = [], []
+            for text, lower in zip(batch.column("text").to_pylist(), batch.column("lower").to_pylist()):
+                text = (text or "").strip(SPACE_CHARS)
+                own = words(lower) if len(text) > min_chars else None
+                named = b"t " + text.encode() if own is None else b"w " + own.tobytes()
+                names.append(hashlib.md5(named).digest() if text else None)
+                sets.append(own)
+            ends = pa.array(np.cumsum([0, *(0 if own is None else len(own) for own in sets)]).astype(np.int32))
+            flat = pa.array(np.concatenate([np.empty(0, np.int64), *(own for own in sets if own is not None)]))
+            lists = pa.ListArray.from_arrays(ends, flat, mask=pa.array([own is None for own in sets], pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(names, pa.binary()), lists], ["id", "class", "words"])
+
+    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), F.lower(text_column).alias("lower"))
+    return rows.mapInArrow(classes, f"id {rows.schema['id'].dataType.simpleString()}, class binary, words array<bigint>")
 
 
 def least_overlap(n: Column, m: Column, limit: float) -> Column:
@@ -55,58 +85,159 @@ def least_overlap(n: Column, m: Column, limit: float) -> Column:
 
 def rarity_table(classes: DataFrame) -> np.ndarray:
     """Texts per counter; a word's counter is never below the number of texts that hold the word."""
-    slots = classes.select(F.explode("words").alias("h")).groupBy(F.col("h").bitwiseAND(WIDTH - 1).alias("slot")).count()
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(WIDTH, np.int64)
+        for batch in batches:
+            tokens = batch.column("words").flatten().to_numpy(zero_copy_only=False)
+            own += np.bincount(tokens & (WIDTH - 1), minlength=WIDTH)
+        slots = np.flatnonzero(own)
+        for at in range(0, len(slots), ROWS):
+            part = slots[at : at + ROWS]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(own[part])], ["slot", "n"])
+
+    slots = classes.select("words").mapInArrow(counted, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
     found = slots.toArrow()  # at most WIDTH rows
     counters = np.zeros(WIDTH, np.int64)
-    counters[found["slot"].to_numpy()] = found["count"].to_numpy()
+    counters[found["slot"].to_numpy()] = found["n"].to_numpy()
     return counters
 
 
 def prefix_postings(classes: DataFrame, counters, limit: float) -> DataFrame:
-    """A row per class and word of its prefix: ``token``, ``class``, ``place`` of the word and ``size`` of the set."""
+    """A row per class and word of its prefix: ``token``, ``class``, ``place`` of the word, ``size`` of the set and two sketches
+    ``near`` and ``far`` of the words after it. A task gives each class once, however many copies it reads."""
 
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: set[bytes] = set()
         for batch in batches:
-            sets = batch.column("words")
-            sizes = sets.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            tokens = sets.flatten().to_numpy(zero_copy_only=False)
-            seen = counters.value[tokens & (WIDTH - 1)]
-            row = np.repeat(np.arange(len(sizes)), sizes)
-            order = np.lexsort((tokens, seen, row))
-            place = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            prefix = sizes - np.ceil(limit * sizes - SLACK).astype(np.int64) + 1
-            keep = (place < prefix[row]) & (seen[order] > 1)
-            taken = row[keep]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(tokens[order][keep]), batch.column("class").take(pa.array(taken)), pa.array(place[keep]), pa.array(sizes[taken])],
-                ["token", "class", "place", "size"],
-            )
+            own = batch.column("class").to_pylist()
+            first = [i for i, c in enumerate(own) if c not in told and not told.add(c)]
+            for at in range(0, len(first), SLICE):
+                part = batch.take(pa.array(first[at : at + SLICE]))
+                sets = part.column("words")
+                sizes = sets.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                tokens = sets.flatten().to_numpy(zero_copy_only=False)
+                seen = np.minimum(counters.value[tokens & (WIDTH - 1)], (1 << 31) - 1)
+                row = np.repeat(np.arange(len(sizes)), sizes)
+                order = np.argsort(tokens)
+                order = order[np.argsort(row[order] << 31 | seen[order], kind="stable")]
+                tokens, seen = tokens[order], seen[order]
+                ends = np.cumsum(sizes)
+                place = np.arange(len(tokens)) - np.repeat(ends - sizes, sizes)
+                prefix = sizes - np.ceil(limit * sizes - SLACK).astype(np.int64) + 1
+                keep = (place < prefix[row]) & (seen > 1)
+                after = []
+                for shift in (26, 32):
+                    run = np.bitwise_xor.accumulate(np.int64(1) << (tokens >> shift & 63))
+                    after.append((run[ends - 1][row] ^ run)[keep] if len(tokens) else run)
+                taken = row[keep]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(tokens[keep]), part.column("class").take(pa.array(taken)), pa.array(place[keep]), pa.array(sizes[taken]), *map(pa.array, after)],
+                    ["token", "class", "place", "size", "near", "far"],
+                )
 
     held = classes.where("words IS NOT NULL").select("class", "words")
-    return held.mapInArrow(postings, "token bigint, class binary, place bigint, size bigint")
+    return held.mapInArrow(postings, "token bigint, class binary, place bigint, size bigint, near bigint, far bigint")
+
+
+def _meetings(rows: dict[str, np.ndarray], limit: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of the pairs of each cell that may pass the limit; rows are sorted by cell, then by falling ``slack``.
+
+    Rows are compared with the one ``step`` rows on, for growing steps, as long as the two lie in one cell and have slack left.
+    """
+    cell, size, place, slack = rows["cell"], rows["size"], rows["place"], rows["slack"]
+    at = np.arange(len(cell) - 1)
+    step = 1
+    while len(at):
+        on = at + step
+        going = (cell[at] == cell[on]) & (slack[at] + slack[on] >= -SLACK)
+        at, on = at[going], on[going]
+        # the words before the shared one are different if it is the first they share, so few differences are left after it
+        left = slack[at] + slack[on] + SLACK
+        a, b = at, on
+        for sketch in ("near", "far"):
+            few = np.bitwise_count((rows[sketch][a] ^ rows[sketch][b]).view(np.uint64)) <= left
+            a, b, left = a[few], b[few], left[few]
+        m, n = size[a], size[b]
+        fit = np.minimum(m, n) >= np.maximum(m, n) * limit - SLACK
+        fit &= np.minimum(m - place[a], n - place[b]) >= np.ceil(limit / (1 + limit) * (m + n) - SLACK)
+        fit &= (rows["tile"][a] != rows["tile"][b]) | rows["same"][a]
+        yield a[fit], b[fit]
+        step += 1
+        at = at[: np.searchsorted(at, len(cell) - step)]
+
+
+def _cell_pairs(limit: float):
+    """Sorted cells of postings to pairs ``a`` < ``b`` of classes, several times those that meet in several cells."""
+    names = ["token", "low", "high", "tile", "place", "size", "near", "far"]
+
+    def of_cells(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        rows = {c: table.column(c).to_numpy() for c in names}
+        classes = table.column("class").combine_chunks()
+        halves = np.frombuffer(b"".join(classes.to_pylist()), ">u8").reshape(-1, 2).astype(np.uint64)
+        new = np.ones(len(halves), bool)
+        for c in ("token", "low", "high"):
+            new[1:] &= rows[c][1:] == rows[c][:-1]
+        new[0] = False
+        copies = new.copy()
+        copies[1:] &= (halves[1:] == halves[:-1]).all(axis=1)  # other tasks told of the class, too
+        rows["cell"] = np.cumsum(~new)
+        kept = np.flatnonzero(~copies)
+        rows = {c: x[kept] for c, x in rows.items()}
+        rows["slack"] = (1 - limit) / (1 + limit) * rows["size"] - rows["place"]
+        rows["same"] = rows["low"] == rows["high"]
+        high, low = halves[kept].T
+        for a, b in _meetings(rows, limit):
+            if len(a):
+                turned = (high[a] > high[b]) | ((high[a] == high[b]) & (low[a] > low[b]))
+                a, b = np.where(turned, b, a), np.where(turned, a, b)
+                yield pa.RecordBatch.from_arrays([classes.take(pa.array(kept[a])), classes.take(pa.array(kept[b]))], ["a", "b"])
+
+    def together(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in found:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= ROWS:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, n = [], 0
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            held = pa.Table.from_batches([*(held.to_batches() if held is not None else []), batch])
+            if held.num_rows < ROWS:
+                continue
+            last = np.ones(held.num_rows, bool)
+            for c in ("token", "low", "high"):
+                values = held.column(c).to_numpy()
+                last &= values == values[-1]
+            cut = int(np.argmax(last))  # the last cell may go on
+            if cut:
+                yield from together(of_cells(held.slice(0, cut)))
+                held = held.slice(cut)
+        if held is not None and held.num_rows:
+            yield from together(of_cells(held))
+
+    return run
 
 
 def candidate_pairs(postings: DataFrame, limit: float) -> DataFrame:
-    """Pairs ``a`` < ``b`` of classes that share a prefix word and may pass the limit by their sizes and its places."""
+    """Pairs ``a`` < ``b`` of classes that share a prefix word and may pass the limit by sizes, its places and what follows it."""
     # stored, so that its size is known: one row or less per TILE postings, which Spark broadcasts within its limit
     hot = materialise(postings.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("tiles")).where("tiles > 1"), "hot-words")
     tiled = postings.join(hot, "token", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
     tiled = tiled.withColumn("tile", F.pmod(F.xxhash64("class"), "tiles"))
     tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
     cells = tiled.select(
-        "token", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "class", "place", "size"
-    )
-    a, b = cells.alias("a"), cells.alias("b")
-    at = lambda side, c: F.col(f"{side}.{c}")
-    rest = F.least(at("a", "size") - at("a", "place"), at("b", "size") - at("b", "place"))
-    meet = (
-        (at("a", "token") == at("b", "token")) & (at("a", "low") == at("b", "low")) & (at("a", "high") == at("b", "high"))
-        & (at("a", "class") < at("b", "class"))
-        & ((at("a", "tile") != at("b", "tile")) | (at("a", "low") == at("a", "high")))
-        & (F.least(at("a", "size"), at("b", "size")) >= F.greatest(at("a", "size"), at("b", "size")) * F.lit(limit) - SLACK)
-        & (rest >= least_overlap(at("a", "size"), at("b", "size"), limit))
+        "token", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "class", "place", "size", "near", "far"
     )
-    return a.join(b, meet).select(at("a", "class").alias("a"), at("b", "class").alias("b")).distinct()
+    parts = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slack = F.lit((1 - limit) / (1 + limit)) * F.col("size") - F.col("place")
+    dealt = cells.repartition(parts, "token", "low", "high").sortWithinPartitions("token", "low", "high", slack.desc(), "class")
+    return dealt.mapInArrow(_cell_pairs(limit), "a binary, b binary").distinct()
 
 
 def sketched(classes: DataFrame) -> DataFrame:
@@ -154,20 +285,53 @@ def not_too_different(pairs: DataFrame, classes: DataFrame, limit: float) -> Dat
     return both.where(bits <= most).select("a", "b")
 
 
+def _homes(pairs: DataFrame) -> DataFrame:
+    """``class`` and ``block`` of the classes in pairs: those of one smallest neighbour, in blocks of about ``BLOCK`` classes."""
+    ends = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    leads = materialise(ends.groupBy(F.col("a").alias("class")).agg(F.least(F.min("b"), F.first("a")).alias("lead")), "similar-leads")
+    parts = leads.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
+    part = F.pmod(F.xxhash64("class"), F.col("parts"))
+    return leads.join(parts, "lead").select("class", F.xxhash64("lead", part).alias("block"))
+
+
+def _above(limit: float):
+    """The sets and the pairs of a cell to its pairs above the limit, with their ``common`` and all words."""
+
+    def run(members: pa.Table, pairs: pa.Table) -> pa.Table:
+        lists = members.column("words").combine_chunks()
+        flat = lists.flatten().to_numpy(zero_copy_only=False)
+        ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)).tolist()
+        sets = {c: flat[x:y] for c, x, y in zip(members.column("class").to_pylist(), [0, *ends], ends)}
+        common, union = np.zeros(pairs.num_rows, np.int64), np.zeros(pairs.num_rows, np.int64)
+        for i, (a, b) in enumerate(zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist())):
+            both = np.concatenate((sets[a], sets[b]))
+            both.sort()  # the words of a set are different, so equal neighbours are common ones
+            common[i] = np.count_nonzero(both[1:] == both[:-1])
+            union[i] = len(both) - common[i]
+        found = pairs.select(["a", "b"]).append_column("common", pa.array(common)).append_column("union", pa.array(union))
+        return found.filter(pa.array(common / union > limit))
+
+    return run
+
+
+def verified(pairs: DataFrame, classes: DataFrame, limit: float) -> DataFrame:
+    """The ``pairs`` above the limit, by their whole sets. A set goes once to every cell of two blocks that its pairs fall
+    to, not to every pair: near copies of one another share blocks."""
+    sets = materialise(_of_pairs(classes, pairs).groupBy("class").agg(F.any_value("words").alias("words")), "similar-sets")
+    placed = _with_ends(pairs, materialise(_homes(pairs), "similar-blocks"), "block")
+    cells = materialise(placed.select("a", "b", F.xxhash64(F.least("block_a", "block_b"), F.greatest("block_a", "block_b")).alias("cell")), "similar-cells")
+    held = cells.select(F.col("cell").alias("own"), F.explode(F.array("a", "b")).alias("class")).distinct().join(sets, "class")
+    return held.groupBy("own").cogroup(cells.groupBy("cell")).applyInArrow(_above(limit), "a binary, b binary, common bigint, union bigint")
+
+
 def class_links(classes: DataFrame, limit: float = config.NEAR_DUPLICATE_JACCARD) -> DataFrame:
     """Pairs ``a`` < ``b`` of classes whose word sets overlap by more than the limit, with their ``common`` and all words."""
     counters = classes.sparkSession.sparkContext.broadcast(rarity_table(classes))
-    found = prefix_postings(classes, counters, limit).dropDuplicates(["token", "class"])
-    postings = materialise(found, "prefix-words")
+    postings = materialise(prefix_postings(classes, counters, limit), "prefix-words")
     counters.destroy()
     candidates = materialise(candidate_pairs(postings, limit), "similar-candidates")
     pairs = materialise(not_too_different(candidates, classes, limit), "similar-pairs")
-    sets = materialise(_of_pairs(classes, pairs).groupBy("class").agg(F.any_value("words").alias("words")), "similar-sets")
-    common = F.size(F.array_intersect("words_a", "words_b"))
-    counted = _with_ends(pairs, sets, "words").select(
-        "a", "b", common.alias("common"), (F.size("words_a") + F.size("words_b") - common).alias("union")
-    )
-    return counted.where(F.col("common") / F.col("union") > limit)
+    return verified(pairs, classes, limit)
 
 
 def near_duplicates(

@@ -79,3 +79,37 @@ def test_one_text_over_and_over(spark):
     docs = spark.range(5000).selectExpr("id AS doc_id", "repeat(concat('word', id % 2, ' other '), 20) AS text")
     rows = st.near_duplicates(docs).groupBy("class_id", "n_links", "first_id").count().collect()
     assert sorted(tuple(r) for r in rows) == [(0, 2499, 0, 2500), (1, 2499, 1, 2500)]
+
+
+def test_pairs_are_ruled_out_where_they_meet(spark, monkeypatch):
+    """Texts that share one word each with many others, and nothing else, are no candidates; near copies are."""
+    monkeypatch.setattr(st, "TILE", 50)
+    rng = random.Random(3)
+    texts = [" ".join([f"hub{k % 2}", *(f"u{rng.randrange(4000)}" for _ in range(60))]) for k in range(300)]
+    texts += [t.rsplit(" ", 2)[0] + " other end" for t in texts[:20]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    classes = st.text_classes(docs, "doc_id", "text", 50).cache()
+    counters = spark.sparkContext.broadcast(st.rarity_table(classes))
+    found = st.candidate_pairs(st.prefix_postings(classes, counters, 0.7), 0.7).collect()
+    names = {bytes(r["class"]): r.id for r in classes.collect()}
+    assert {(min(p), max(p)) for p in ((names[bytes(r.a)], names[bytes(r.b)]) for r in found)} >= {(k, 300 + k) for k in range(20)}
+    assert len(found) < 100
+
+
+def test_sets_meet_by_blocks(spark, monkeypatch):
+    """Near copies of one text: each set is sent once to a cell of blocks, however many pairs it is in."""
+    monkeypatch.setattr(st, "BLOCK", 16)
+    base = [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join([*base, f"x{k}", f"y{k}"])) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    classes = st.text_classes(docs, "doc_id", "text", 50).cache()
+    links = st.class_links(classes)
+    assert [links.count(), links.agg({"common": "min"}).first()[0], links.agg({"union": "max"}).first()[0]] == [780, 60, 64]
+    assert st._homes(links).select("block").distinct().count() == 3
+
+
+def test_white_space_and_case_of_words(spark):
+    words = [f"Wörd{k}" for k in range(20)]
+    rows = [(1, "\u3000".join(words)), (2, "\x85\u2009".join(w.lower() for w in words)), (3, "\x1c".join(words)), (4, "\t\r\n".join(words) + "\xa0")]
+    found = {r.doc_id: (r.class_id, r.n_links) for r in st.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {1: (1, 2), 2: (1, 2), 3: (3, 0), 4: (1, 2)}
