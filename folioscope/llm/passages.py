@@ -23,6 +23,8 @@ one document alone stays; an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import DataFrame, Window as W, functions as F
 
@@ -42,6 +44,10 @@ PACK = 1 << 20
 #: more differ in at most (16 + 16) / 9, so in 3; of 5 classes at least two are equal. Pairs of equal classes are looked up.
 CLASSES = 5
 _FIRST, _SECOND = np.triu_indices(CLASSES, 1)
+#: Texts are hashed together up to about so many bytes.
+STRETCH = 1 << 15
+#: Every byte, with the white space of ASCII as a space.
+_SPACED = np.array([ord(" ") if chr(c).isspace() and c < 128 else c for c in range(256)], np.uint8)
 _SALTS = [np.uint64(0xD6E8FEB86659FD93 * (band + 1) % (1 << 64)) for band in range(BANDS)]
 
 
@@ -62,27 +68,60 @@ def anchors(order: np.ndarray, reach: int = REACH) -> np.ndarray:
     return np.flatnonzero(_sliding(np.concatenate([pad, low, pad]), reach, np.maximum) == order)
 
 
+def hashed(texts) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(word hashes, edges of each text in them) of the texts in order, in stretches of about ``STRETCH`` bytes."""
+
+    def together():
+        starts, _, hashes = word_hashes(np.concatenate(held))
+        return hashes, np.searchsorted(starts, np.cumsum([0, *map(len, held)]))
+
+    held, size = [], 0
+    for text in texts:
+        lower = (text or "").lower()
+        held.append(_SPACED[np.frombuffer(f" {lower} ".encode(), np.uint8)] if lower.isascii() else spaced(lower))
+        size += len(held[-1])
+        if size >= STRETCH:
+            yield together()
+            held, size = [], 0
+    if held:
+        yield together()
+
+
 def paragraphs(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(keys, contents, first words, ends) of a text's paragraphs, one per key and content."""
-    hashes = word_hashes(spaced(text.lower()))[2] if text else np.empty(0, np.uint64)
-    n = len(hashes)
-    if not n:
-        none = np.empty(0, np.int64)
-        return none, none, none, none
-    shingles = shingle_hashes(hashes, SHINGLE)
-    span = min(PASSAGE, n)
-    forward, backward = _power_tables(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(hashes * forward[:n], out=sums[1:])
+    return paragraphs_of(*next(hashed([text])))[1:]
+
+
+def paragraphs_of(hashes: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the text, key, content, first word, end) of the paragraphs of texts, one per text, key and content."""
+    sizes = np.diff(edges)
+    if not len(hashes):
+        return (np.empty(0, np.int64),) * 5
+    shingles = np.zeros(len(hashes), np.uint64)
+    whole = shingle_hashes(hashes, SHINGLE)
+    shingles[: len(whole)] = whole  # those that reach into the next text are not used
+    for i in np.flatnonzero((sizes > 0) & (sizes < SHINGLE)):
+        shingles[edges[i]] = shingle_hashes(hashes[edges[i] : edges[i + 1]], SHINGLE)[0]
+    counts = np.where(sizes > 0, np.maximum(1, sizes - SHINGLE + 1), 0)
+    forward, backward = _power_tables(len(hashes) + 1)
+    sums = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes * forward[: len(hashes)], out=sums[1:])
+    filled = np.flatnonzero(counts)
     out = []
     for band in range(BANDS):
         order = mix(shingles + _SALTS[band])
-        at = anchors(order)
-        start = np.minimum(at, n - span)
+        found = [anchors(order[e : e + n]) + e for e, n in zip(edges[filled].tolist(), counts[filled].tolist())]
+        owner, at = np.repeat(filled, [len(x) for x in found]), np.concatenate(found)
+        span = np.minimum(PASSAGE, sizes)[owner]
+        start = np.minimum(at, edges[owner + 1] - span)
         content = mix((sums[start + span] - sums[start]) * backward[start])
         key = mix(order[at] ^ np.uint64(band))
-        _, first = np.unique(key ^ mix(content), return_index=True)
-        out.append((key[first].view(np.int64), content[first].view(np.int64), start[first], start[first] + span))
+        pair = key ^ mix(content)
+        by = np.lexsort((pair, owner))
+        new = np.append(True, (pair[by][1:] != pair[by][:-1]) | (owner[by][1:] != owner[by][:-1]))
+        first = by[new]
+        start, span, owner = start[first], span[first], owner[first]
+        out.append((owner, key[first].view(np.int64), content[first].view(np.int64), start - edges[owner], start - edges[owner] + span))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
@@ -100,9 +139,13 @@ def located(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            ids, parts = batch.column("doc_id").to_pylist(), [paragraphs(t) for t in batch.column("text").to_pylist()]
-            owner = np.repeat(np.array(ids, np.int64), [len(p[0]) for p in parts])
-            keys, contents, first, last = (np.concatenate([p[i] for p in parts] or [np.empty(0, np.int64)]) for i in range(4))
+            ids, at = batch.column("doc_id").to_numpy(), 0
+            parts = []
+            for hashes, edges in hashed(batch.column("text").to_pylist()):
+                number, *rest = paragraphs_of(hashes, edges)
+                parts.append((ids[at + number], *rest))
+                at += len(edges) - 1
+            owner, keys, contents, first, last = (np.concatenate([np.empty(0, np.int64), *(p[i] for p in parts)]) for i in range(5))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys), pa.array(contents), pa.array(owner), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))],
                 names=["key", "content", "doc_id", "first", "last"],
@@ -207,7 +250,7 @@ def content_shingles(docs: DataFrame, places: DataFrame) -> DataFrame:
         for batch in batches:
             found, sets = [], []
             for text, own in zip(batch["text"], batch["wanted"]):
-                hashes = word_hashes(spaced(text.lower()))[2]
+                hashes = next(hashed([text]))[0]
                 content, first, last = (np.array([w[c] for w in own]) for c in ("content", "first", "last"))
                 here = np.flatnonzero(last <= len(hashes))
                 here = here[contents_of(hashes, first[here], last[here]) == content[here]]  # else another text of the id is meant
@@ -251,11 +294,13 @@ def repeated(docs: DataFrame, tile: int = TILE) -> DataFrame:
     )
 
 
-def windows(text: str | None) -> np.ndarray:
-    """The contents of the ``PASSAGE`` words from every position; none of a shorter text, which is a paragraph."""
-    hashes = word_hashes(spaced(text.lower()))[2] if text else np.empty(0, np.uint64)
-    first = np.arange(max(0, len(hashes) - PASSAGE + 1))
-    return contents_of(hashes, first, first + PASSAGE) if len(first) else np.empty(0, np.int64)
+def windows(texts) -> Iterator[np.ndarray]:
+    """For each text, the contents of the ``PASSAGE`` words from every position; none of a shorter text, which is a paragraph."""
+    for hashes, edges in hashed(texts):
+        first = np.arange(max(0, len(hashes) - PASSAGE + 1))
+        found = contents_of(hashes, first, first + PASSAGE) if len(first) else np.empty(0, np.int64)
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            yield found[a : max(a, b - PASSAGE + 1)]
 
 
 def packed_windows(docs: DataFrame) -> DataFrame:
@@ -284,10 +329,9 @@ def packed_windows(docs: DataFrame) -> DataFrame:
     def run(batches):
         held, n = [], 0
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id"), batch.column("text")):
-                content = windows(text.as_py())
+            for doc_id, content in zip(batch.column("doc_id").to_pylist(), windows(batch.column("text").to_pylist())):
                 if len(content):
-                    held.append((doc_id.as_py(), content))
+                    held.append((doc_id, content))
                     n += len(content)
                 if n >= PACK:
                     yield pack(held)

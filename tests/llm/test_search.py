@@ -473,3 +473,21 @@ def test_every_equal_window_of_twenty_words_is_found(spark):
     for d in range(80):  # similar paragraphs may take more words along
         taken = {w for s in found[d]["spans"].split(",") if s for w in range(*map(int, s.split(":")))}
         assert taken >= covered[d] and found[d]["removed_words"] == len(taken)
+
+
+def test_texts_are_hashed_together(monkeypatch):
+    """Texts are hashed by stretches, not one by one, with the paragraphs and windows that each has alone."""
+    texts = [None, "", "One", "a b  c\x1cd", " \t", "é " * 30, *(" ".join(f"w{k * i % 97}" for k in range(i)) for i in range(1, 120))]
+    alone = [[x.tolist() for x in passages.paragraphs(t)] for t in texts]
+    single = [next(passages.windows([t])).tolist() for t in texts]
+    calls, plain = [], passages.word_hashes
+    monkeypatch.setattr(passages, "word_hashes", lambda data: calls.append(1) or plain(data))
+    assert [w.tolist() for w in passages.windows(texts)] == single
+    at, found = 0, [[[], [], [], []] for _ in texts]
+    for hashes, edges in passages.hashed(texts):
+        for number, *row in zip(*(x.tolist() for x in passages.paragraphs_of(hashes, edges))):
+            for column, value in zip(found[at + number], row):
+                column.append(value)
+        at += len(edges) - 1
+    assert found == alone
+    assert len(calls) <= 4
