@@ -48,7 +48,8 @@ def cut_pieces(
 def explode_pieces(rows: DataFrame) -> DataFrame:
     """One row per chunk: ``chunk_no`` (1-based), ``char_pos``, ``chunk``, ``n_chunks``."""
     keep = [c for c in rows.columns if c != "_pieces"]
-    listed = rows.select(*keep, F.size("_pieces").alias("n_chunks"), F.posexplode("_pieces").alias("_i", "_p"))
+    sized = rows.select(*keep, "_pieces", F.size("_pieces").alias("n_chunks"))  # first, or every chunk's row carries all of them
+    listed = sized.select(*keep, "n_chunks", F.posexplode("_pieces").alias("_i", "_p"))
     return listed.select(
         *keep, "n_chunks", (F.col("_i") + 1).alias("chunk_no"), "_p.char_pos", "_p.chunk"
     )

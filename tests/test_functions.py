@@ -196,3 +196,33 @@ def test_greedy_dedupe(spark):
     df = spark.createDataFrame([Row(p=[Row(n=i, text=t) for i, t in enumerate(texts)])], "p array<struct<n: int, text: string>>")
     assert [r["n"] for r in df.select(keep_dissimilar(F.col("p"), None)).first()[0]] == [0, 4, 5, 6]
     assert len(df.select(keep_dissimilar(F.col("p"), 2)).first()[0]) == 2
+
+
+def test_text_counts_are_those_of_the_tokens(spark):
+    """Split by bytes or by pattern: the same tokens, vectors and terms; rows with other characters in the same batch."""
+    import pyarrow as pa
+
+    from folioscope.functions import counting, hooks, text as tx
+    from folioscope.operators import keyword
+
+    chars = [chr(c) for c in [*range(1, 0x250), *range(0x2010, 0x2028)]]
+    texts = [*(f"a{c}b {c}{c} É{c}" for c in chars), "", "  ", "x", "x x ß.,y", "漢字 a b", "ΑΣ Ω's áb", "\U0001f600 a"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").withColumn("k", tx.tokens(F.col("t")))
+    rows = rows.withColumn("c", counting.text_counts(F.col("t"), 64)).withColumns({"v": hooks.hashed_embedding(F.col("k")), "p": keyword.term_counts(F.col("k"))})
+    found = rows.select("*", F.lower("t").alias("l"), F.lower("t").rlike(counting.NOT_PLAIN).alias("other")).orderBy("i").collect()
+    for r in found:
+        assert (r["c"]["n_tokens"], r["c"]["vector"], sorted(r["c"]["terms"])) == (len(r["k"]), r["v"], sorted(r["p"])), r["t"]
+    plain = [r for r in found if not r["other"]]
+    sizes, words = counting.split_plain(pa.array([r["l"] for r in plain]))
+    assert sizes.tolist() == [len(r["k"]) for r in plain] and words.to_pylist() == [w for r in plain for w in r["k"]]
+    assert len(chars) - 30 < len(plain) < len(texts)
+
+
+def test_chunks_do_not_carry_all_pieces_of_their_text(spark):
+    from folioscope.operators import chunks
+
+    rows = chunks.cut_chunks(spark.createDataFrame([(1, "One. " * 600)], "chapter_id long, text string"))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    project = next(line for line in plan.splitlines() if "Project" in line)
+    assert "Generate" in plan and "_pieces" not in project  # their number is taken below the generator
+    assert {r["n_chunks"] for r in rows.collect()} == {rows.count()}
