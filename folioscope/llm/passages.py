@@ -68,6 +68,21 @@ def anchors(order: np.ndarray, reach: int = REACH) -> np.ndarray:
     return np.flatnonzero(_sliding(np.concatenate([pad, low, pad]), reach, np.maximum) == order)
 
 
+def anchors_of(order: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """``anchors`` of every stretch of ``counts`` values (one or more) from ``starts``, in order, all looked for together."""
+    owner = np.repeat(np.arange(len(starts)), counts)
+    at = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+    values = order[starts[owner] + at]
+    edges = np.cumsum(counts) - counts
+    found = values == np.minimum.reduceat(values, edges)[owner]  # all there is to see in a short one
+    if len(values) >= REACH:
+        low = _sliding(values, REACH, np.minimum)
+        low[(at > counts[owner] - REACH)[: len(low)]] = 0  # would reach into the next one
+        pad = np.zeros(REACH - 1, order.dtype)
+        found |= _sliding(np.concatenate([pad, low, pad]), REACH, np.maximum) == values
+    return starts[owner[found]] + at[found]
+
+
 def hashed(texts) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(word hashes, edges of each text in them) of the texts in order, in stretches of about ``STRETCH`` bytes."""
 
@@ -110,8 +125,8 @@ def paragraphs_of(hashes: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np
     out = []
     for band in range(BANDS):
         order = mix(shingles + _SALTS[band])
-        found = [anchors(order[e : e + n]) + e for e, n in zip(edges[filled].tolist(), counts[filled].tolist())]
-        owner, at = np.repeat(filled, [len(x) for x in found]), np.concatenate(found)
+        at = anchors_of(order, edges[filled], counts[filled])
+        owner = np.searchsorted(edges, at, "right") - 1
         span = np.minimum(PASSAGE, sizes)[owner]
         start = np.minimum(at, edges[owner + 1] - span)
         content = mix((sums[start + span] - sums[start]) * backward[start])
@@ -242,28 +257,46 @@ def _tail(values: np.ndarray) -> int:
 
 def content_shingles(docs: DataFrame, places: DataFrame) -> DataFrame:
     """(content, shingles): the sorted shingle hashes, repeats included, of the paragraphs at ``places`` (content, doc_id, first, last)."""
-    import pandas as pd
+    import pyarrow as pa
 
     wanted = places.groupBy("doc_id").agg(F.collect_list(F.struct("content", "first", "last")).alias("wanted"))
 
     def run(batches):
         for batch in batches:
-            found, sets = [], []
-            for text, own in zip(batch["text"], batch["wanted"]):
-                hashes = next(hashed([text]))[0]
-                content, first, last = (np.array([w[c] for w in own]) for c in ("content", "first", "last"))
-                here = np.flatnonzero(last <= len(hashes))
-                here = here[contents_of(hashes, first[here], last[here]) == content[here]]  # else another text of the id is meant
-                shingles = shingle_hashes(hashes, SHINGLE)
-                for length in np.unique((last - first)[here]):
-                    chosen = here[(last - first)[here] == length]
-                    table = np.sort(shingles[first[chosen][:, None] + np.arange(max(1, length - SHINGLE + 1))], axis=1)
-                    found += content[chosen].tolist()
-                    sets += [row.tobytes() for row in table]
-            yield pd.DataFrame({"content": np.array(found, np.int64), "shingles": sets})
+            lists, at, seen = batch.column("wanted"), 0, 0
+            sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+            columns = [c.to_numpy(zero_copy_only=False) for c in lists.flatten().flatten()]
+            for hashes, edges in hashed(batch.column("text").to_pylist()):
+                own = sizes[at : at + len(edges) - 1]
+                now = seen + int(own.sum())
+                for found, sets in shingles_at(hashes, edges, own, *(c[seen:now] for c in columns)):
+                    width = sets.shape[1] * sets.itemsize
+                    ends = pa.py_buffer(np.arange(0, (len(sets) + 1) * width, width, dtype=np.int32))
+                    binary = pa.Array.from_buffers(pa.binary(), len(sets), [None, ends, pa.py_buffer(sets)])
+                    yield pa.RecordBatch.from_arrays([pa.array(found), binary], names=["content", "shingles"])
+                at, seen = at + len(own), now
 
     rows = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), "text").where("text is not null").join(wanted, "doc_id").select("text", "wanted")
-    return rows.mapInPandas(run, "content long, shingles binary").dropDuplicates(["content"])
+    return rows.mapInArrow(run, "content long, shingles binary").dropDuplicates(["content"])
+
+
+def shingles_at(
+    hashes: np.ndarray, edges: np.ndarray, sizes: np.ndarray, content: np.ndarray, first: np.ndarray, last: np.ndarray
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(contents, their sorted shingle hashes, a row each) of the places of texts, ``sizes`` of each, by their number of words;
+    without those that hold other words, as another text of the id is meant."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    here = np.flatnonzero(last <= np.diff(edges)[owner])
+    first, last, content = first[here] + edges[owner[here]], last[here] + edges[owner[here]], content[here]
+    same = contents_of(hashes, first, last) == content
+    first, last, content = first[same], last[same], content[same]
+    shingles = shingle_hashes(hashes, SHINGLE)
+    for length in np.unique(last - first):
+        chosen = last - first == length
+        if length < SHINGLE:
+            yield content[chosen], np.stack([shingle_hashes(hashes[a : a + length], SHINGLE) for a in first[chosen]])
+        else:
+            yield content[chosen], np.sort(shingles[first[chosen][:, None] + np.arange(length - SHINGLE + 1)], axis=1)
 
 
 def repeated(docs: DataFrame, tile: int = TILE) -> DataFrame:

@@ -491,3 +491,40 @@ def test_texts_are_hashed_together(monkeypatch):
         at += len(edges) - 1
     assert found == alone
     assert len(calls) <= 4
+
+
+def test_shingles_of_places_are_taken_by_stretches(spark, monkeypatch):
+    """The places of many texts get the sets that each has alone, from texts hashed together; another text of the id gives none."""
+    texts = ["one two three", "w x y z v", *(prose(800 + k, 3 + 7 * k) for k in range(40)), "é a b c d e f"]
+    places, want = [], {}
+    for doc, text in enumerate(texts):
+        hashes = passages.word_hashes(passages.spaced(text.lower()))[2]
+        for _, content, first, last in zip(*(x.tolist() for x in passages.paragraphs(text))):
+            places.append((content, doc, first, last))
+            want[content] = np.sort(passages.shingle_hashes(hashes[first:last], 5)).tobytes()
+    docs = documents(spark, [*enumerate(texts), (0, "one two four more"), (1, "w")]).coalesce(1)
+    got = passages.content_shingles(docs, spark.createDataFrame(places, "content long, doc_id long, first int, last int"))
+    assert {r["content"]: bytes(r["shingles"]) for r in got.collect()} == want
+    calls, plain = [], passages.contents_of
+    monkeypatch.setattr(passages, "contents_of", lambda *a: calls.append(1) or plain(*a))
+    by_text = [[p for p in places if p[1] == doc] for doc in range(len(texts))]
+    content, first, last = (np.array([p[i] for own in by_text for p in own]) for i in (0, 2, 3))
+    sizes, seen, at, found = np.array([len(own) for own in by_text]), 0, 0, {}
+    for hashes, edges in passages.hashed(texts):
+        own = sizes[at : at + len(edges) - 1]
+        part = slice(seen, seen + own.sum())
+        for contents, sets in passages.shingles_at(hashes, edges, own, content[part], first[part], last[part]):
+            found |= {c: row.tobytes() for c, row in zip(contents.tolist(), sets)}
+        at, seen = at + len(own), part.stop
+    assert found == want and len(calls) < 5
+
+
+def test_anchors_are_looked_for_together():
+    rng = np.random.default_rng(7)
+    for top in (5, 1 << 40):
+        counts = np.array([1, 2, 30, 31, 32, 61, 62, 500, 3, 31, 90])
+        starts = np.cumsum(counts + 4) - counts
+        order = rng.integers(0, top, starts[-1] + counts[-1] + 9).astype(np.uint64)
+        for pick in (slice(None), slice(0, 1), slice(0, 3)):
+            want = [passages.anchors(order[a : a + n]) + a for a, n in zip(starts[pick], counts[pick])]
+            assert passages.anchors_of(order, starts[pick], counts[pick]).tolist() == np.concatenate(want).tolist()
