@@ -170,8 +170,9 @@ def located(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "key long, content long, doc_id long, first int, last int")
 
 
-def _stems(sets: list[bytes], shards: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(for every row and pair of classes a number, equal where the shard and both classes are equal; the rows' sets)."""
+def _stems(sets: list[bytes], shards: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(for every row and pair of classes a number, equal where the shard and both classes are equal; the rows' sets in one,
+    and where each begins and ends)."""
     owner = np.repeat(np.arange(len(sets)), [len(s) // 8 for s in sets])
     flat = np.frombuffer(b"".join(sets), np.uint64)
     new = np.ones(len(flat), bool)
@@ -185,7 +186,7 @@ def _stems(sets: list[bytes], shards: np.ndarray) -> tuple[np.ndarray, list[np.n
     numbers = (sums[ends[1:]] - sums[ends[:-1]]).reshape(-1, CLASSES)
     numbers = mix(numbers + mix(shards.view(np.uint64))[:, None] + np.arange(CLASSES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     numbers = mix(numbers[:, _FIRST] + mix(numbers[:, _SECOND]))
-    return numbers, np.split(flat, np.searchsorted(owner, np.arange(1, len(sets))))
+    return numbers, flat, np.searchsorted(owner, np.arange(len(sets) + 1))
 
 
 def similar_links(batches):
@@ -228,7 +229,7 @@ def similar_links(batches):
         """Links of whole shards, given as columns."""
         if not len(shards):
             return
-        numbers, own = _stems(sets, shards)
+        numbers, flat, bounds = _stems(sets, shards)
         _, where, times = np.unique(numbers, return_inverse=True, return_counts=True)
         shared = times[where.reshape(numbers.shape)] > 1
         at, rows = None, []
@@ -236,7 +237,7 @@ def similar_links(batches):
             if shards[i] != at:
                 yield from linked(rows)
                 at, rows = shards[i], []
-            rows.append((int(contents[i]), bool(guests[i]), frozenset(own[i].tolist()), numbers[i][shared[i]].tolist()))
+            rows.append((int(contents[i]), bool(guests[i]), frozenset(flat[bounds[i] : bounds[i + 1]].tolist()), numbers[i][shared[i]].tolist()))
         yield from linked(rows)
 
     held: list = [np.empty(0, np.int64), np.empty(0, bool), np.empty(0, np.int64), []]  # the last shard may go on
