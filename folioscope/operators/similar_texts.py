@@ -3,24 +3,28 @@
 Texts of equal word sets form a class, and classes are compared, so copies are never paired with one another. Candidates
 come from prefix filtering: the words of a class are ordered from rare to common, and two sets above the limit share one of
 their first few words. In the word that a pair shares first, all words before it are different, so few differences are left for
-those after it: a posting carries a sketch of these, and sizes, places and sketches rule most pairs out where they meet, in numpy.
-Longer sketches rule out most others; the rest is verified on the whole sets. Nothing is left out: order and filters decide
-about cost only.
+those after it: sizes, places and sketches of the words after it rule most pairs out where they meet, in numpy. Longer sketches
+rule out most others there; the rest is verified on the whole sets. Nothing is left out: order and filters decide about cost only.
+
+Sets are stored once, in blocks of about ``WORDS`` words and of similar sizes. A task reads the blocks
+that it joins from the shared storage, lets them meet by their prefix words and verifies the pairs that are left, so the disk holds every set
+once and the pairs found, never a posting, a pair that only shares words, or a set for each of its pairs.
 
 Rarity is read from a table of ``WIDTH`` counters by word hash, a fixed size whatever the vocabulary. A counter of one proves
-that a word occurs in one text only, so it finds no partner. Words shared by many classes are cut into tiles of about ``TILE``
-classes, joined tile by tile.
+that a word occurs in one text only, so it finds no partner.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections import defaultdict
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from folioscope import config
 from folioscope.functions.hashing import word_hashes
@@ -30,15 +34,24 @@ from folioscope.sources.storage import materialise
 
 #: Counters of the rarity table, a power of two.
 WIDTH = 1 << 20
-#: Classes sharing a word that one task compares at a time.
-TILE = 2000
-#: Bits of a sketch, a multiple of 64, and sketches that a task makes at a time.
+#: Pairs that a task compares at a time.
+TILE = 1 << 17
+#: Fewest bits of a sketch, a power of two of 64 or more, and sketches of that size that a task makes at a time.
 BITS = 1024
 SLICE = 1000
-#: Classes of one block, whose sets a task holds two blocks of at a time.
-BLOCK = 1000
-#: Postings that a task compares at a time, beyond those of one cell, and pairs that it gives at once.
+#: Classes and words of one block, blocks that a task holds at a time, and those it then joins with them one by one.
+BLOCK = 1 << 15
+WORDS = 3 << 19
+JOINED = 3
+PARTNERS = 8
+#: Meetings of which a task makes pairs at a time, beyond those of one set.
+MEETINGS = 1 << 22
+#: Counters that a task gives, and pairs that it verifies, at once.
 ROWS = 1 << 16
+#: Steps of slack in the key of a posting, which has 16 bits for them.
+STEPS = 65_000
+#: Hashed words repeat in a block, though in far more than the usual megabyte of values.
+PACKED = {"compression": "zstd", "parquet.dictionary.page.size": str(1 << 24)}
 #: White space beyond ASCII, and every byte with that of ASCII as a space.
 _WIDE_SPACE = re.compile(f"[{SPACE_CHARS[6:]}]")
 _SPACED = np.arange(256, dtype=np.uint8)
@@ -48,7 +61,7 @@ SLACK = 1e-9
 
 
 def text_classes(docs: DataFrame, id_column: str, text_column: str, min_chars: int) -> DataFrame:
-    """``id``, ``class`` and, for texts that can be near-duplicates, the ``words`` as sorted 64-bit hashes.
+    """``id``, ``class`` and, for texts that can be near-duplicates, the ``words`` as sorted 64-bit hashes and their ``size``.
 
     Texts longer than ``min_chars`` belong to the class of their word set, shorter ones to that of their own characters.
     Null and blank texts have no class.
@@ -69,18 +82,15 @@ def text_classes(docs: DataFrame, id_column: str, text_column: str, min_chars: i
                 named = b"t " + text.encode() if own is None else b"w " + own.tobytes()
                 names.append(hashlib.md5(named).digest() if text else None)
                 sets.append(own)
-            ends = pa.array(np.cumsum([0, *(0 if own is None else len(own) for own in sets)]).astype(np.int32))
+            sizes = [None if own is None else len(own) for own in sets]
+            ends = pa.array(np.cumsum([0, *(n or 0 for n in sizes)]).astype(np.int32))
             flat = pa.array(np.concatenate([np.empty(0, np.int64), *(own for own in sets if own is not None)]))
             lists = pa.ListArray.from_arrays(ends, flat, mask=pa.array([own is None for own in sets], pa.bool_()))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(names, pa.binary()), lists], ["id", "class", "words"])
+            columns = [batch.column("id"), pa.array(names, pa.binary()), lists, pa.array(sizes, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "class", "words", "size"])
 
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), F.lower(text_column).alias("lower"))
-    return rows.mapInArrow(classes, f"id {rows.schema['id'].dataType.simpleString()}, class binary, words array<bigint>")
-
-
-def least_overlap(n: Column, m: Column, limit: float) -> Column:
-    """Fewest common words of two sets of these sizes above the limit."""
-    return F.ceil(F.lit(limit / (1 + limit)) * (n + m) - SLACK)
+    return rows.mapInArrow(classes, f"id {rows.schema['id'].dataType.simpleString()}, class binary, words array<bigint>, size int")
 
 
 def rarity_table(classes: DataFrame) -> np.ndarray:
@@ -103,186 +113,284 @@ def rarity_table(classes: DataFrame) -> np.ndarray:
     return counters
 
 
+def size_blocks(classes: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The blocks of classes by size: smallest size of each range, number of its first block, and blocks that classes of the
+    range are dealt to. A range holds about ``WORDS`` words or ``BLOCK`` classes; a size with more of them is a range of its own."""
+    sizes = classes.where("words IS NOT NULL").groupBy("class").agg(F.any_value("size").alias("size"))
+    ranges, held = [], None  # least size, blocks
+    for size, n in sorted(tuple(r) for r in sizes.groupBy("size").count().collect()):  # fewer sizes than the root of twice the words
+        blocks = max(size * n / WORDS, n / BLOCK)
+        if held is None or held + blocks > 1:
+            ranges.append([size, 0.0])
+            held = 0.0
+        held += blocks
+        ranges[-1][1] = held
+    least = np.array([r[0] for r in ranges] or [0], np.int64)
+    parts = np.ceil([max(r[1], 1e-9) for r in ranges] or [1]).astype(np.int64)
+    return least, np.cumsum(parts) - parts, parts
+
+
 def prefix_postings(classes: DataFrame, counters, limit: float) -> DataFrame:
-    """A row per class and word of its prefix: ``token``, ``class``, ``place`` of the word, ``size`` of the set and two sketches
-    ``near`` and ``far`` of the words after it. A task gives each class once, however many copies it reads."""
+    """A row per class, stored by ``block``: ``class``, ``size``, its ``words`` from rare to common, how many of them are those of its
+    ``prefix``, and how many come first that no other text has (``lone``). A task gives each class once, however many copies it reads."""
+    least, first, parts = size_blocks(classes)
+    slice_size = SLICE
 
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told: set[bytes] = set()
         for batch in batches:
             own = batch.column("class").to_pylist()
-            first = [i for i, c in enumerate(own) if c not in told and not told.add(c)]
-            for at in range(0, len(first), SLICE):
-                part = batch.take(pa.array(first[at : at + SLICE]))
+            new = [i for i, c in enumerate(own) if c not in told and not told.add(c)]
+            for at in range(0, len(new), slice_size):
+                part = batch.take(pa.array(new[at : at + slice_size]))
                 sets = part.column("words")
                 sizes = sets.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
                 tokens = sets.flatten().to_numpy(zero_copy_only=False)
                 seen = np.minimum(counters.value[tokens & (WIDTH - 1)], (1 << 31) - 1)
                 row = np.repeat(np.arange(len(sizes)), sizes)
-                order = np.argsort(tokens)
-                order = order[np.argsort(row[order] << 31 | seen[order], kind="stable")]
-                tokens, seen = tokens[order], seen[order]
+                order = np.argsort(row << 31 | seen, kind="stable")  # words of a set are sorted, so equal counts leave them in that order
                 ends = np.cumsum(sizes)
-                place = np.arange(len(tokens)) - np.repeat(ends - sizes, sizes)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(tokens[order]))
                 prefix = sizes - np.ceil(limit * sizes - SLACK).astype(np.int64) + 1
-                keep = (place < prefix[row]) & (seen > 1)
-                after = []
-                for shift in (26, 32):
-                    run = np.bitwise_xor.accumulate(np.int64(1) << (tokens >> shift & 63))
-                    after.append((run[ends - 1][row] ^ run)[keep] if len(tokens) else run)
-                taken = row[keep]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(tokens[keep]), part.column("class").take(pa.array(taken)), pa.array(place[keep]), pa.array(sizes[taken]), *map(pa.array, after)],
-                    ["token", "class", "place", "size", "near", "far"],
-                )
+                lone = np.bincount(row, seen <= 1, len(sizes)).astype(np.int64)
+                band = np.searchsorted(least, sizes, side="right") - 1
+                halves = np.frombuffer(b"".join(part.column("class").to_pylist()), "<u8").reshape(-1, 2)
+                block = first[band] + (halves[:, 0] % parts[band].astype(np.uint64)).astype(np.int64)
+                numbers = [pa.array(x.astype(np.int32)) for x in (sizes, prefix, lone, block)]
+                yield pa.RecordBatch.from_arrays([part.column("class"), lists, *numbers], ["class", "words", "size", "prefix", "lone", "block"])
 
     held = classes.where("words IS NOT NULL").select("class", "words")
-    return held.mapInArrow(postings, "token bigint, class binary, place bigint, size bigint, near bigint, far bigint")
-
+    rows = held.mapInArrow(postings, "class binary, words array<bigint>, size int, prefix int, lone int, block int")
+    dealt = rows.repartition(int(parts.sum()), "block").dropDuplicates(["block", "class"])
+    return materialise(dealt, "prefix-words", by="block", **PACKED)
 
-def _meetings(rows: dict[str, np.ndarray], limit: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row numbers of the pairs of each cell that may pass the limit; rows are sorted by cell, then by falling ``slack``.
 
-    Rows are compared with the one ``step`` rows on, for growing steps, as long as the two lie in one cell and have slack left.
-    """
-    cell, size, place, slack = rows["cell"], rows["size"], rows["place"], rows["slack"]
-    at = np.arange(len(cell) - 1)
-    step = 1
-    while len(at):
-        on = at + step
-        going = (cell[at] == cell[on]) & (slack[at] + slack[on] >= -SLACK)
-        at, on = at[going], on[going]
-        # the words before the shared one are different if it is the first they share, so few differences are left after it
-        left = slack[at] + slack[on] + SLACK
-        a, b = at, on
-        for sketch in ("near", "far"):
-            few = np.bitwise_count((rows[sketch][a] ^ rows[sketch][b]).view(np.uint64)) <= left
-            a, b, left = a[few], b[few], left[few]
-        m, n = size[a], size[b]
-        fit = np.minimum(m, n) >= np.maximum(m, n) * limit - SLACK
-        fit &= np.minimum(m - place[a], n - place[b]) >= np.ceil(limit / (1 + limit) * (m + n) - SLACK)
-        fit &= (rows["tile"][a] != rows["tile"][b]) | rows["same"][a]
-        yield a[fit], b[fit]
-        step += 1
-        at = at[: np.searchsorted(at, len(cell) - step)]
-
-
-def _cell_pairs(limit: float):
-    """Sorted cells of postings to pairs ``a`` < ``b`` of classes, several times those that meet in several cells."""
-    names = ["token", "low", "high", "tile", "place", "size", "near", "far"]
-
-    def of_cells(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        rows = {c: table.column(c).to_numpy() for c in names}
-        classes = table.column("class").combine_chunks()
-        halves = np.frombuffer(b"".join(classes.to_pylist()), ">u8").reshape(-1, 2).astype(np.uint64)
-        new = np.ones(len(halves), bool)
-        for c in ("token", "low", "high"):
-            new[1:] &= rows[c][1:] == rows[c][:-1]
-        new[0] = False
-        copies = new.copy()
-        copies[1:] &= (halves[1:] == halves[:-1]).all(axis=1)  # other tasks told of the class, too
-        rows["cell"] = np.cumsum(~new)
-        kept = np.flatnonzero(~copies)
-        rows = {c: x[kept] for c, x in rows.items()}
-        rows["slack"] = (1 - limit) / (1 + limit) * rows["size"] - rows["place"]
-        rows["same"] = rows["low"] == rows["high"]
-        high, low = halves[kept].T
-        for a, b in _meetings(rows, limit):
-            if len(a):
-                turned = (high[a] > high[b]) | ((high[a] == high[b]) & (low[a] > low[b]))
-                a, b = np.where(turned, b, a), np.where(turned, a, b)
-                yield pa.RecordBatch.from_arrays([classes.take(pa.array(kept[a])), classes.take(pa.array(kept[b]))], ["a", "b"])
-
-    def together(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for batch in found:
-            held.append(batch)
-            n += batch.num_rows
-            if n >= ROWS:
-                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-                held, n = [], 0
-        if held:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+def _block_files(postings: DataFrame) -> dict[int, list[str]]:
+    """Files of each block of stored postings."""
+    found = defaultdict(list)
+    for file in sorted(postings.inputFiles()):
+        found[int(re.search(r"/block=(\d+)/[^/]*$", unquote(file)).group(1))].append(file)
+    return dict(found)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            held = pa.Table.from_batches([*(held.to_batches() if held is not None else []), batch])
-            if held.num_rows < ROWS:
-                continue
-            last = np.ones(held.num_rows, bool)
-            for c in ("token", "low", "high"):
-                values = held.column(c).to_numpy()
-                last &= values == values[-1]
-            cut = int(np.argmax(last))  # the last cell may go on
-            if cut:
-                yield from together(of_cells(held.slice(0, cut)))
-                held = held.slice(cut)
-        if held is not None and held.num_rows:
-            yield from together(of_cells(held))
-
-    return run
-
-
-def candidate_pairs(postings: DataFrame, limit: float) -> DataFrame:
-    """Pairs ``a`` < ``b`` of classes that share a prefix word and may pass the limit by sizes, its places and what follows it."""
-    # stored, so that its size is known: one row or less per TILE postings, which Spark broadcasts within its limit
-    hot = materialise(postings.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("tiles")).where("tiles > 1"), "hot-words")
-    tiled = postings.join(hot, "token", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
-    tiled = tiled.withColumn("tile", F.pmod(F.xxhash64("class"), "tiles"))
-    tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
-    cells = tiled.select(
-        "token", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "class", "place", "size", "near", "far"
-    )
-    parts = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    slack = F.lit((1 - limit) / (1 + limit)) * F.col("size") - F.col("place")
-    dealt = cells.repartition(parts, "token", "low", "high").sortWithinPartitions("token", "low", "high", slack.desc(), "class")
-    return dealt.mapInArrow(_cell_pairs(limit), "a binary, b binary").distinct()
 
+def _read_block(files: list[str]) -> pa.Table:
+    """Rows of a block, from the shared storage."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
 
-def sketched(classes: DataFrame) -> DataFrame:
-    """``class``, ``size`` of its set and ``sketch``: bit i is set if an odd number of the set's words fall to it.
+    tables = []
+    for file in files:
+        store, path = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", file))
+        with store.open_input_file(path) as source:
+            tables.append(pq.ParquetFile(source).read(["class", "words", "prefix", "lone"]))
+    return pa.concat_tables(tables).combine_chunks()
 
-    Two sketches differ in no more bits than their sets differ in words.
-    """
 
-    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                sets = part.column("words")
-                sizes = sets.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-                tokens = sets.flatten().to_numpy(zero_copy_only=False)
-                bit = np.repeat(np.arange(len(sizes)), sizes) * BITS + (tokens >> 20 & BITS - 1)
-                odd = (np.bincount(bit, minlength=len(sizes) * BITS) & 1).astype(np.uint8)
-                flat = pa.array(np.packbits(odd).view(np.int64))
-                ends = pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * (BITS // 64))
-                yield pa.RecordBatch.from_arrays([part.column("class"), pa.array(sizes), pa.ListArray.from_arrays(ends, flat)], ["class", "size", "sketch"])
-
-    return classes.select("class", "words").mapInArrow(sketches, "class binary, size bigint, sketch array<bigint>")
+class _Block:
+    """The sets of a block: ``words`` of all, ``size``, ``start`` (number of the first word) and name of each.
 
+    Their prefix words are postings: row of the ``set``, ``place`` of the word, ``slack`` left there, two sketches ``near`` and
+    ``far`` of the words after it. They are sorted by ``key``: 48 bits of the word, then falling slack in ``STEPS`` steps.
+    """
 
-def _of_pairs(classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The rows of ``classes`` that stand in pairs."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    return classes.where("words IS NOT NULL").select("class", "words").join(wanted, "class", "left_semi")
+    def __init__(self, table: pa.Table, limit: float):
+        lists = table.column("words").combine_chunks()
+        self.names = table.column("class").combine_chunks()
+        self.size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        self.words = lists.flatten().to_numpy(zero_copy_only=False)
+        self.start = np.cumsum(self.size) - self.size
+        self.sketches: dict[int, np.ndarray] = {}
+        prefix, lone = (table.column(c).to_numpy().astype(np.int64) for c in ("prefix", "lone"))
+        n = np.maximum(prefix - lone, 0)
+        row = np.repeat(np.arange(len(n)), n)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n - lone, n)
+        slack = (1 - limit) / (1 + limit) * self.size[row] - place
+        self.top = slack.max(initial=0.0)
+        self.span = max(self.top - slack.min(initial=0.0), 1.0)
+        key = (self.words[self.start[row] + place] & -(1 << 16)) | self.steps(-slack)
+        order = np.argsort(key)
+        self.key, self.set, self.place, self.slack = key[order], row[order].astype(np.int32), place[order].astype(np.int32), slack[order]
+        at = self.start[self.set] + self.place
+        self.near, self.far = (self._after(shift, at) for shift in (26, 32))
+
+    def _after(self, shift: int, at: np.ndarray) -> np.ndarray:
+        run = self.words >> shift
+        run &= 63
+        np.left_shift(1, run, out=run)
+        np.bitwise_xor.accumulate(run, out=run)
+        return (run[self.start + self.size - 1][self.set] ^ run[at]).view(np.uint64)
+
+    def steps(self, least: np.ndarray) -> np.ndarray:
+        """Steps from the top that hold all slack of ``-least`` or more."""
+        return np.clip(np.floor((self.top + least) / self.span * STEPS), -1, (1 << 16) - 1).astype(np.int64)
+
+
+def _meetings(a: _Block, b: _Block, limit: float, tile: int, meetings: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows ``i`` of ``a`` and ``j`` of ``b`` that meet in a prefix word and may pass the limit, with ``i`` < ``j`` in one block.
+
+    About ``tile`` pairs are compared at a time. A pair comes once, though it may meet in several words: all that sets of ``b`` meet
+    are looked at together, for as many sets as have about ``meetings``.
+    """
+    word = b.key & -(1 << 16)
+    first = np.searchsorted(a.key, word)
+    taken = np.flatnonzero(first < len(a.key))
+    taken = taken[a.key[first[taken]] & -(1 << 16) == word[taken]]
+    steps = a.steps(b.slack[taken] + SLACK)  # slack left in all
+    taken, steps = taken[steps >= 0], steps[steps >= 0]
+    first = first[taken]
+    n = np.searchsorted(a.key, word[taken] + steps, side="right") - first
+    taken, first, n = (x[n > 0] for x in (taken, first, n))
+    part = (np.cumsum(np.bincount(b.set[taken], n, len(b.size))) // meetings)[b.set[taken]]
+    for some in np.unique(part):
+        whole, begin, each = (x[part == some] for x in (taken, first, n))
+        ends = np.cumsum(each)
+        at = done = 0
+        pairs = []
+        while at < len(ends):
+            to = max(at + 1, int(np.searchsorted(ends, done + tile, side="right")))
+            y = np.repeat(whole[at:to], each[at:to])
+            x = np.arange(done, ends[to - 1]) + np.repeat(begin[at:to] - (ends[at:to] - each[at:to]), each[at:to])
+            at, done = to, ends[to - 1]
+            # the words before the shared one are different if it is the first they share, so few differences are left after it
+            left = a.slack[x] + b.slack[y] + SLACK
+            for one, other in ((a.near, b.near), (a.far, b.far)):
+                few = np.bitwise_count(one[x] ^ other[y]) <= left
+                x, y, left = x[few], y[few], left[few]
+            i, j = a.set[x].astype(np.int64), b.set[y].astype(np.int64)
+            m, k = a.size[i], b.size[j]
+            fit = np.minimum(m, k) >= np.maximum(m, k) * limit - SLACK
+            fit &= np.minimum(m - a.place[x], k - b.place[y]) >= np.ceil(limit / (1 + limit) * (m + k) - SLACK)
+            fit &= (i < j) | (a is not b)
+            pairs.append(j[fit] * len(a.size) + i[fit])
+        j, i = np.divmod(np.unique(np.concatenate(pairs)), len(a.size))
+        yield i, j
+
+
+def sketched(block: _Block, bits: int) -> np.ndarray:
+    """A sketch of each set, of which bit i is set if an odd number of the set's words fall to it, as rows of 64-bit numbers.
 
+    Two sketches differ in no more bits than their sets differ in words.
+    """
+    if bits not in block.sketches:
+        made = block.sketches[bits] = np.empty((len(block.size), bits // 64), np.uint64)
+        step = max(1, SLICE * BITS // bits)
+        for at in range(0, len(made), step):
+            sizes = block.size[at : at + step]
+            words = block.words[block.start[at] : block.start[at] + sizes.sum()]
+            bit = np.repeat(np.arange(len(sizes)), sizes) * bits + (words >> 20 & bits - 1)
+            odd = (np.bincount(bit, minlength=len(sizes) * bits) & 1).astype(np.uint8)
+            made[at : at + step] = np.packbits(odd).view(np.uint64).reshape(len(sizes), -1)
+    return block.sketches[bits]
+
+
+def sketch_bits(a: _Block, b: _Block, least: int) -> int:
+    """Bits of sketches that tell sets of these blocks apart: those of unrelated sets differ in about half of them, so they must not be
+    fewer than the words of a set."""
+    return max(least, 1 << int(max(a.size.max(), b.size.max()) - 1).bit_length())
+
+
+def not_too_different(a: _Block, b: _Block, i: np.ndarray, j: np.ndarray, limit: float, bits: int) -> np.ndarray:
+    """Which of the pairs of rows have sketches that differ in no more bits than two sets above the limit may differ in words."""
+    both = a.size[i] + b.size[j]
+    most = both - 2 * np.ceil(limit / (1 + limit) * both - SLACK)
+    return np.bitwise_count(sketched(a, bits)[i] ^ sketched(b, bits)[j]).sum(axis=1, dtype=np.int64) <= most
+
+
+def _common(a: _Block, b: _Block, i: np.ndarray, j: np.ndarray, most: int) -> np.ndarray:
+    """Common words of the pairs of rows, by their whole sets; about ``most`` words of ``a`` are looked up at once. Rows ``j`` are sorted."""
+    common = np.zeros(len(j), np.int64)
+    empty = ~np.arange(1 << 18)  # no number is its own slot's
+    table = empty.copy()
+    cuts = np.flatnonzero(np.diff(j, prepend=-1, append=-1)).tolist()
+    for at, to in zip(cuts[:-1], cuts[1:]):
+        own = b.words[b.start[j[at]] : b.start[j[at]] + b.size[j[at]]]
+        slots = own & len(table) - 1
+        table[slots] = own
+        rest = np.sort(own[table[slots] != own])  # another word has their slot
+        sizes = a.size[i[at:to]]
+        parts = np.cumsum(sizes) // most
+        for part in np.split(np.arange(to - at), np.flatnonzero(np.diff(parts)) + 1):
+            ends = np.cumsum(sizes[part])
+            starts = ends - sizes[part]
+            words = a.words[np.arange(ends[-1]) + np.repeat(a.start[i[at:to][part]] - starts, sizes[part])]
+            hit = table[words & len(table) - 1] == words
+            if len(rest):
+                hit |= rest[np.minimum(np.searchsorted(rest, words), len(rest) - 1)] == words
+            common[at + part] = np.add.reduceat(hit, starts, dtype=np.int64)
+        table[slots] = empty[slots]
+    return common
+
+
+def verified(a: _Block, b: _Block, i: np.ndarray, j: np.ndarray, limit: float, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which of the pairs of rows are above the limit by their whole sets, and the common and all words of the pairs."""
+    common = _common(a, b, i, j, most)
+    union = a.size[i] + b.size[j] - common
+    return common / union > limit, common, union
+
+
+def _turned(a: pa.Array, b: pa.Array) -> list[pa.Array]:
+    """The names of pairs, the smaller one first."""
+    import pyarrow.compute as pc
+
+    less = pc.less(a, b)
+    return [pc.if_else(less, a, b), pc.if_else(less, b, a)]
+
+
+def _cells(held: list[tuple[int, int, int]], limit: float, tasks: int) -> list[tuple[list[int], list[int]]]:
+    """Up to ``JOINED`` blocks and those to join with them, the same ones and later ones of sizes that fit, by (least size, largest size,
+    block); fewer than ``PARTNERS`` at a time if that makes about ``tasks`` of them."""
+    held = sorted(held)
+    joined = max(1, min(JOINED, -(-len(held) // tasks)))
+    groups = []
+    for at in range(0, len(held), joined):
+        largest = max(most for _, most, _ in held[at : at + joined])
+        groups.append((at, [k for k in range(at, len(held)) if k < at + joined or largest >= held[k][0] * limit - SLACK]))
+    share = max(1, min(PARTNERS, -(-sum(len(others) for _, others in groups) // tasks)))
+    number = lambda places: [held[k][2] for k in places]
+    return [
+        (number(range(at, min(at + joined, len(held)))), number(others[k : k + share])) for at, others in groups for k in range(0, len(others), share)
+    ]
+
+
+def candidate_pairs(postings: DataFrame, limit: float, verify: bool = False) -> DataFrame:
+    """Pairs ``a`` < ``b`` of classes that share a prefix word and may pass the limit by sizes, its places, what follows it and their sketches.
+
+    With ``verify``, those above the limit, with their ``common`` and all words (``union``). A pair comes once.
+    """
+    spark = postings.sparkSession
+    files = _block_files(postings)
+    sizes = postings.groupBy("block").agg(F.min("size").alias("least"), F.max("size").alias("most"))
+    cells = _cells([tuple(r) for r in sizes.select("least", "most", "block").collect()], limit, 4 * spark.sparkContext.defaultParallelism)
+    tile, bits, meetings = TILE, BITS, MEETINGS
+    columns = ["a", "b", *(["common", "union"] if verify else [])]
+
+    def passed(a: _Block, b: _Block) -> Iterator[pa.RecordBatch]:
+        wide = sketch_bits(a, b, bits)
+        step = max(1, ROWS * bits // wide)
+        for whole_i, whole_j in _meetings(a, b, limit, tile, meetings):
+            for at in range(0, len(whole_i), step):
+                i, j = whole_i[at : at + step], whole_j[at : at + step]
+                few = not_too_different(a, b, i, j, limit, wide)
+                i, j, counts = i[few], j[few], ()
+                if verify and len(i):
+                    above, *counts = verified(a, b, i, j, limit, tile)
+                    i, j, counts = i[above], j[above], [pa.array(n[above]) for n in counts]
+                if len(i):
+                    names = _turned(a.names.take(pa.array(i)), b.names.take(pa.array(j)))
+                    yield pa.RecordBatch.from_arrays([*names, *counts], columns)
 
-def _with_ends(pairs: DataFrame, facts: DataFrame, *columns: str) -> DataFrame:
-    """Pairs with columns of both their classes, named after the side."""
-    side = lambda c: facts.select(F.col("class").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in columns])
-    return pairs.join(side("a"), "a").join(side("b"), "b")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in (n for batch in batches for n in batch.column("id").to_pylist()):
+            joined, others = cells[cell]
+            held = [_Block(_read_block(files[block]), limit) for block in joined]
+            for block in others:
+                at = joined.index(block) if block in joined else len(joined)
+                b = held[at] if block in joined else _Block(_read_block(files[block]), limit)
+                for a in held[: at + 1]:  # earlier ones and itself, or all
+                    yield from passed(a, b)
 
-
-def not_too_different(pairs: DataFrame, classes: DataFrame, limit: float) -> DataFrame:
-    """Pairs whose sketches differ in no more bits than two sets above the limit may differ in words."""
-    found = sketched(_of_pairs(classes, pairs)).groupBy("class").agg(F.any_value("size").alias("size"), F.any_value("sketch").alias("sketch"))
-    both = _with_ends(pairs, materialise(found, "similar-sketches"), "size", "sketch")
-    bits = F.aggregate(
-        F.zip_with("sketch_a", "sketch_b", lambda x, y: x.bitwiseXOR(y)), F.lit(0), lambda n, x: n + F.bit_count(x).cast("int")
-    )
-    most = F.col("size_a") + F.col("size_b") - 2 * least_overlap(F.col("size_a"), F.col("size_b"), limit)
-    return both.where(bits <= most).select("a", "b")
+    numbers = spark.range(0, len(cells), 1, max(1, len(cells)))
+    return numbers.mapInArrow(run, "a binary, b binary" + (", common bigint, union bigint" if verify else ""))
 
 
 def _homes(pairs: DataFrame) -> DataFrame:
@@ -294,44 +402,12 @@ def _homes(pairs: DataFrame) -> DataFrame:
     return leads.join(parts, "lead").select("class", F.xxhash64("lead", part).alias("block"))
 
 
-def _above(limit: float):
-    """The sets and the pairs of a cell to its pairs above the limit, with their ``common`` and all words."""
-
-    def run(members: pa.Table, pairs: pa.Table) -> pa.Table:
-        lists = members.column("words").combine_chunks()
-        flat = lists.flatten().to_numpy(zero_copy_only=False)
-        ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)).tolist()
-        sets = {c: flat[x:y] for c, x, y in zip(members.column("class").to_pylist(), [0, *ends], ends)}
-        common, union = np.zeros(pairs.num_rows, np.int64), np.zeros(pairs.num_rows, np.int64)
-        for i, (a, b) in enumerate(zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist())):
-            both = np.concatenate((sets[a], sets[b]))
-            both.sort()  # the words of a set are different, so equal neighbours are common ones
-            common[i] = np.count_nonzero(both[1:] == both[:-1])
-            union[i] = len(both) - common[i]
-        found = pairs.select(["a", "b"]).append_column("common", pa.array(common)).append_column("union", pa.array(union))
-        return found.filter(pa.array(common / union > limit))
-
-    return run
-
-
-def verified(pairs: DataFrame, classes: DataFrame, limit: float) -> DataFrame:
-    """The ``pairs`` above the limit, by their whole sets. A set goes once to every cell of two blocks that its pairs fall
-    to, not to every pair: near copies of one another share blocks."""
-    sets = materialise(_of_pairs(classes, pairs).groupBy("class").agg(F.any_value("words").alias("words")), "similar-sets")
-    placed = _with_ends(pairs, materialise(_homes(pairs), "similar-blocks"), "block")
-    cells = materialise(placed.select("a", "b", F.xxhash64(F.least("block_a", "block_b"), F.greatest("block_a", "block_b")).alias("cell")), "similar-cells")
-    held = cells.select(F.col("cell").alias("own"), F.explode(F.array("a", "b")).alias("class")).distinct().join(sets, "class")
-    return held.groupBy("own").cogroup(cells.groupBy("cell")).applyInArrow(_above(limit), "a binary, b binary, common bigint, union bigint")
-
-
 def class_links(classes: DataFrame, limit: float = config.NEAR_DUPLICATE_JACCARD) -> DataFrame:
     """Pairs ``a`` < ``b`` of classes whose word sets overlap by more than the limit, with their ``common`` and all words."""
     counters = classes.sparkSession.sparkContext.broadcast(rarity_table(classes))
-    postings = materialise(prefix_postings(classes, counters, limit), "prefix-words")
+    postings = prefix_postings(classes, counters, limit)
     counters.destroy()
-    candidates = materialise(candidate_pairs(postings, limit), "similar-candidates")
-    pairs = materialise(not_too_different(candidates, classes, limit), "similar-pairs")
-    return verified(pairs, classes, limit)
+    return candidate_pairs(postings, limit, verify=True)
 
 
 def near_duplicates(
@@ -350,8 +426,8 @@ def near_duplicates(
     themselves as first. Repeated ids are rows of their own; other columns are not touched. Words are compared by 64-bit hashes.
     """
     # read once: a filter on the words would otherwise be pushed down and cut every text again
-    rows = materialise(text_classes(docs, id_column, text_column, min_chars), "text-classes")
-    links = materialise(class_links(rows, limit), "similar-classes")
+    rows = materialise(text_classes(docs, id_column, text_column, min_chars), "text-classes", **PACKED)
+    links = materialise(class_links(rows, limit).select("a", "b"), "similar-classes")
     members = rows.where("class IS NOT NULL").groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
     ends = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     beyond = (

@@ -9,16 +9,16 @@ from pyspark.sql import DataFrame, SparkSession, types as T
 from folioscope.session import ensure_checkpoint_dir
 
 
-def materialise(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+def materialise(df: DataFrame, name: str, by: str | None = None, **options: str) -> DataFrame:
     """Write an intermediate table to the shared checkpoint folder, in folders by column ``by``, read it back.
 
-    Later branches then scan only the columns they need instead of repeating the
+    ``options`` are those of the writer. Later branches then scan only the columns they need instead of repeating the
     work, and a lost executor costs nothing but its own tasks.
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     writer = df.write if by is None else df.write.partitionBy(by)
-    writer.parquet(path)
+    writer.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

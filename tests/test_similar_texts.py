@@ -113,3 +113,44 @@ def test_white_space_and_case_of_words(spark):
     rows = [(1, "\u3000".join(words)), (2, "\x85\u2009".join(w.lower() for w in words)), (3, "\x1c".join(words)), (4, "\t\r\n".join(words) + "\xa0")]
     found = {r.doc_id: (r.class_id, r.n_links) for r in st.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert found == {1: (1, 2), 2: (1, 2), 3: (3, 0), 4: (1, 2)}
+
+
+def test_small_blocks_equal_all_pairs(spark, monkeypatch):
+    """Sets dealt to many blocks, also several of one size, with few meetings looked at together."""
+    for name, value in {"BLOCK": 9, "WORDS": 150, "JOINED": 2, "PARTNERS": 3, "MEETINGS": 20, "TILE": 16, "ROWS": 5}.items():
+        monkeypatch.setattr(st, name, value)
+    rows = list(enumerate([*EDGES, *near_copies(11, 90), *(" ".join(f"s{(k + n) % 23}" for n in range(20)) for k in range(23))]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = sorted((r.doc_id, r.n_links, r.first_id) for r in st.near_duplicates(docs).collect())
+    assert found == brute(rows, 0.7, 50)
+
+
+def test_stored_rows_grow_with_texts_and_links(spark, monkeypatch):
+    """Nothing is stored per word, or per pair that only shares words."""
+    stored = []
+
+    def kept(df, name, *args, **options):
+        found = materialise(df, name, *args, **options)
+        stored.append((name, found.count()))
+        return found
+
+    materialise = st.materialise
+    monkeypatch.setattr(st, "materialise", kept)
+    rng = random.Random(5)
+    texts = [" ".join([f"hub{k % 2}", *(f"u{rng.randrange(900)}" for _ in range(60))]) for k in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sum(r.n_links for r in st.near_duplicates(docs).collect()) == 0
+    assert max(n for _, n in stored) <= len(texts), stored
+
+
+def test_long_sets_are_told_apart_by_sketches(spark):
+    """Unrelated sets of more words than a sketch once had bits are no candidates, though they share rare words."""
+    rng = random.Random(9)
+    texts = [" ".join({f"u{rng.randrange(9000)}" for _ in range(3000)}) for _ in range(24)]
+    texts.append(texts[0].rsplit(" ", 40)[0])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    classes = st.text_classes(docs, "doc_id", "text", 50).cache()
+    counters = spark.sparkContext.broadcast(st.rarity_table(classes))
+    found = st.candidate_pairs(st.prefix_postings(classes, counters, 0.7), 0.7).collect()
+    names = {bytes(r["class"]): r.id for r in classes.collect()}
+    assert [tuple(sorted((names[bytes(r.a)], names[bytes(r.b)]))) for r in found] == [(0, 24)]
