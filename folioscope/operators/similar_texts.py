@@ -7,8 +7,8 @@ those after it: sizes, places and sketches of the words after it rule most pairs
 rule out most others there; the rest is verified on the whole sets. Nothing is left out: order and filters decide about cost only.
 
 Sets are stored once, in blocks of about ``WORDS`` words and of similar sizes. A task reads the blocks
-that it joins from the shared storage, lets them meet by their prefix words and verifies the pairs that are left, so the disk holds every set
-once and the pairs found, never a posting, a pair that only shares words, or a set for each of its pairs.
+that it joins from the shared storage, lets them meet by their prefix words, verifies the pairs that are left and sums up what each class is
+linked to. So the disk holds every set once and a row per class and task, never a posting, a pair, or a set for each of its pairs.
 
 Rarity is read from a table of ``WIDTH`` counters by word hash, a fixed size whatever the vocabulary. A counter of one proves
 that a word occurs in one text only, so it finds no partner.
@@ -24,6 +24,7 @@ from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from folioscope import config
@@ -132,15 +133,20 @@ def size_blocks(classes: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 def prefix_postings(classes: DataFrame, counters, limit: float) -> DataFrame:
     """A row per class, stored by ``block``: ``class``, ``size``, its ``words`` from rare to common, how many of them are those of its
-    ``prefix``, and how many come first that no other text has (``lone``). A task gives each class once, however many copies it reads."""
-    least, first, parts = size_blocks(classes)
+    ``prefix``, how many come first that no other text has (``lone``), its texts (``n``) and their smallest id (``first``). A task gives the
+    words of each class once, however many copies it reads."""
+    least, lowest, parts = size_blocks(classes)
+    kind = classes.schema["id"].dataType.simpleString()
     slice_size = SLICE
 
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        told: set[bytes] = set()
+        told: dict[bytes, int] = {}
         for batch in batches:
             own = batch.column("class").to_pylist()
-            new = [i for i, c in enumerate(own) if c not in told and not told.add(c)]
+            new, copies = [], []
+            for i, c in enumerate(own):
+                (copies if c in told else new).append(i)
+                told.setdefault(c, -1)
             for at in range(0, len(new), slice_size):
                 part = batch.take(pa.array(new[at : at + slice_size]))
                 sets = part.column("words")
@@ -155,13 +161,21 @@ def prefix_postings(classes: DataFrame, counters, limit: float) -> DataFrame:
                 lone = np.bincount(row, seen <= 1, len(sizes)).astype(np.int64)
                 band = np.searchsorted(least, sizes, side="right") - 1
                 halves = np.frombuffer(b"".join(part.column("class").to_pylist()), "<u8").reshape(-1, 2)
-                block = first[band] + (halves[:, 0] % parts[band].astype(np.uint64)).astype(np.int64)
+                block = lowest[band] + (halves[:, 0] % parts[band].astype(np.uint64)).astype(np.int64)
                 numbers = [pa.array(x.astype(np.int32)) for x in (sizes, prefix, lone, block)]
-                yield pa.RecordBatch.from_arrays([part.column("class"), lists, *numbers], ["class", "words", "size", "prefix", "lone", "block"])
-
-    held = classes.where("words IS NOT NULL").select("class", "words")
-    rows = held.mapInArrow(postings, "class binary, words array<bigint>, size int, prefix int, lone int, block int")
-    dealt = rows.repartition(int(parts.sum()), "block").dropDuplicates(["block", "class"])
+                told.update(zip(part.column("class").to_pylist(), block.tolist()))
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("class"), lists, *numbers], names)
+            if copies:
+                part = batch.take(pa.array(copies))
+                blocks = pa.array([told[own[i]] for i in copies], pa.int32())
+                nulls = [pa.nulls(len(copies), t) for t in (pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.int32())]
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("class"), *nulls, blocks], names)
+
+    names = ["id", "class", "words", "size", "prefix", "lone", "block"]
+    held = classes.where("words IS NOT NULL").select("id", "class", "words")
+    rows = held.mapInArrow(postings, f"id {kind}, class binary, words array<bigint>, size int, prefix int, lone int, block int")
+    once = [F.any_value(c, F.lit(True)).alias(c) for c in ("words", "size", "prefix", "lone")]
+    dealt = rows.repartition(int(parts.sum()), "block").groupBy("block", "class").agg(*once, F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
     return materialise(dealt, "prefix-words", by="block", **PACKED)
 
 
@@ -182,12 +196,13 @@ def _read_block(files: list[str]) -> pa.Table:
     for file in files:
         store, path = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", file))
         with store.open_input_file(path) as source:
-            tables.append(pq.ParquetFile(source).read(["class", "words", "prefix", "lone"]))
+            tables.append(pq.ParquetFile(source).read(["class", "words", "prefix", "lone", "n", "first"]))
     return pa.concat_tables(tables).combine_chunks()
 
 
 class _Block:
-    """The sets of a block: ``words`` of all, ``size``, ``start`` (number of the first word) and name of each.
+    """The sets of a block: ``words`` of all, ``size``, ``start`` (number of the first word) and name of each, ``n`` and ``first`` of its
+    texts, and the ``rank`` of ``first`` with the ``order`` of ranks.
 
     Their prefix words are postings: row of the ``set``, ``place`` of the word, ``slack`` left there, two sketches ``near`` and
     ``far`` of the words after it. They are sorted by ``key``: 48 bits of the word, then falling slack in ``STEPS`` steps.
@@ -196,6 +211,9 @@ class _Block:
     def __init__(self, table: pa.Table, limit: float):
         lists = table.column("words").combine_chunks()
         self.names = table.column("class").combine_chunks()
+        self.n, self.first = table.column("n").to_numpy(), table.column("first").combine_chunks()
+        self.order = pc.sort_indices(self.first).to_numpy().astype(np.int64)  # null ids last
+        self.rank = np.argsort(self.order)
         self.size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
         self.words = lists.flatten().to_numpy(zero_copy_only=False)
         self.start = np.cumsum(self.size) - self.size
@@ -330,8 +348,6 @@ def verified(a: _Block, b: _Block, i: np.ndarray, j: np.ndarray, limit: float, m
 
 def _turned(a: pa.Array, b: pa.Array) -> list[pa.Array]:
     """The names of pairs, the smaller one first."""
-    import pyarrow.compute as pc
-
     less = pc.less(a, b)
     return [pc.if_else(less, a, b), pc.if_else(less, b, a)]
 
@@ -352,32 +368,65 @@ def _cells(held: list[tuple[int, int, int]], limit: float, tasks: int) -> list[t
     ]
 
 
-def candidate_pairs(postings: DataFrame, limit: float, verify: bool = False) -> DataFrame:
+class _Sums:
+    """For each set of a block, the rows of sets that it is linked to in another block, and the smallest rank of their ids there."""
+
+    def __init__(self, block: _Block, other: _Block):
+        self.block, self.other = block, other
+        self.more = np.zeros(len(block.size), np.int64)
+        self.least = np.full(len(block.size), len(other.size))
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        np.add.at(self.more, i, self.other.n[j])
+        np.minimum.at(self.least, i, self.other.rank[j])
+
+    def told(self) -> pa.RecordBatch:
+        linked = np.flatnonzero(self.more)
+        before = self.other.first.take(pa.array(self.other.order[self.least[linked]]))
+        return pa.RecordBatch.from_arrays([self.block.names.take(pa.array(linked)), pa.array(self.more[linked]), before], ["class", "more", "before"])
+
+
+def candidate_pairs(postings: DataFrame, limit: float, give: str = "candidates") -> DataFrame:
     """Pairs ``a`` < ``b`` of classes that share a prefix word and may pass the limit by sizes, its places, what follows it and their sketches.
 
-    With ``verify``, those above the limit, with their ``common`` and all words (``union``). A pair comes once.
+    A pair comes once. To ``give`` "links", those above the limit with their ``common`` and all words (``union``); to give "sums", a
+    ``class`` with the rows of classes it is linked to (``more``) and their smallest id (``before``), once for each two blocks of such links.
     """
     spark = postings.sparkSession
     files = _block_files(postings)
     sizes = postings.groupBy("block").agg(F.min("size").alias("least"), F.max("size").alias("most"))
     cells = _cells([tuple(r) for r in sizes.select("least", "most", "block").collect()], limit, 4 * spark.sparkContext.defaultParallelism)
-    tile, bits, meetings = TILE, BITS, MEETINGS
-    columns = ["a", "b", *(["common", "union"] if verify else [])]
+    tile, bits, meetings, rows = TILE, BITS, MEETINGS, ROWS
+    schema = {
+        "candidates": "a binary, b binary", "links": "a binary, b binary, common bigint, union bigint",
+        "sums": f"class binary, more bigint, before {postings.schema['first'].dataType.simpleString()}",
+    }[give]
 
-    def passed(a: _Block, b: _Block) -> Iterator[pa.RecordBatch]:
+    def passed(a: _Block, b: _Block) -> Iterator[tuple[np.ndarray, ...]]:
         wide = sketch_bits(a, b, bits)
-        step = max(1, ROWS * bits // wide)
+        step = max(1, rows * bits // wide)
         for whole_i, whole_j in _meetings(a, b, limit, tile, meetings):
             for at in range(0, len(whole_i), step):
                 i, j = whole_i[at : at + step], whole_j[at : at + step]
                 few = not_too_different(a, b, i, j, limit, wide)
-                i, j, counts = i[few], j[few], ()
-                if verify and len(i):
-                    above, *counts = verified(a, b, i, j, limit, tile)
-                    i, j, counts = i[above], j[above], [pa.array(n[above]) for n in counts]
-                if len(i):
-                    names = _turned(a.names.take(pa.array(i)), b.names.take(pa.array(j)))
-                    yield pa.RecordBatch.from_arrays([*names, *counts], columns)
+                i, j = i[few], j[few]
+                if give == "candidates":
+                    yield i, j
+                else:
+                    above, common, union = verified(a, b, i, j, limit, tile)
+                    yield i[above], j[above], common[above], union[above]
+
+    def pairs(a: _Block, b: _Block) -> Iterator[pa.RecordBatch]:
+        for i, j, *counts in passed(a, b):
+            columns = [*_turned(a.names.take(pa.array(i)), b.names.take(pa.array(j))), *map(pa.array, counts)]
+            yield pa.RecordBatch.from_arrays(columns, ["a", "b", "common", "union"][: len(columns)])
+
+    def sums(a: _Block, b: _Block) -> Iterator[pa.RecordBatch]:
+        there, back = _Sums(a, b), _Sums(b, a)
+        for i, j, *_ in passed(a, b):
+            there.add(i, j)
+            back.add(j, i)
+        yield from (there.told(), back.told())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell in (n for batch in batches for n in batch.column("id").to_pylist()):
@@ -387,10 +436,9 @@ def candidate_pairs(postings: DataFrame, limit: float, verify: bool = False) ->
                 at = joined.index(block) if block in joined else len(joined)
                 b = held[at] if block in joined else _Block(_read_block(files[block]), limit)
                 for a in held[: at + 1]:  # earlier ones and itself, or all
-                    yield from passed(a, b)
+                    yield from (batch for batch in (sums if give == "sums" else pairs)(a, b) if batch.num_rows)
 
-    numbers = spark.range(0, len(cells), 1, max(1, len(cells)))
-    return numbers.mapInArrow(run, "a binary, b binary" + (", common bigint, union bigint" if verify else ""))
+    return spark.range(0, len(cells), 1, max(1, len(cells))).mapInArrow(run, schema)
 
 
 def _homes(pairs: DataFrame) -> DataFrame:
@@ -402,12 +450,12 @@ def _homes(pairs: DataFrame) -> DataFrame:
     return leads.join(parts, "lead").select("class", F.xxhash64("lead", part).alias("block"))
 
 
-def class_links(classes: DataFrame, limit: float = config.NEAR_DUPLICATE_JACCARD) -> DataFrame:
-    """Pairs ``a`` < ``b`` of classes whose word sets overlap by more than the limit, with their ``common`` and all words."""
+def class_links(classes: DataFrame, limit: float = config.NEAR_DUPLICATE_JACCARD, give: str = "links") -> DataFrame:
+    """Pairs ``a`` < ``b`` of classes whose word sets overlap by more than the limit, with their ``common`` and all words, or their "sums"."""
     counters = classes.sparkSession.sparkContext.broadcast(rarity_table(classes))
     postings = prefix_postings(classes, counters, limit)
     counters.destroy()
-    return candidate_pairs(postings, limit, verify=True)
+    return candidate_pairs(postings, limit, give)
 
 
 def near_duplicates(
@@ -427,13 +475,9 @@ def near_duplicates(
     """
     # read once: a filter on the words would otherwise be pushed down and cut every text again
     rows = materialise(text_classes(docs, id_column, text_column, min_chars), "text-classes", **PACKED)
-    links = materialise(class_links(rows, limit).select("a", "b"), "similar-classes")
+    links = class_links(rows, limit, "sums").groupBy("class").agg(F.sum("more").alias("more"), F.min("before").alias("before"))
+    beyond = materialise(links, "similar-classes")
     members = rows.where("class IS NOT NULL").groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
-    ends = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    beyond = (
-        ends.join(members.withColumnRenamed("class", "b"), "b").groupBy(F.col("a").alias("class"))
-        .agg(F.sum("n").alias("more"), F.min("first").alias("before"))
-    )
     known = members.join(beyond, "class", "left")
     joined = lookup_join(rows.select("id", "class"), known, ["class"], "left")
     return joined.select(
