@@ -46,7 +46,7 @@ WORDS = 3 << 19
 JOINED = 3
 PARTNERS = 8
 #: Meetings of which a task makes pairs at a time, beyond those of one set.
-MEETINGS = 1 << 22
+MEETINGS = 1 << 21
 #: Counters that a task gives, and pairs that it verifies, at once.
 ROWS = 1 << 16
 #: Steps of slack in the key of a posting, which has 16 bits for them.
